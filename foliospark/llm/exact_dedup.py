@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -151,6 +151,10 @@ def possibly_repeated(digests: DataFrame, workspace: common.Workspace, rows: int
     return out
 
 
+def text_digest(text_col: str = "text") -> Column:
+    return F.sha2(common.lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """One row per input row: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -163,7 +167,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     common.prepare(spark, 10_000)
     ws = common.Workspace(spark, "exact-dedup")
-    digest = F.sha2(common.lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
+    digest = text_digest(text_col)
     digests = ws.stage(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest.alias("text_sha256")), "digests")
     marked = ws.stage(possibly_repeated(digests, ws, digests.count(), max_bits), "marked")
     single = marked.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -173,3 +177,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = ws.stage(again.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
     settled = again.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     return single.unionAll(settled)
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: one of each group of equal texts.
+
+    Only what is dropped is joined back; rows that repeat both id and text, which
+    the id cannot tell apart, are reduced to one of them.
+    """
+    ws = common.Workspace(docs.sparkSession, "keep-one")
+    result = ws.stage(exact_dedup(docs, id_col, text_col).where("group_size > 1"), "groups")
+    keys = result.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
+    same = (F.col("__sha") == F.col("__own")) & F.col("__id").eqNullSafe(F.col(id_col).cast("long"))
+    marked = docs.withColumn("__own", text_digest(text_col))
+    rest = marked.join(keys.where(~F.col("kept")).select("__id", "__sha").distinct(), same, "left_anti")
+    twins = ws.stage(keys.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha"), "twins")
+    repeated = rest.join(twins, same, "left_semi").dropDuplicates(["__own"])
+    return rest.join(twins, same, "left_anti").unionByName(repeated).select(*docs.columns)

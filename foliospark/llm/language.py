@@ -147,11 +147,12 @@ def declared_class(tag: Column) -> Column:
     return F.when(primary == "", "none").when(primary.isin(*LANGUAGES), primary).otherwise("other")
 
 
-def document_evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """Documents: the language column is a declaration, the source the host."""
+def document_evidence(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Documents: the language column is a declaration, the source the host.
+    ``extra`` columns are carried along."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("page_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        declared_class(F.col(lang_col)).alias("declared"), F.lit("").alias("suffix"), F.coalesce(F.col(source_col), F.lit("")).alias("host"),
+        declared_class(F.col(lang_col)).alias("declared"), F.lit("").alias("suffix"), F.coalesce(F.col(source_col), F.lit("")).alias("host"), *extra,
     )
 
 
@@ -183,3 +184,16 @@ def identify(evidence: DataFrame, labelled: DataFrame) -> DataFrame:
     ws = common.Workspace(spark, "language")
     model = train(sample(labelled, "doc_id", "text", "lang"))
     return fuse(ws.stage(scores(evidence, model), "scores"), ws)
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, lang, source, ...) whose language is identified.
+
+    Decisions are joined back by a hash of these four columns, so equal rows fare
+    alike; only the rejected rows' hashes are joined.
+    """
+    key = F.xxhash64(*(F.col(c) for c in ("doc_id", "text", "lang", "source")))
+    keyed = docs.withColumn("__key", key)
+    evidence = document_evidence(keyed, extra=("__key",))
+    rejected = identify(evidence, docs).where(~F.col("kept")).select("__key").distinct()
+    return keyed.join(rejected, "__key", "left_anti").select(*docs.columns)

@@ -192,44 +192,48 @@ def fit(counts: dict[tuple[int, ...], int]) -> list[float]:
     return [round(w, 9) for w in weights]
 
 
-def spans(docs: DataFrame, workspace: common.Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: ``doc_id, base, voted``: kept base spans by kind and start, and all
-    spans with their votes. Written once, so that texts are searched once."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def with_spans(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with ``__base`` (kept base spans by kind and start) and ``__voted`` (all
+    spans with their votes)."""
+    columns = docs.columns
     span = "array<struct<k:int,s:int,e:int,m:string>>"
     none = F.array().cast(span)
-    found = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    found = found.select("doc_id", "text", *(F.coalesce(c, none).alias(name) for name, c in base_spans(F.col("text")).items()), _located(F.col("text"), ADDED, -1).alias("wide"))
+    found = docs.withColumn("__text", F.coalesce(F.col(text_col), F.lit("")))
+    found = found.select(*columns, "__text", *(F.coalesce(c, none).alias(f"__{name}") for name, c in base_spans(F.col("__text")).items()), _located(F.col("__text"), ADDED, -1).alias("__wide"))
+    found = found.select(*columns, "__text", F.concat(*(f"__{k}" for k in BASE_KINDS)).alias("__found"), "__wide")
     # Proposed spans that touch a base span are that span already.
-    base = F.concat(*BASE_KINDS)
-    clear = lambda x: ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-    found = found.select("doc_id", "text", base.alias("base"), "wide")
-    wide = F.transform(F.filter("wide", clear), lambda x: F.struct(_added_kind(x["m"]).cast("int").alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
-    found = found.select("doc_id", "text", "base", F.concat("base", F.when(F.size("wide") > 0, wide).otherwise(none)).alias("both"))
+    clear = lambda x: ~F.exists("__found", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+    wide = F.transform(F.filter("__wide", clear), lambda x: F.struct(_added_kind(x["m"]).cast("int").alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["m"].alias("m")))
+    found = found.select(*columns, "__text", "__found", F.concat("__found", F.when(F.size("__wide") > 0, wide).otherwise(none)).alias("__both"))
 
     def voted(x: Column) -> Column:
-        return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.array(*votes(x, F.col("text"))).alias("v"))
+        return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.array(*votes(x, F.col("__text"))).alias("v"))
 
     empty = F.array().cast("array<struct<k:int,s:int,e:int,v:array<int>>>")
-    strip = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    out = found.select("doc_id", strip.alias("base"), F.when(F.size("both") > 0, F.transform("both", voted)).otherwise(empty).alias("voted"))
-    return workspace.stage(out, "spans")
+    strip = F.transform("__found", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
+    return found.select(*columns, strip.alias("__base"), F.when(F.size("__both") > 0, F.transform("__both", voted)).otherwise(empty).alias("__voted"))
+
+
+def spans(docs: DataFrame, workspace: common.Workspace, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: ``doc_id, __base, __voted``, written once so that a query searches its
+    texts once."""
+    found = with_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("__source")), "__source")
+    return workspace.stage(found.drop("__source"), "spans")
 
 
 def classifier(found: DataFrame) -> list[float]:
     """Weights from the corpus's counts of vote patterns."""
-    patterns = found.where(F.size("voted") > 0).select(F.explode("voted.v").alias("v")).groupBy("v").count()
+    patterns = found.where(F.size("__voted") > 0).select(F.explode("__voted.v").alias("v")).groupBy("v").count()
     return fit({tuple(r["v"]): r["count"] for r in patterns.collect()})
 
 
-def decide(found: DataFrame, weights: list[float]) -> DataFrame:
-    """Adds ``all``: the base spans and those proposed that the classifier takes,
-    by kind and start."""
+def decided(weights: list[float]) -> Column:
+    """The base spans, by kind and start, then those proposed that the classifier takes."""
     score = lambda x: reduce(lambda a, j: a + F.lit(weights[j + 1]) * x["v"][j], range(len(LABELERS)), F.lit(weights[0]))
     least = math.log(THRESHOLD / (1 - THRESHOLD))
-    taken = F.filter("voted", lambda x: (x["k"] >= len(BASE_KINDS)) & (score(x) > least))
+    taken = F.filter("__voted", lambda x: (x["k"] >= len(BASE_KINDS)) & (score(x) > least))
     taken = F.array_sort(F.transform(taken, lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"))))
-    return found.select("doc_id", "base", F.concat("base", taken).alias("all"))
+    return F.concat("__base", taken)
 
 
 def show(spans_: Column) -> Column:
@@ -246,31 +250,35 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     ws = common.Workspace(docs.sparkSession, "pii")
     found = spans(docs, ws, id_col, text_col)
-    decided = decide(found, classifier(found))
-    count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
-    return decided.select("doc_id", *(count(i).alias(f"n_{name}") for i, name in enumerate(BASE_KINDS)), F.sha2(show(F.col("base")), 256).alias("base_sha256"), show(F.col("all")).alias("spans"))
+    result = found.select("doc_id", "__base", decided(classifier(found)).alias("__all"))
+    count = lambda k: F.size(F.filter("__base", lambda x: x["k"] == k)).cast("long")
+    return result.select("doc_id", *(count(i).alias(f"n_{name}") for i, name in enumerate(BASE_KINDS)), F.sha2(show(F.col("__base")), 256).alias("base_sha256"), show(F.col("__all")).alias("spans"))
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", length_col: str = "n_chars") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets.
 
-    Rows without a span are unchanged, so is every other column. Base kinds can
-    overlap one another; of overlapping spans the one that starts first, then the
-    longer, gives the name and the replaced stretch runs to the end of the last.
+    Texts without a span stay as they are, null texts too; ``length_col``, if there
+    is one, follows the text; every other column is unchanged. Kinds can overlap one
+    another: what overlaps is replaced as one stretch, named by the span that
+    starts first, then by the longer.
     """
     ws = common.Workspace(docs.sparkSession, "redact")
-    keyed = ws.stage(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = spans(keyed.select(F.col("__row"), F.col(text_col).alias("__text")), ws, "__row", "__text")
-    decided = decide(found, classifier(found)).where(F.size("all") > 0).select(F.col("doc_id").alias("__row"), F.col("all").alias("__spans"))
-    ordered = F.array_sort(F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
-    names = F.array(*map(F.lit, KINDS))
+    weights = classifier(spans(docs.withColumn("__none", F.lit(None).cast("long")), ws, "__none", text_col))
+    found = with_spans(docs, text_col).withColumn("__all", decided(weights))
+    ordered = F.array_sort(F.transform("__all", lambda x: F.struct(x["s"].alias("s"), (-x["e"]).alias("e"), x["k"].alias("k"))))
+    names, text = F.array(*map(F.lit, KINDS)), F.col(text_col)
 
     def step(a: Column, x: Column) -> Column:
-        inside, end = x["s"] < a["at"], -x["e"]
-        piece = F.concat(F.substring(F.col(text_col), a["at"] + 1, x["s"] - a["at"]), F.lit("<"), F.element_at(names, x["k"] + 1), F.lit(">"))
-        return F.struct(F.greatest(a["at"], end).alias("at"), F.when(inside, a["out"]).otherwise(F.concat(a["out"], F.array(piece))).alias("out"))
+        piece = F.concat(F.substring(text, a["at"] + 1, x["s"] - a["at"]), F.lit("<"), F.element_at(names, x["k"] + 1), F.lit(">"))
+        return F.struct(F.greatest(a["at"], -x["e"]).alias("at"), F.when(x["s"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.array(piece))).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    done = F.aggregate(ordered, zero, step, lambda a: F.concat(F.array_join(a["out"], ""), F.substring(F.col(text_col), a["at"] + 1, F.length(F.col(text_col)))))
-    rows = keyed.join(decided, "__row", "left")
-    return rows.select(*(F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(done).alias(c) if c == text_col else F.col(c) for c in docs.columns))
+    rest = lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text)))
+    new = F.when(F.size("__all") > 0, F.aggregate(ordered, zero, step, rest)).otherwise(text)
+    done = found.withColumn("__new", new)
+    kept = {text_col: F.col("__new").alias(text_col)}
+    if length_col in docs.columns:
+        kind = docs.schema[length_col].dataType
+        kept[length_col] = F.when(F.size("__all") > 0, F.length("__new")).otherwise(F.col(length_col)).cast(kind).alias(length_col)
+    return done.select(*(kept.get(c, F.col(c)) for c in docs.columns))

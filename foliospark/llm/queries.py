@@ -37,6 +37,12 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(_table(spark, sf_dir, "pages"), ws)).drop("target_uri")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    return jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 #: The rules that the url query judges by: (host, path prefix, verdict).
 URL_RULES = [
     ("com", "/en/", "block"),
@@ -88,7 +94,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_byte_bpe, op2_ogg_media, op3_warc, op5_url_rules, op6_best_fit_packing, op7_exact_dedup, op8_token_shards, op9_pii, op10_language_id)
+    ops = (op1_byte_bpe, op2_ogg_media, op3_warc, op4_jaccard_join, op5_url_rules, op6_best_fit_packing, op7_exact_dedup, op8_token_shards, op9_pii, op10_language_id)
     return {f.__name__: f for f in ops}
 
 
