@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import bookkeeping, detection, geometry, reporting
 
-def oracle_sql():
-    return {}
+FAMILIES = (detection, reporting, geometry, bookkeeping)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: f for family in FAMILIES for name, f in family.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for family in FAMILIES for name, sql in family.SQL.items()}
