@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 from ..operators.detect import Detector, findings
 
 
-def page_stream(spark: SparkSession, folder: str, schema: str, pattern: str = "*", max_files: int = 100) -> DataFrame:
-    """Pages from Parquet files as they arrive, each file once."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", max_files).parquet(folder)
+def page_stream(spark: SparkSession, path: str, schema: str, max_files: int = 100) -> DataFrame:
+    """Rows from the Parquet files at ``path``, a folder or one file, each file once.
+
+    The path is given as a pattern that only it fits: a stream takes a single file by
+    no other way."""
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(pattern)
 
 
 def stream_findings(pages: DataFrame, detectors: list[Detector]) -> DataFrame:
