@@ -103,6 +103,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def hash_share(rows: DataFrame, wanted: int, *columns: str) -> DataFrame:
+    """About ``wanted`` of the rows, all if there are fewer, chosen by a hash of the columns."""
+    count = rows.count()
+    if count <= wanted:
+        return rows
+    span = 1 << 31
+    return rows.where(F.pmod(F.xxhash64(*columns), F.lit(span)) < int(span * wanted / count))
+
+
 def lower_ascii(c: Column) -> Column:
     """Lower-case A-Z and nothing else (``lower`` would fold all of Unicode)."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

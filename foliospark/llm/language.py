@@ -27,7 +27,7 @@ CLASSES = (*LANGUAGES, UNKNOWN)
 
 #: Hash buckets of the trigram models, and the pseudo-count of each.
 BUCKETS, PSEUDO = 1 << 16, 0.05
-#: Training reads at most this many labelled rows, those of the smallest id hashes.
+#: Training reads at most this many labelled rows, drawn by a hash of their id.
 TRAINING_ROWS = 4_000
 #: Overlapping trigrams see every byte three times; their sum is divided by this.
 OVERLAP = 3.0
@@ -68,9 +68,12 @@ def train(rows: list[tuple[str, str]]) -> np.ndarray:
 
 
 def sample(labelled: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``TRAINING_ROWS`` labelled rows."""
-    rows = labelled.where(F.col(lang_col).isin(*LANGUAGES)).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.xxhash64(F.col(id_col)).alias("h"))
-    return [(r["t"], r["l"]) for r in rows.orderBy("h", "l").limit(TRAINING_ROWS).collect()]
+    """At most ``TRAINING_ROWS`` labelled rows, drawn by a hash of the id.
+
+    The share to draw comes from a count, so tasks send what is drawn and no more."""
+    known = labelled.where(F.col(lang_col).isin(*LANGUAGES))
+    drawn = common.hash_share(known, TRAINING_ROWS, id_col)
+    return [(r["t"], r["l"]) for r in drawn.select(F.col(text_col).alias("t"), F.col(lang_col).alias("l")).limit(TRAINING_ROWS).collect()]
 
 
 def scores(evidence: DataFrame, model: np.ndarray) -> DataFrame:

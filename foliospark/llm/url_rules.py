@@ -78,9 +78,11 @@ def match(urls: DataFrame, rules: DataFrame, ranges: int) -> DataFrame:
     keys = keys.join(tidy.select("level").distinct(), "level", "left_semi")
     keys = keys.select("level", "path", F.lit(True).alias("is_url"), "host", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
 
-    sample = keys.select("level", "path", "host").orderBy(F.xxhash64("level", "path", "host")).limit(SAMPLED_PER_RANGE * ranges).collect()
+    wanted = SAMPLED_PER_RANGE * ranges
+    sample = common.hash_share(keys.select("level", "path", "host"), wanted, "level", "path", "host").limit(2 * wanted).collect()
     drawn = sorted(tuple(r) for r in sample)
-    begins = sorted({drawn[i] for i in range(SAMPLED_PER_RANGE, len(drawn), SAMPLED_PER_RANGE)})
+    every = max(1, len(drawn) // ranges)
+    begins = sorted({drawn[i] for i in range(every, len(drawn), every)})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

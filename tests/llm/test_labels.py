@@ -150,7 +150,7 @@ def labelled(spark):
 
 def test_op10_awkward_rows(spark):
     docs = documents(spark, clash=False).unionAll(labelled(spark).withColumn("doc_id", F.col("doc_id") + 1000))
-    docs = docs.unionAll(spark.createDataFrame([(900, "the house and the garden", None, None, 1), (901, "!!! 123 ###", "en", "src0", 1), (902, "漢字仮名交じり文", "xx", "src0", 1)], BASIC))
+    docs = docs.unionAll(spark.createDataFrame([(900, "the house and the garden", None, None, 1), (901, "!!! 123 ###", "en", "src0", 1), (902, "漢字仮名交じり文" * 9, "xx", "src0", 1)], BASIC))
     rows = {r.doc_id: r for r in language.identify(language.document_evidence(docs), docs).collect()}
     assert rows[900].lang == "en" and rows[900].kept and rows[901].lang == "und" and not rows[902].kept
     assert rows[1].lang == "und" and not rows[1].kept
@@ -172,7 +172,7 @@ def test_page_evidence(spark):
 
 
 def test_keep_identified(spark):
-    docs = labelled(spark).unionAll(spark.createDataFrame([(600, "漢字仮名交じり文", "en", "src0", 1), (601, None, "en", "src0", 1)], BASIC))
+    docs = labelled(spark).unionAll(spark.createDataFrame([(600, "漢字仮名交じり文" * 9, "xx", "src0", 1), (601, None, "en", "src0", 1)], BASIC))
     kept = {r.doc_id for r in language.keep_identified(docs).collect()}
     assert kept == set(range(100))
 
@@ -195,7 +195,7 @@ def test_pipeline(spark, tmp_path):
     base = [" ".join(rng.choice(SAMPLES["en"].split()) + str(rng.randrange(10)) for _ in range(60)) for _ in range(15)]
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.upper()) for i, t in enumerate(base[:5])] + [(200 + i, t + " garden") for i, t in enumerate(base[5:9])]
     rows.append((300, "the house and jo@x.com with the garden"))
-    spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows] + [(400, None, "en", "src0", 0), (401, "漢字仮名", "en", "src0", 4)], BASIC).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", "src0", len(t)) for i, t in rows] + [(400, None, "en", "src0", 0), (401, "漢字仮名" * 20, "xx", "src0", 4)], BASIC).write.parquet(f"{tmp_path}/documents.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == brute_pipeline(rows)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "pii", "packing"]
