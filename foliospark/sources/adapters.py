@@ -44,7 +44,7 @@ def log_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def audit_log(lines: DataFrame) -> DataFrame:
     """``START | op | status | k=v | ...`` lines as columns and a map."""
-    parts = F.transform(F.split("value", r"\|"), F.trim)
+    parts = F.transform(F.split("value", r"\|"), lambda p: F.trim(p))
     pairs = F.filter(parts, lambda p: F.contains(p, F.lit("=")))
     return lines.select(F.get(parts, 0).alias("event"), F.get(parts, 1).alias("op"), F.get(parts, 2).alias("status"), F.map_from_entries(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1), F.regexp_replace(p, "^[^=]*=", "")))).alias("fields"))
 
