@@ -133,11 +133,18 @@ KNOWN = Detector("company_name", (t.KNOWN_COMPANY,), (1,), reach=60, near=tx.any
 
 
 def _registrant_ok(v: Column) -> Column:
-    first = F.lower(F.substring_index(v, " ", 1))
-    return F.length(v).between(5, 80) & (F.size(F.split(v, " ")) <= 9) & ~first.isin(t.COMPANY_FIRST_NOT)
+    lowered = F.lower(v)
+    first = F.substring_index(lowered, " ", 1)
+    return F.length(v).between(5, 80) & (F.size(F.split(v, " ")) <= 9) & ~first.isin(t.COMPANY_FIRST_NOT) & ~lowered.isin(t.STRUCTURE_TERMS + t.BUSINESS_TERMS)
 
 
-REGISTRANT = Detector("company_name", (t.REGISTRANT,), (1,), check=_registrant_ok, distinct=True)
+REGISTRANT = Detector("company_name", tuple(t.REGISTRANT), (1,), lambda v: F.regexp_replace(F.trim(v), tx.SPACE, " "), _registrant_ok, distinct=True)
+DATES = Detector("important_date", (t.DATE_TEXT,), reach=80, near=tx.any_of(t.DATE_CONTEXT), fold=F.lower, distinct=True)
+ISO_DATES = Detector(
+    "important_date", (t.DATE_ISO,), (1, 2, 3), lambda y, m, d: F.concat_ws("-", y, m, d),
+    lambda v: F.substring_index(v, "-", 1).cast("int").between(1900, 2100) & F.substring_index(F.substring_index(v, "-", 2), "-", -1).cast("int").between(1, 12) & F.substring_index(v, "-", -1).cast("int").between(1, 31),
+    reach=80, near=tx.any_of(t.DATE_CONTEXT), fold=F.lower, distinct=True,
+)
 
 
 def _city(city: Column) -> Column:

@@ -14,16 +14,29 @@ def _proper(v: Column) -> Column:
     return F.concat(F.upper(F.substring(v, 1, 1)), F.lower(F.substring(v, 2, 100)))
 
 
-ROLE = Detector("person_name", (t.PERSON_ROLE, t.PERSON_LABEL), (1,), distinct=True)
-SIGNED = Detector("person_name", (t.PERSON_SIGNED,), (1,), distinct=True)
-ROW = Detector("person_name", (t.PERSON_ROW,), (1,), reach=150, near=tx.any_of(t.PERSON_ROW_CONTEXT), fold=F.lower, distinct=True)
-PAIR = Detector("person_name", (t.PERSON_PAIR,), (1, 2), lambda a, b: F.concat_ws(" ", a, b), distinct=True)
+def _spaced(v: Column) -> Column:
+    return F.regexp_replace(F.trim(v), tx.SPACE, " ")
+
+
+ROLE = Detector("person_name", (t.PERSON_ROLE, t.PERSON_LABEL), (1,), _spaced, distinct=True)
+SIGNED = Detector("person_name", (t.PERSON_SECTION, t.PERSON_SIGNED, t.PERSON_SLASH), (1,), _spaced, distinct=True)
+ROW = Detector("person_name", (t.PERSON_ROW,), (1,), _spaced, reach=150, near=tx.any_of(t.PERSON_ROW_CONTEXT), fold=F.lower, distinct=True)
+PAIR = Detector("person_name", (t.PERSON_PAIR,), (1, 2), lambda a, b: F.concat_ws(" ", a, b), reach=100, veto=tx.any_of(t.PAIR_VETO), fold=F.lower, distinct=True)
+LAST_FIRST = Detector("person_name", (t.PERSON_COMMA,), (1, 2), lambda a, b: F.concat_ws(" ", b, a), reach=100, veto=tx.any_of(t.PAIR_VETO), fold=F.lower, distinct=True)
+STRICT = Detector(
+    "person_name", (t.PERSON_GENERAL,), (1, 2, 3), lambda a, m, b: F.concat_ws(" ", a, F.when(F.trim(m) != "", F.trim(m)), b),
+    check=lambda v: F.length(v).between(5, 50), reach=200, near=tx.any_of(t.GENERAL_NEAR), veto=tx.any_of(t.GENERAL_VETO), fold=F.lower, distinct=True,
+)
+EXECUTIVES = [
+    Detector("executive_name", (t.EXECUTIVE,), (1,), _spaced, lambda v: F.length(v).between(5, 50)),
+    Detector("executive_name", (t.EXECUTIVE_REVERSE,), (2,), _spaced, lambda v: F.length(v).between(5, 50)),
+]
 FROM_EMAIL = Detector(
     "person_name", (t.PERSON_EMAIL,), (1, 2),
     lambda a, b: F.when(F.lower(a).isin(t.TECHNICAL_PREFIXES) | F.lower(b).isin(t.TECHNICAL_PREFIXES), F.lit("")).otherwise(F.concat_ws(" ", _proper(a), _proper(b))),
     check=lambda v: F.length(v).between(5, 30), gate=lambda c: F.contains(c, F.lit("@")), distinct=True,
 )
-STREAMS = [ROLE, SIGNED, ROW, PAIR, FROM_EMAIL]
+STREAMS = [ROLE, SIGNED, ROW, PAIR, LAST_FIRST, FROM_EMAIL, STRICT]
 
 
 def clean_name(v: Column) -> Column:
@@ -45,13 +58,19 @@ def plausible(v: Column) -> Column:
         F.length(v).between(5, 50) & F.size(words).between(2, 5)
         & F.forall(words, lambda w: F.regexp_like(w, F.lit(r"^(?:[A-Z]\.?|[A-Z][A-Za-z']{1,19})$")))
         & (F.size(F.array_distinct(words)) == F.size(words)) & (tx.upper_ratio(v) <= 0.4)
-        & ~lowered.isin(t.PERSON_NOT) & ~F.exists(F.split(lowered, " "), lambda w: w.isin(t.NAME_WORDS_NOT))
+        & ~lowered.isin(t.PERSON_NOT + t.JOB_TITLES) & ~F.exists(F.split(lowered, " "), lambda w: w.isin(t.POSSESSIVES)) & ~F.exists(F.split(lowered, " "), lambda w: w.isin(t.NAME_WORDS_NOT))
         & (~F.endswith(first, F.lit("ing")) | first.isin(t.ING_NAMES)) & ~keyword
         & ~F.regexp_like(v, F.lit(r"\b(?:Holdings|Street|Avenue|Road|Drive|Number|Commission|Exact|Inc|LLP|Shares)\b"))
     )
 
 
+def executive_names(pages: DataFrame) -> DataFrame:
+    """``document, page, value``: names that stand with a title."""
+    return findings(pages, EXECUTIVES).select("document", "page", "value").distinct()
+
+
 def person_names(pages: DataFrame) -> DataFrame:
-    """``document, page, value``: distinct cleaned and plausible names per page."""
-    raw = findings(pages, STREAMS)
+    """``document, page, value``: distinct cleaned and plausible names per page, without
+    those that the page names as executives."""
+    raw = findings(pages, STREAMS).join(executive_names(pages), ["document", "page", "value"], "left_anti")
     return raw.select("document", "page", clean_name(F.col("value")).alias("value")).where(plausible(F.col("value"))).distinct()

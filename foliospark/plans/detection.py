@@ -27,6 +27,9 @@ def query(sql: str | None):
     return register
 
 
+SPACED = "regexp_replace(trim(value), '[ ]+', ' ', 'g')"
+
+
 def _typed(kind: str, relation: str, where: str = "true", distinct: bool = False) -> str:
     return f"SELECT {'DISTINCT' if distinct else ''} document, page, {q(kind)} AS type, value FROM {relation} WHERE {where}"
 
@@ -164,7 +167,8 @@ _filing("patent", detect.PATENT, _near("patent_number", t.PATENT, 80, "upper", t
 _filing("ticker", detect.TICKER, _typed("ticker_symbol", matches(FILINGS, t.TICKER)))
 _filing("sec_url", detect.SEC_URL, _typed("sec_url", matches(FILINGS, t.SEC_URL, 1, "regexp_replace(value, '[.,;:!?]+$', '')")))
 _filing("known_company_context", detect.KNOWN, _near("company_name", t.KNOWN_COMPANY, 60, "lower", t.KNOWN_COMPANY_CONTEXT, distinct=True))
-REGISTRANT_SQL = _typed("company_name", matches(FILINGS, t.REGISTRANT, 1), f"length(value) BETWEEN 5 AND 80 AND len(string_split(value, ' ')) <= 9 AND lower(split_part(value, ' ', 1)) NOT IN {words_in(t.COMPANY_FIRST_NOT)}", True)
+_REG = " UNION ALL ".join(f"SELECT * FROM {matches(FILINGS, p, 1, SPACED)}" for p in t.REGISTRANT)
+REGISTRANT_SQL = _typed("company_name", f"({_REG})", f"length(value) BETWEEN 5 AND 80 AND len(string_split(value, ' ')) <= 9 AND lower(split_part(value, ' ', 1)) NOT IN {words_in(t.COMPANY_FIRST_NOT)} AND lower(value) NOT IN {words_in(t.STRUCTURE_TERMS + t.BUSINESS_TERMS)}", True)
 _filing("registrant_names", detect.REGISTRANT, REGISTRANT_SQL)
 
 
@@ -247,10 +251,22 @@ def _person(name: str, detector: detect.Detector, sql: str, pages=v.filings) ->
     query(sql)(run)
 
 
-ROLE_SQL = f"SELECT document, page, value FROM {matches(FILINGS, t.PERSON_ROLE, 1)} UNION SELECT document, page, value FROM {matches(FILINGS, t.PERSON_LABEL, 1)}"
-SIGNED_SQL = f"SELECT DISTINCT document, page, value FROM {matches(FILINGS, t.PERSON_SIGNED, 1)}"
-ROW_SQL = f"SELECT DISTINCT document, page, g0 AS value FROM (SELECT *, lower({window(150)}) AS around FROM {located(FILINGS, t.PERSON_ROW, (1,))}) WHERE {has_any('around', t.PERSON_ROW_CONTEXT)}"
-PAIR_SQL = lambda pages: f"SELECT DISTINCT document, page, g0 || ' ' || g1 AS value FROM {located(pages, t.PERSON_PAIR, (1, 2))}"
+def _union(*patterns: str) -> str:
+    return " UNION ".join(f"SELECT document, page, value FROM {matches(FILINGS, p, 1, SPACED)}" for p in patterns)
+
+
+ROLE_SQL = _union(t.PERSON_ROLE, t.PERSON_LABEL)
+SIGNED_SQL = _union(t.PERSON_SECTION, t.PERSON_SIGNED, t.PERSON_SLASH)
+ROW_SQL = f"SELECT DISTINCT document, page, regexp_replace(trim(g0), '[ ]+', ' ', 'g') AS value FROM (SELECT *, lower({window(150)}) AS around FROM {located(FILINGS, t.PERSON_ROW, (1,))}) WHERE {has_any('around', t.PERSON_ROW_CONTEXT)}"
+
+
+def PAIR_SQL(pages: str, pattern: str = t.PERSON_PAIR, value: str = "g0 || ' ' || g1") -> str:
+    return f"SELECT DISTINCT document, page, {value} AS value FROM (SELECT *, lower({window(100)}) AS around FROM {located(pages, pattern, (1, 2))}) WHERE NOT {has_any('around', t.PAIR_VETO)}"
+
+
+COMMA_SQL = PAIR_SQL(FILINGS, t.PERSON_COMMA, "g1 || ' ' || g0")
+STRICT_SQL = f"SELECT DISTINCT document, page, value FROM (SELECT *, lower({window(200)}) AS around, g0 || ' ' || CASE WHEN trim(g1) = '' THEN '' ELSE trim(g1) || ' ' END || g2 AS value FROM {located(FILINGS, t.PERSON_GENERAL, (1, 2, 3))}) WHERE length(value) BETWEEN 5 AND 50 AND {has_any('around', t.GENERAL_NEAR)} AND NOT {has_any('around', t.GENERAL_VETO)}"
+EXEC_SQL = f"SELECT document, page, value FROM {matches(FILINGS, t.EXECUTIVE, 1, SPACED)} WHERE length(value) BETWEEN 5 AND 50 UNION SELECT document, page, value FROM {matches(FILINGS, t.EXECUTIVE_REVERSE, 2, SPACED)} WHERE length(value) BETWEEN 5 AND 50"
 PROPER = lambda c: f"upper(substr({c}, 1, 1)) || lower(substr({c}, 2))"
 MAIL_SQL = f"SELECT DISTINCT document, page, {PROPER('g0')} || ' ' || {PROPER('g1')} AS value FROM {located(FILINGS, t.PERSON_EMAIL, (1, 2))} WHERE lower(g0) NOT IN {words_in(t.TECHNICAL_PREFIXES)} AND lower(g1) NOT IN {words_in(t.TECHNICAL_PREFIXES)} AND length(g0 || ' ' || g1) BETWEEN 5 AND 30"
 _person("person_context", people.ROLE, _typed("person_name", f"({ROLE_SQL})"))
@@ -259,6 +275,30 @@ _person("person_rows", people.ROW, _typed("person_name", f"({ROW_SQL})"))
 _person("person_pairs", people.PAIR, _typed("person_name", f"({PAIR_SQL(DOCS)})"), v.document_pages)
 _person("person_from_email", people.FROM_EMAIL, _typed("person_name", f"({MAIL_SQL})"))
 
+_person("person_last_first", people.LAST_FIRST, _typed("person_name", f"({COMMA_SQL})"))
+_person("person_strict", people.STRICT, _typed("person_name", f"({STRICT_SQL})"))
+
+
+@query(EXEC_SQL)
+def executive_names(spark: SparkSession, d: str) -> DataFrame:
+    return people.executive_names(v.filings(spark, d))
+
+
+SHIPPED = "SELECT 'o' || (l_orderkey % 50) AS document, CAST(l_orderkey AS INT) AS page, 'report dated ' || strftime(l_shipdate, '%B %d, %Y') || ' and as of ' || strftime(l_shipdate, '%Y-%m-%d') || ' or 2017-13-40 ' AS text FROM lineitem WHERE l_linenumber = 1"
+
+
+@query(f"""
+    SELECT DISTINCT document, page, 'important_date' AS type, m AS value FROM (SELECT *, lower({window(80)}) AS around FROM {located(SHIPPED, t.DATE_TEXT)}) WHERE {has_any('around', t.DATE_CONTEXT)}
+    UNION ALL SELECT DISTINCT document, page, 'important_date', g0 || '-' || g1 || '-' || g2 FROM (SELECT *, lower({window(80)}) AS around FROM {located(SHIPPED, t.DATE_ISO, (1, 2, 3))})
+    WHERE {has_any('around', t.DATE_CONTEXT)} AND CAST(g0 AS INT) BETWEEN 1900 AND 2100 AND CAST(g1 AS INT) BETWEEN 1 AND 12 AND CAST(g2 AS INT) BETWEEN 1 AND 31
+""")
+def important_dates(spark: SparkSession, d: str) -> DataFrame:
+    rows = v.table(spark, d, "lineitem").where("l_linenumber = 1")
+    text = F.concat(F.lit("report dated "), F.date_format("l_shipdate", "MMMM dd, yyyy"), F.lit(" and as of "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" or 2017-13-40 "))
+    pages = rows.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 50).cast("string")).alias("document"), F.col("l_orderkey").cast("int").alias("page"), text.alias("text"))
+    return findings(pages, [detect.DATES, detect.ISO_DATES]).distinct()
+
+
 CLEAN_NAME = "value"
 for _pattern in (r"^\s*/s/\s*|\s*/s/?\s*$", r"(\s*\([^()]*\)?)+\s*$", r"^[\d/.,\s-]+", r"[\s\d/,.-]+$", r"\s+"):
     CLEAN_NAME = f"regexp_replace({CLEAN_NAME}, {q(_pattern)}, ' ', 'g')"
@@ -266,14 +306,15 @@ PLAUSIBLE = f"""
     length(value) BETWEEN 5 AND 50 AND len(w) BETWEEN 2 AND 5
     AND len(list_filter(w, lambda x: NOT regexp_matches(x, '^(?:[A-Z]\\.?|[A-Z][A-Za-z'']{{1,19}})$'))) = 0
     AND len(list_distinct(w)) = len(w) AND length(regexp_replace(value, '[^A-Z]', '', 'g')) / length(value) <= 0.4
-    AND lower(value) NOT IN {words_in(t.PERSON_NOT)} AND len(list_filter(w, lambda x: lower(x) IN {words_in(t.NAME_WORDS_NOT)})) = 0
+    AND lower(value) NOT IN {words_in(t.PERSON_NOT + t.JOB_TITLES)} AND len(list_filter(w, lambda x: lower(x) IN {words_in(t.POSSESSIVES)})) = 0 AND len(list_filter(w, lambda x: lower(x) IN {words_in(t.NAME_WORDS_NOT)})) = 0
     AND (NOT ends_with(lower(w[1]), 'ing') OR lower(w[1]) IN {words_in(t.ING_NAMES)})
     AND NOT ({" OR ".join(f"(lower(w[1]) = {q(k)} AND lower(w[2]) IN {words_in(a)})" for k, a in t.KEYWORD_NAMES.items())})
     AND NOT regexp_matches(value, '\\b(?:Holdings|Street|Avenue|Road|Drive|Number|Commission|Exact|Inc|LLP|Shares)\\b')"""
 
 
 @query(f"""
-    WITH c AS ({ROLE_SQL} UNION {SIGNED_SQL} UNION {ROW_SQL} UNION {PAIR_SQL(FILINGS)} UNION {MAIL_SQL}),
+    WITH a AS ({ROLE_SQL} UNION {SIGNED_SQL} UNION {ROW_SQL} UNION {PAIR_SQL(FILINGS)} UNION {COMMA_SQL} UNION {MAIL_SQL} UNION {STRICT_SQL}),
+    c AS (SELECT document, page, value FROM a EXCEPT ({EXEC_SQL})),
     n AS (SELECT DISTINCT document, page, trim({CLEAN_NAME}) AS value FROM c), s AS (SELECT *, string_split(value, ' ') AS w FROM n)
     SELECT document, page, value FROM s WHERE {PLAUSIBLE}
 """)

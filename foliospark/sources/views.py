@@ -79,7 +79,7 @@ _FRAGMENTS = [
     f"'LEI 5493AB', {_N(12, 99999999)}, '78 Patent US', {_N(7, 9999999)}, 'B2 '",
     f"'https://www.sec.gov/cgi-bin/browse-edgar?CIK=', CAST({_K} AS STRING), '. www.', lower({_CO1}), '.com, '",
     f"'Director: ', {_FIRST}, ' ', {_LAST}, '. /s/ ', {_FIRST}, ' M. ', {_LAST}, '; ', {_LAST}, ' | ', 'X ', lower({_FIRST}), '.', lower({_LAST}), '@', lower({_CO1}), '.com '",
-    f"'By: ', {_FIRST}, ' ', {_LAST}, ' | President ', 'Shares of ', {_KNOWN}, ' corporation '",
+    f"'By: ', {_FIRST}, ' M. ', {_LAST}, ' | President ', 'Shares of ', {_KNOWN}, ' corporation '",
     f"'. ', {_CO1}, ' ', {_LAST}, ' LLP ', {_ROLE}, ' '",
     f"'{'q' * 60} '",
     f"CASE WHEN {_K} % 10 = 0 THEN 'Tel: +44 20 2024 1234 ' WHEN {_K} % 2 = 0 THEN concat('Tel: +44 20 7638 ', {_N(4, 10000)}, ' ') ELSE concat('{'z' * 60} +44 20 7638 ', {_N(4, 10000)}, ' {'w' * 60} ') END",
