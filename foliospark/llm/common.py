@@ -103,6 +103,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Key rows up to this many are broadcast (a few longs each), else joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def bounded(keys: DataFrame) -> DataFrame:
+    """``keys``, a written table, marked for broadcast if a count shows that it is small."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def hash_share(rows: DataFrame, wanted: int, *columns: str) -> DataFrame:
     """About ``wanted`` of the rows, all if there are fewer, chosen by a hash of the columns."""
     count = rows.count()

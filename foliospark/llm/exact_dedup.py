@@ -187,10 +187,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     ws = common.Workspace(docs.sparkSession, "keep-one")
     result = ws.stage(exact_dedup(docs, id_col, text_col).where("group_size > 1"), "groups")
-    keys = result.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept")
-    same = (F.col("__sha") == F.col("__own")) & F.col("__id").eqNullSafe(F.col(id_col).cast("long"))
-    marked = docs.withColumn("__own", text_digest(text_col))
-    rest = marked.join(keys.where(~F.col("kept")).select("__id", "__sha").distinct(), same, "left_anti")
-    twins = ws.stage(keys.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha"), "twins")
-    repeated = rest.join(twins, same, "left_semi").dropDuplicates(["__own"])
-    return rest.join(twins, same, "left_anti").unionByName(repeated).select(*docs.columns)
+    keys = result.select(F.col("doc_id").alias("__id"), F.xxhash64("text_sha256").alias("__hash"), "kept")
+    same = (F.col("__hash") == F.col("__own")) & F.col("__id").eqNullSafe(F.col(id_col).cast("long"))
+    marked = docs.withColumn("__own", F.xxhash64(text_digest(text_col)))
+    dropped = ws.stage(keys.where(~F.col("kept")).select("__id", "__hash").distinct(), "dropped")
+    rest = marked.join(common.bounded(dropped), same, "left_anti")
+    twins = ws.stage(keys.where("kept").groupBy("__id", "__hash").count().where("count > 1").select("__id", "__hash"), "twins")
+    if twins.isEmpty():
+        return rest.select(*docs.columns)
+    repeated = rest.join(common.bounded(twins), same, "left_semi").dropDuplicates(["__own"])
+    return rest.join(common.bounded(twins), same, "left_anti").unionByName(repeated).select(*docs.columns)

@@ -35,11 +35,9 @@ from .shingles import shingle_sets
 
 PERCENT = 75
 #: A chunk ends at this many sets or shingles, a bucket is meant for so many shingles.
-CHUNK_SETS, CHUNK_SHINGLES, BUCKET_SHINGLES = 4_000, 1_000_000, 4_000_000
+CHUNK_SETS, CHUNK_SHINGLES, BUCKET_SHINGLES, LEAST_BUCKETS = 4_000, 1_000_000, 6_000_000, 8
 #: A block of a cluster is meant for so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
-#: Representatives up to this many are broadcast (16 bytes each), else joined by shuffle.
-BROADCAST_ROWS = 1_000_000
 
 PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary"
 DOCS, SINGLE, SHARED, COUNTS = range(4)
@@ -81,15 +79,14 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
         yield ids, sets
 
 
-def _send(batches: Iterator[pa.RecordBatch], bits: int, fp_buckets: int) -> Iterator[pa.RecordBatch]:
+def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Step 1, map side."""
-    mask = np.uint64((1 << bits) - 1)
     for ids, sets in _chunks(batches):
         fps = np.array([fingerprint(s) if len(s) else 0 for s in sets], np.uint64)
         sizes = np.array([len(s) for s in sets], np.uint32)
         known = np.array([i is not None for i in ids])
         numbers = np.array([i if i is not None else 0 for i in ids], np.int64)
-        rows = [(int(fps[0] & mask) if len(fps) else 0, DOCS, numbers.tobytes(), known.tobytes(), fps.tobytes(), sizes.tobytes())]
+        rows = [(int(fps[0] % np.uint64(buckets)), DOCS, numbers.tobytes(), known.tobytes(), fps.tobytes(), sizes.tobytes())]
         _, first = np.unique(fps, return_index=True)
         first = first[sizes[first] > 0]
         if len(first):
@@ -102,23 +99,23 @@ def _send(batches: Iterator[pa.RecordBatch], bits: int, fp_buckets: int) -> Iter
             again[1:] |= same
             again[:-1] |= same
             local = np.bincount(owner[order[again]], minlength=len(first)).astype(np.uint32)
-            part = fps[first] % np.uint64(fp_buckets)
+            part = fps[first] % np.uint64(buckets)
             for p in np.unique(part):
                 at = part == p
                 rows.append((int(p), COUNTS, fps[first][at].tobytes(), local[at].tobytes(), sizes[first][at].tobytes(), None))
             once = order[~again]
             once.sort()  # back to set order
-            _split(rows, SINGLE, shingles[once], owner[once], fps[first], bits, mask)
-            _split(rows, SHARED, ranked[again & np.concatenate(([True], ~same))], None, None, bits, mask)
+            _split(rows, SINGLE, shingles[once], owner[once], fps[first], buckets)
+            _split(rows, SHARED, ranked[again & np.concatenate(([True], ~same))], None, None, buckets)
         yield _pack_rows(rows)
 
 
-def _split(rows: list, kind: int, shingles: np.ndarray, owner, fps, bits: int, mask: np.uint64) -> None:
-    bucket = (shingles & mask).astype(np.int64)
+def _split(rows: list, kind: int, shingles: np.ndarray, owner, fps, buckets: int) -> None:
+    high, bucket = np.divmod(shingles, np.uint64(buckets))
     order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-    short = ((shingles >> np.uint64(bits)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-    for b in range(1 << bits):
+    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+    short = (high & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
+    for b in range(buckets):
         lo, hi = edges[b], edges[b + 1]
         if lo == hi:
             continue
@@ -129,7 +126,7 @@ def _split(rows: list, kind: int, shingles: np.ndarray, owner, fps, bits: int, m
             rows.append((b, kind, short[lo:hi].tobytes(), counts.astype(np.uint32).tobytes(), fps[who].tobytes(), None))
 
 
-def _receive(table: pa.Table, fp_buckets: int) -> pa.Table:
+def _receive(table: pa.Table, buckets: int) -> pa.Table:
     """Step 1, a bucket: per set, the shingles that another chunk has too."""
     rows = list(zip(*(table[c].to_pylist() for c in ("bucket", "kind", "a", "b", "c", "d"))))
     keep = [r for r in rows if r[1] in (DOCS, COUNTS)]
@@ -148,10 +145,10 @@ def _receive(table: pa.Table, fp_buckets: int) -> pa.Table:
         if totals:
             fps, counts = (np.concatenate(x) for x in zip(*totals))
             fps, counts = fps[counts > 0], counts[counts > 0]
-            part = fps % np.uint64(fp_buckets)
+            part = fps % np.uint64(buckets)
             order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(fp_buckets + 1, dtype=np.uint64))
-            for p in range(fp_buckets):
+            edges = np.searchsorted(part[order], np.arange(buckets + 1, dtype=np.uint64))
+            for p in range(buckets):
                 at = order[edges[p] : edges[p + 1]]
                 if len(at):
                     keep.append((p, COUNTS, fps[at].tobytes(), counts[at].tobytes(), None, None))
@@ -337,12 +334,11 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     ws = common.Workspace(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     characters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    wanted = max(common.shuffle_partitions(spark), characters // 6 // BUCKET_SHINGLES + 1)
-    bits = (wanted - 1).bit_length()
-    fp_buckets = wanted
+    # Every set reports to every bucket that holds its shingles: no more buckets than needed.
+    buckets = max(LEAST_BUCKETS, characters // 6 // BUCKET_SHINGLES + 1)
 
-    sent = rows.mapInArrow(lambda it: _send(it, bits, fp_buckets), PACKED)
-    packed = ws.stage(sent.groupBy("bucket").applyInArrow(lambda t: _receive(t, fp_buckets), PACKED), "packed")
+    sent = rows.mapInArrow(lambda it: _send(it, buckets), PACKED)
+    packed = ws.stage(sent.groupBy("bucket").applyInArrow(lambda t: _receive(t, buckets), PACKED), "packed")
     docs_table = ws.stage(packed.where(F.col("kind") == DOCS).mapInArrow(_documents, "doc_id long, fp long, n_shingles long"), "documents")
     survivors = packed.where(F.col("kind") == COUNTS).groupBy("bucket").applyInArrow(lambda t: _survivors(t, percent), "fp long")
     classes = docs_table.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
@@ -350,11 +346,10 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     reps = ws.stage(classes.join(survivors, "fp").select(F.col("least_id").alias("rep_id")), "representatives")
     ws.drop("packed")
 
-    side = F.broadcast(reps) if reps.count() <= BROADCAST_ROWS else reps
-    chosen = rows.join(side, F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
+    chosen = rows.join(common.bounded(reps), F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
     chunks = ws.stage(chosen.mapInArrow(_gather, CHUNK), "chunks", "none")
-    buckets = max(common.shuffle_partitions(spark), (chunks.agg(F.sum(F.octet_length("a"))).first()[0] or 0) // 8 // BUCKET_SHINGLES + 1)
-    out = chunks.mapInArrow(lambda it: _frequencies_out(it, buckets), "bucket int, chunk long, a binary, b binary")
+    parts = max(common.shuffle_partitions(spark), (chunks.agg(F.sum(F.octet_length("a"))).first()[0] or 0) // 8 // BUCKET_SHINGLES + 1)
+    out = chunks.mapInArrow(lambda it: _frequencies_out(it, parts), "bucket int, chunk long, a binary, b binary")
     back = out.groupBy("bucket").applyInArrow(_frequencies_back, CHUNK)
     members = chunks.unionAll(back).groupBy("chunk").applyInArrow(lambda t: _prefixes(t, percent), MEMBERS)
     members = ws.stage(members, "members", "none")
@@ -393,6 +388,7 @@ def keep_representatives(docs: DataFrame, percent: int = PERCENT, id_col: str =
 
     Ids are taken to tell rows apart; rows that share one stay or go together.
     """
+    ws = common.Workspace(docs.sparkSession, "representatives")
     found = jaccard_components(docs, percent, id_col, text_col)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    gone = ws.stage(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(common.bounded(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")

@@ -198,5 +198,6 @@ def keep_identified(docs: DataFrame) -> DataFrame:
     key = F.xxhash64(*(F.col(c) for c in ("doc_id", "text", "lang", "source")))
     keyed = docs.withColumn("__key", key)
     evidence = document_evidence(keyed, extra=("__key",))
-    rejected = identify(evidence, docs).where(~F.col("kept")).select("__key").distinct()
-    return keyed.join(rejected, "__key", "left_anti").select(*docs.columns)
+    ws = common.Workspace(docs.sparkSession, "rejected")
+    rejected = ws.stage(identify(evidence, docs).where(~F.col("kept")).select("__key").distinct(), "keys")
+    return keyed.join(common.bounded(rejected), "__key", "left_anti").select(*docs.columns)

@@ -135,7 +135,7 @@ def near_copies(seed, n=150):
 def test_op4_on_near_copies(spark, monkeypatch, seed):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 17)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
-    monkeypatch.setattr(jaccard, "BROADCAST_ROWS", 0 if seed == 2 else 1000)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0 if seed == 2 else 1000)
     rows = near_copies(seed)
     got = jaccard.jaccard_components(documents(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
