@@ -190,7 +190,8 @@ def brute_pipeline(rows):
 
 
 def test_pipeline(spark, tmp_path):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import corpus_pipeline
+
     rng = random.Random(8)
     base = [" ".join(rng.choice(SAMPLES["en"].split()) + str(rng.randrange(10)) for _ in range(60)) for _ in range(15)]
     rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t.upper()) for i, t in enumerate(base[:5])] + [(200 + i, t + " garden") for i, t in enumerate(base[5:9])]
