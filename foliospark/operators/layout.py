@@ -154,6 +154,60 @@ def page_structure(words: DataFrame, classes: DataFrame) -> DataFrame:
     return extent.join(flags, "page").withColumn("has_table", F.col("table_lines") > 3)
 
 
+def multicolumn(words: DataFrame, first_lines: int = 20) -> DataFrame:
+    """Pages in columns, by their first lines: 30 to 70 percent of the words stand left
+    of the middle, or over 30 percent of the lines have words on both sides."""
+    head = words.where(F.col("line") < first_lines)
+    width = head.groupBy("page").agg(F.max("x1").alias("width"))
+    lines = head.join(width, "page").groupBy("page", "line").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x0") < F.col("width") / 2).alias("lefts"))
+    shares = lines.groupBy("page").agg(
+        F.sum("n").alias("words"), (F.sum("lefts") / F.sum("n")).alias("left_share"),
+        (F.count_if((F.col("lefts") > 0) & (F.col("lefts") < F.col("n"))) / F.count(F.lit(1))).alias("two_sided"),
+    )
+    several = (F.col("words") >= 10) & (F.col("left_share").between(0.3, 0.7) | (F.col("two_sided") > 0.3))
+    return shares.select("page", "words", F.round("left_share", 6).alias("left_share"), F.round("two_sided", 6).alias("two_sided"), several.alias("multicolumn"))
+
+
+def table_line_scores(words: DataFrame, tolerance: int = 5) -> DataFrame:
+    """Per line its wide gaps, the share of its words that stand under or over a word of
+    a neighbouring line, and whether it looks like a table's."""
+    w = Window.partitionBy("page", "line").orderBy("x0", "word_id")
+    lines = words.withColumn("gap", F.col("x0") - F.lag("x1").over(w)).groupBy("page", "line").agg(
+        F.sort_array(F.collect_list("x0")).alias("xs"), F.count_if(F.col("gap") > TABLE_GAP).alias("wide_gaps"), F.count(F.lit(1)).alias("words"),
+        (F.sum(F.length(F.regexp_replace("text", "[^0-9]", ""))) / F.sum(F.length("text") + 1)).alias("digit_share"),
+    )
+    p = Window.partitionBy("page").orderBy("line")
+    none = F.array().cast("array<int>")
+    near = lines.withColumn("near", F.concat(F.coalesce(F.lag("xs").over(p), none), F.coalesce(F.lead("xs").over(p), none)))
+    aligned = F.size(F.filter("xs", lambda x: F.exists("near", lambda y: F.abs(y - x) <= tolerance))) / F.size("xs")
+    scored = near.withColumn("aligned", aligned)
+    table = (F.col("wide_gaps") >= 2) | ((F.col("words") >= TABLE_WORDS) & (F.col("digit_share") > 0.25)) | ((F.col("words") >= 2) & (F.col("aligned") > 0.6))
+    return scored.select("page", "line", "wide_gaps", F.round("aligned", 6).alias("aligned"), table.alias("is_table"))
+
+
+def table_zones(words: DataFrame, least_words: int = TABLE_WORDS, least_gap: int = 15) -> DataFrame:
+    """Boxes of lines with enough words that stand far enough apart on average."""
+    w = Window.partitionBy("page", "line").orderBy("x0", "word_id")
+    lines = words.withColumn("gap", F.col("x0") - F.lag("x1").over(w)).groupBy("page", "line").agg(
+        F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.avg("gap").alias("mean_gap"), F.count(F.lit(1)).alias("n")
+    )
+    return lines.where((F.col("n") >= least_words) & (F.col("mean_gap") > least_gap)).drop("n").withColumn("mean_gap", F.round("mean_gap", 6))
+
+
+def line_columns(words: DataFrame, columns: int = 2) -> DataFrame:
+    """Each line's text in one of equally wide columns, by its mean x0."""
+    width = words.groupBy("page").agg(F.max("x1").alias("width"))
+    texts = F.array_sort(F.collect_list(F.struct("x0", "word_id", "text")))
+    lines = words.groupBy("page", "line").agg(F.avg("x0").alias("x"), F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text")).join(width, "page")
+    return lines.select("page", "line", F.least(F.lit(columns - 1), F.floor(F.col("x") / (F.col("width") / columns))).cast("int").alias("column"), "text")
+
+
+def first_word_with(cells: DataFrame, words: DataFrame) -> DataFrame:
+    """For each ``(page, cell)`` the first word of its page that contains the cell's text."""
+    met = cells.join(words.select("page", "word_id", "text"), "page").where(F.contains(F.col("text"), F.col("cell")))
+    return met.groupBy("page", "cell").agg(F.min("word_id").alias("word_id"))
+
+
 def scale_boxes(words: DataFrame, image: tuple[int, int], page: tuple[int, int]) -> DataFrame:
     """Boxes from image to page coordinates, truncated."""
     sx, sy = page[0] / image[0], page[1] / image[1]

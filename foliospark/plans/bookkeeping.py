@@ -180,3 +180,18 @@ def stream_monthly_counter(spark: SparkSession, d: str) -> DataFrame:
     events = streams.page_stream(spark, f"{d}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
     named = events.select(F.concat(F.lit("acct"), (F.col("user_id") % 7).cast("string")).alias("account"), "ts")
     return streams.drain(streams.monthly_counter(named), _checkpoint(spark), "complete")
+
+
+@query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY event_type")
+def stream_running_totals(spark: SparkSession, d: str) -> DataFrame:
+    events = streams.page_stream(spark, f"{d}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    totals = streams.drain(streams.running_totals(events, "event_type"), _checkpoint(spark), "complete")
+    return totals.withColumn("total", F.round("total", 4))
+
+
+@query("SELECT DISTINCT md5(text) AS md5, CAST(1 AS INT) AS page FROM documents WHERE text IS NOT NULL")
+def stream_unseen_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Each content once, as the page cache would meet it."""
+    docs = streams.page_stream(spark, f"{d}/documents.parquet", "doc_id long, text string, lang string, source string, n_chars long")
+    pages = docs.where("text IS NOT NULL").select("text", F.lit(1).alias("page"), F.timestamp_seconds(F.lit(10**9)).alias("ts"))
+    return streams.drain(streams.unseen_pages(pages).select("md5", "page"), _checkpoint(spark))

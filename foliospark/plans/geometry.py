@@ -108,9 +108,9 @@ def table_grid(spark: SparkSession, d: str) -> DataFrame:
     return layout.grid(layout.nearest_column(words, layout.clusters(words)))
 
 
-@query(f"WITH {W}, b AS (SELECT doc_id AS page, k AS box_id, k * 100 AS bx0, k * 100 + 260 AS bx1, k * 24 AS btop, k * 24 + 60 AS bbottom FROM documents, unnest([0, 1, 2]) t(k)) SELECT w.page, word_id, box_id FROM w JOIN b ON w.page = b.page AND x0 >= bx0 AND x1 <= bx1 AND top >= btop AND bottom <= bbottom")
+@query(f"WITH {W}, b AS (SELECT page, k AS box_id, k * 100 AS bx0, k * 100 + 260 AS bx1, k * 24 AS btop, k * 24 + 60 AS bbottom FROM (SELECT DISTINCT page FROM w), unnest([0, 1, 2]) t(k)) SELECT w.page, word_id, box_id FROM w JOIN b ON w.page = b.page AND x0 >= bx0 AND x1 <= bx1 AND top >= btop AND bottom <= bbottom")
 def bbox_containment(spark: SparkSession, d: str) -> DataFrame:
-    boxes = v.table(spark, d, "documents").select(F.col("doc_id").alias("page"), F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("box_id"))
+    boxes = v.sheets(spark, d).select("page", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("box_id"))
     k = F.col("box_id")
     boxes = boxes.select("page", "box_id", (k * 100).alias("bx0"), (k * 100 + 260).alias("bx1"), (k * 24).alias("btop"), (k * 24 + 60).alias("bbottom"))
     return layout.inside(v.words(spark, d), boxes).select("page", "word_id", "box_id")
@@ -152,6 +152,41 @@ def column_sides(spark: SparkSession, d: str) -> DataFrame:
     return v.words(spark, d).groupBy("page", side.alias("side"), "line").agg(joined.alias("text"))
 
 
+@query(f"""WITH {W}, e AS (SELECT page, max(x1) AS width, count(*) AS words FROM w WHERE line < 20 GROUP BY page),
+    l AS (SELECT w.page, line, count(*) AS n, count(*) FILTER (x0 < width / 2) AS lefts FROM w JOIN e ON w.page = e.page WHERE line < 20 GROUP BY w.page, line),
+    s AS (SELECT page, CAST(sum(n) AS BIGINT) AS words, sum(lefts) / sum(n) AS left_share, count(*) FILTER (lefts > 0 AND lefts < n) / count(*) AS two_sided FROM l GROUP BY page)
+    SELECT page, words, round(left_share, 6) AS left_share, round(two_sided, 6) AS two_sided, words >= 10 AND (left_share BETWEEN 0.3 AND 0.7 OR two_sided > 0.3) AS multicolumn FROM s""")
+def multicolumn_pages(spark: SparkSession, d: str) -> DataFrame:
+    return layout.multicolumn(v.words(spark, d))
+
+
+@query(f"""WITH {W}, {LINES}, a AS (SELECT page, line, list(x0 ORDER BY x0) AS xs, count(*) FILTER (gap > 30) AS wide FROM g GROUP BY page, line),
+    n AS (SELECT *, list_concat(coalesce(lag(xs) OVER p, []), coalesce(lead(xs) OVER p, [])) AS near FROM a WINDOW p AS (PARTITION BY page ORDER BY line)),
+    r AS (SELECT page, line, wide, len(list_filter(xs, lambda x: len(list_filter(near, lambda y: abs(y - x) <= 5)) > 0)) / len(xs) AS aligned FROM n)
+    SELECT r.page, r.line, wide AS wide_gaps, round(aligned, 6) AS aligned, wide >= 2 OR (words >= 4 AND digits / chars > 0.25) OR (words >= 2 AND aligned > 0.6) AS is_table FROM r JOIN c ON r.page = c.page AND r.line = c.line""")
+def table_line_scores(spark: SparkSession, d: str) -> DataFrame:
+    return layout.table_line_scores(v.words(spark, d))
+
+
+@query(f"""WITH {W}, g AS (SELECT *, x0 - lag(x1) OVER (PARTITION BY page, line ORDER BY x0, word_id) AS gap FROM w),
+    l AS (SELECT page, line, min(x0) AS x0, max(x1) AS x1, min(top) AS top, max(bottom) AS bottom, avg(gap) AS mean_gap FROM g GROUP BY page, line HAVING count(*) >= 4 AND avg(gap) > 15)
+    SELECT page, line, x0, x1, top, bottom, round(mean_gap, 6) AS mean_gap FROM l""")
+def table_zones(spark: SparkSession, d: str) -> DataFrame:
+    return layout.table_zones(v.words(spark, d))
+
+
+@query(f"""WITH {W}, z AS (SELECT page, line, x0, word_id, text, max(x1) OVER (PARTITION BY page) AS width FROM w)
+    SELECT page, line, CAST(least(1, floor(avg(x0) / (any_value(width) / 2))) AS INT) AS "column", string_agg(text, ' ' ORDER BY x0, word_id) AS text FROM z GROUP BY page, line""")
+def line_columns(spark: SparkSession, d: str) -> DataFrame:
+    return layout.line_columns(v.words(spark, d))
+
+
+@query(f"""WITH {W}, h AS (SELECT DISTINCT page, left(text, 3) AS cell FROM w WHERE line = 0)
+    SELECT h.page, cell, min(word_id) AS word_id FROM h JOIN w ON w.page = h.page AND contains(w.text, cell) GROUP BY h.page, cell""")
+def cell_anchors(spark: SparkSession, d: str) -> DataFrame:
+    words = v.words(spark, d)
+    return layout.first_word_with(words.where("line = 0").select("page", F.left("text", F.lit(3)).alias("cell")).distinct(), words)
+
 
 
 @query(r"""SELECT l_orderkey, l_linenumber, cell,
@@ -231,5 +266,3 @@ def hyperlink_split(spark: SparkSession, d: str) -> DataFrame:
 def paragraph_scan(spark: SparkSession, d: str) -> DataFrame:
     pages = v.document_pages(spark, d).withColumn("text", F.replace("text", F.lit(". "), F.lit("\n\n")))
     return paragraphs.paragraphs_of(pages)
-
-

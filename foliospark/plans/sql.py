@@ -56,10 +56,9 @@ def n_digits(c: str) -> str:
 
 WORDS = """
     SELECT page, word_id, text, x0, CAST(x0 + 6 * length(text) AS INT) AS x1, top, top + 10 AS bottom, size, conf, line FROM (
-        SELECT doc_id AS page, CAST(i - 1 AS INT) AS word_id, w[i] AS text,
-               CAST((i - 1) % 8 * 60 + CASE WHEN (i - 1) % 8 >= 4 THEN 80 ELSE 0 END AS INT) AS x0,
-               CAST((i - 1) // 8 * 12 + (i - 1) % 3 AS INT) AS top,
-               10 + CASE WHEN (i - 1) // 8 % 10 = 0 THEN 4 ELSE 0 END AS size,
-               CAST(20 + (i - 1) * 7 % 80 AS INT) AS conf, CAST((i - 1) // 8 AS INT) AS line
-        FROM (SELECT doc_id, string_split(text, ' ')[1:200] AS w FROM documents) d, unnest(range(1, len(w) + 1)) t(i))
+        SELECT page, word_id, text, CAST(word_id % 8 * 60 + CASE WHEN word_id % 8 >= 4 THEN 80 ELSE 0 END AS INT) AS x0,
+               CAST(word_id // 8 * 12 + word_id % 3 AS INT) AS top, 10 + CASE WHEN word_id // 8 % 10 = 0 THEN 4 ELSE 0 END AS size,
+               CAST(20 + word_id * 7 % 80 AS INT) AS conf, CAST(word_id // 8 AS INT) AS line
+        FROM (SELECT doc_id * 1000000 + (i - 1) // 200 AS page, CAST((i - 1) % 200 AS INT) AS word_id, w[i] AS text
+              FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) d, unnest(range(1, len(w) + 1)) t(i)))
     WHERE length(text) > 0"""

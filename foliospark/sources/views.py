@@ -99,14 +99,17 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, customer=table(spark, sf_dir, "customer"))
 
 
-WORDS_LIMIT = 200
+#: Words on a sheet of the layout view, and the room for sheets in a page number.
+SHEET_WORDS, SHEETS = 200, 1_000_000
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Word boxes laid out on lines of eight words with a gutter after the fourth,
-    from the first words of each document (the layout view's own definition)."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.slice(F.split("text", " "), 1, WORDS_LIMIT).alias("w"))
-    w = rows.select(F.col("doc_id").alias("page"), F.posexplode("w").alias("word_id", "text")).where(F.length("text") > 0)
+    """Word boxes of whole documents, laid out on sheets of ``SHEET_WORDS`` words: lines
+    of eight words with a gutter after the fourth. A sheet is a page of its own, so
+    layout windows are bounded by a sheet however long a document is."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text")).where(F.length("text") > 0)
+    word = (F.col("i") % SHEET_WORDS).cast("int")
+    w = rows.select((F.col("doc_id") * SHEETS + F.floor(F.col("i") / SHEET_WORDS)).alias("page"), word.alias("word_id"), "text")
     line, col = F.floor(F.col("word_id") / 8).cast("int"), F.col("word_id") % 8
     x0 = (col * 60 + F.when(col >= 4, 80).otherwise(0)).cast("int")
     top = (line * 12 + F.col("word_id") % 3).cast("int")
@@ -114,3 +117,10 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page", "word_id", "text", x0.alias("x0"), (x0 + 6 * F.length("text")).alias("x1"), top.alias("top"), (top + 10).alias("bottom"),
         (10 + F.when(line % 10 == 0, 4).otherwise(0)).alias("size"), (20 + F.col("word_id") * 7 % 80).cast("int").alias("conf"), line.alias("line"),
     )
+
+
+def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``page`` of every sheet of :func:`words`, from the documents' word counts."""
+    last = F.floor((F.size(F.split("text", " ")) - 1) / SHEET_WORDS)
+    sheet = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("sheet")
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", sheet).select((F.col("doc_id") * SHEETS + F.col("sheet")).alias("page"))

@@ -38,9 +38,24 @@ def windowed_counter(events: DataFrame, width: str = "1 hour", watermark: str =
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", width).alias("w"), "account").agg(F.count(F.lit(1)).alias("used")).select("w.start", "w.end", "account", "used")
 
 
-def drain(stream: DataFrame, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now, into a table in memory; return it."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{checkpoint}/{name}").trigger(availableNow=True).start()
+def running_totals(events: DataFrame, *keys: str) -> DataFrame:
+    """Totals since the stream began, by key; for the complete or update mode."""
+    return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def drain(stream: DataFrame, shared: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there now, into a table below ``shared``; return it.
+
+    Each micro-batch has a folder of its own that a repeated batch overwrites; in
+    the complete mode the last batch is the table. Nothing passes through the driver."""
+    spark, name = stream.sparkSession, f"drained_{uuid.uuid4().hex}"
+    path, columns = f"{shared}/{name}/table", stream.columns
+    empty = spark.createDataFrame([], stream.schema)
+    empty.write.parquet(f"{path}/batch=-1")
+
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.foreachBatch(store).outputMode(mode).option("checkpointLocation", f"{shared}/{name}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.parquet(path).select(*columns)
