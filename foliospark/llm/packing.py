@@ -82,7 +82,7 @@ def cut(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int, id_c
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch[0].to_pylist(), common.texts(batch[1])):
-                ids = enc.encode_ordinary(text)
+                ids = enc.encode(text)
                 ids.append(end_id)
                 n, raw = len(ids), np.array(ids, "<u4").tobytes()
                 at, piece = 0, 0

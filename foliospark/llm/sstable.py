@@ -216,7 +216,7 @@ def write_shards(docs: DataFrame, workspace: common.Workspace, tokenizer_path: s
     spark = docs.sparkSession
     common.prepare(spark)
     folder = workspace.path("shards")
-    wide = 2 if len(encoder(tokenizer_path)._mergeable_ranks) <= 1 << 16 else 4
+    wide = 2 if encoder(tokenizer_path).n_vocab <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = common.open_store(folder)
@@ -228,7 +228,7 @@ def write_shards(docs: DataFrame, workspace: common.Workspace, tokenizer_path: s
                     name, first = f"{base}/{uuid.uuid4().hex}.sst", doc_id
                     sink = fs.open_output_stream(name, compression=None)
                     writer = ShardWriter(sink, wide)
-                ids = enc.encode_ordinary(text)
+                ids = enc.encode(text)
                 ids.append(end_id)
                 writer.add(doc_id, np.array(ids, np.uint32))
         if writer is not None:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import random
 import zlib
 
@@ -190,3 +191,52 @@ def test_op8(spark, library):
         at += len(ids)
     assert sorted(got, key=lambda r: r[1]) == expected
     assert sstable.read_shards(sstable.write_shards(nothing(spark), common.Workspace(spark, "t"), JSON)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def plain_library():
+    """The library as it reads the file: added tokens are recognised in a text."""
+    return Tokenizer.from_file(JSON)
+
+
+END = "<|endoftext|>"
+PARTS = st.sampled_from([END, END[:-1], END[1:], "<|", "a", " ", "  \n", "Été ", "'s", "1!", "日本"])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(PARTS | TEXTS, max_size=12).map("".join))
+def test_added_tokens_in_texts_equal_library(plain_library, text):
+    assert tokens.encoder(JSON).encode(text) == plain_library.encode(text, add_special_tokens=False).ids
+
+
+def test_added_tokens_that_take_blanks_equal_library(tmp_path):
+    spec = json.load(open(JSON, encoding="utf-8"))
+    spec["added_tokens"].append({**spec["added_tokens"][0], "id": 50257, "content": END + "x", "lstrip": True})
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps(spec))
+    library, coder = Tokenizer.from_file(str(path)), tokens.encoder(str(path))
+    for text in (f"a  {END}x b", f"a {END} b{END}xx", "none"):
+        assert coder.encode(text) == library.encode(text, add_special_tokens=False).ids
+    assert coder.n_vocab == 50258
+
+
+MARKED = [(1, f"a{END}b"), (2, f"{END}{END} "), (3, f"x  {END}\n{END[:-1]} y"), (4, "after"), (None, END), (4, f"{END} again " * 40)]
+
+
+def test_op6_with_added_tokens(spark, plain_library):
+    rows = packing.pack(documents(spark, MARKED), JSON).collect()
+    expected = []
+    for i, t in MARKED:
+        ids = plain_library.encode(t, add_special_tokens=False).ids + [0]
+        expected.append((i, 0, 0, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted([(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows], key=str) == sorted(expected, key=str)
+
+
+def test_op8_with_added_tokens(spark, plain_library):
+    got = [tuple(r) for r in sstable.read_shards(sstable.write_shards(documents(spark, MARKED), common.Workspace(spark, "t"), JSON)).collect()]
+    expected, at = [], 0
+    for i, t in sorted(MARKED, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
+        ids = plain_library.encode(t, add_special_tokens=False).ids + [0]
+        expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(got, key=lambda r: r[1]) == expected
