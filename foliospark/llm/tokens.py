@@ -19,6 +19,12 @@ from tokenizers import Tokenizer
 #: Fixed value: the pre-tokenizer pattern of byte-level BPE vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: White space as the pattern's engine has it (Python's ``\\s`` has four characters more).
+BLANK = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The engine fails on runs of about a million; from this length on they bypass its pattern.
+LONG_RUN = 100_000
+_LONG_RUN = re.compile(f"[{BLANK}]{{{LONG_RUN},}}")
+
 
 def byte_alphabet() -> dict[int, str]:
     """The printable stand-in of each byte: itself if it prints in Latin-1, else
@@ -63,8 +69,19 @@ class Encoder:
         return ids + self.encode_ordinary(text[at:])
 
     def encode_ordinary(self, text: str) -> list[int]:
-        """The same with strings of added tokens taken as ordinary text."""
-        return self._engine.encode_ordinary(text)
+        """The same with strings of added tokens taken as ordinary text.
+
+        The pattern makes a run of white space one piece but for its last character
+        if more text follows; a long run is encoded as that piece directly."""
+        if len(text) < LONG_RUN:
+            return self._engine.encode_ordinary(text)
+        ids, at = [], 0
+        for m in _LONG_RUN.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            ids += self._engine.encode_ordinary(text[at : m.start()])
+            ids += self._engine._encode_single_piece(text[m.start() : end])
+            at = end
+        return ids + self._engine.encode_ordinary(text[at:])
 
 
 @lru_cache(maxsize=4)

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import random
+import re
 import zlib
 
 import numpy as np
@@ -220,6 +221,37 @@ def test_added_tokens_that_take_blanks_equal_library(tmp_path):
     assert coder.n_vocab == 50258
 
 
+def test_blanks_are_those_of_the_engine():
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    engine = tiktoken.Encoding("s", pat_str=r"\s", mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
+    assert "".join(re.findall(f"[{tokens.BLANK}]", every)) == bytes(engine.encode_ordinary(every)).decode()
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \t\r\n", "\xa0 "])
+@pytest.mark.parametrize("before, after", [("", ""), ("a", ""), ("", "b"), ("it's", "1 x"), (END, END), ("\x1c", "\x1f")])
+def test_long_blank_runs_equal_library(plain_library, monkeypatch, blank, before, after):
+    monkeypatch.setattr(tokens, "LONG_RUN", 5)
+    monkeypatch.setattr(tokens, "_LONG_RUN", re.compile(f"[{tokens.BLANK}]{{5,}}"))
+    for n in range(1, 24):
+        text = before + blank * n + after + blank * 7 + before + blank + after
+        assert tokens.encoder(JSON).encode(text) == plain_library.encode(text, add_special_tokens=False).ids
+
+
+HUGE = [(1, "a" + " " * 1_200_000 + "b"), (2, "\n" * 1_100_000), (3, "c")]
+
+
+def test_over_a_million_blanks_equal_library(spark, plain_library):
+    expected, at = [], 0
+    for i, t in HUGE:
+        ids = plain_library.encode(t, add_special_tokens=False).ids + [0]
+        expected.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    got = sstable.read_shards(sstable.write_shards(documents(spark, HUGE), common.Workspace(spark, "t"), JSON)).collect()
+    assert sorted(map(tuple, got)) == expected
+    packed = packing.pack(documents(spark, HUGE), JSON, max_tokens=2**21).collect()
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in packed) == [(i, n, crc) for i, _, n, crc in expected]
+
+
 MARKED = [(1, f"a{END}b"), (2, f"{END}{END} "), (3, f"x  {END}\n{END[:-1]} y"), (4, "after"), (None, END), (4, f"{END} again " * 40)]
 
 
