@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -39,7 +39,7 @@ CHUNK_SETS, CHUNK_SHINGLES, BUCKET_SHINGLES, LEAST_BUCKETS = 4_000, 1_000_000, 6
 #: A block of a cluster is meant for so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 
-PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary"
+PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 DOCS, SINGLE, SHARED, COUNTS = range(4)
 
 
@@ -58,18 +58,18 @@ def _packed(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.Recor
 
 
 def _pack_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return _packed(rows, ("bucket", "kind", "a", "b", "c", "d"), (pa.int32(), pa.int32(), *[pa.binary()] * 4))
+    return _packed(rows, ("bucket", "kind", "a", "b", "c", "d", "e"), (pa.int32(), pa.int32(), *[pa.binary()] * 5))
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
-    """Ids and shingle sets, a chunk at a time."""
+    """Ids with text hashes, and shingle sets, a chunk at a time."""
     ids: list = []
     sets: list[np.ndarray] = []
     held = 0
     for batch in batches:
         new = shingle_sets(common.utf8_views(batch[1]))
-        for i, s in zip(batch[0].to_pylist(), new):
-            ids.append(i)
+        for i, h, s in zip(batch[0].to_pylist(), batch[2].to_pylist(), new):
+            ids.append((i, h))
             sets.append(s)
             held += len(s)
             if len(sets) >= CHUNK_SETS or held >= CHUNK_SHINGLES:
@@ -84,9 +84,10 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
     for ids, sets in _chunks(batches):
         fps = np.array([fingerprint(s) if len(s) else 0 for s in sets], np.uint64)
         sizes = np.array([len(s) for s in sets], np.uint32)
-        known = np.array([i is not None for i in ids])
-        numbers = np.array([i if i is not None else 0 for i in ids], np.int64)
-        rows = [(int(fps[0] % np.uint64(buckets)), DOCS, numbers.tobytes(), known.tobytes(), fps.tobytes(), sizes.tobytes())]
+        known = np.array([i is not None for i, _ in ids])
+        numbers = np.array([i if i is not None else 0 for i, _ in ids], np.int64)
+        hashes = np.array([h for _, h in ids], np.int64)
+        rows = [(int(fps[0] % np.uint64(buckets)), DOCS, numbers.tobytes(), known.tobytes(), fps.tobytes(), sizes.tobytes(), hashes.tobytes())]
         _, first = np.unique(fps, return_index=True)
         first = first[sizes[first] > 0]
         if len(first):
@@ -102,7 +103,7 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             part = fps[first] % np.uint64(buckets)
             for p in np.unique(part):
                 at = part == p
-                rows.append((int(p), COUNTS, fps[first][at].tobytes(), local[at].tobytes(), sizes[first][at].tobytes(), None))
+                rows.append((int(p), COUNTS, fps[first][at].tobytes(), local[at].tobytes(), sizes[first][at].tobytes(), None, None))
             once = order[~again]
             once.sort()  # back to set order
             _split(rows, SINGLE, shingles[once], owner[once], fps[first], buckets)
@@ -120,15 +121,15 @@ def _split(rows: list, kind: int, shingles: np.ndarray, owner, fps, buckets: int
         if lo == hi:
             continue
         if owner is None:
-            rows.append((b, kind, short[lo:hi].tobytes(), None, None, None))
+            rows.append((b, kind, short[lo:hi].tobytes(), None, None, None, None))
         else:
             who, counts = np.unique(owner[order[lo:hi]], return_counts=True)
-            rows.append((b, kind, short[lo:hi].tobytes(), counts.astype(np.uint32).tobytes(), fps[who].tobytes(), None))
+            rows.append((b, kind, short[lo:hi].tobytes(), counts.astype(np.uint32).tobytes(), fps[who].tobytes(), None, None))
 
 
 def _receive(table: pa.Table, buckets: int) -> pa.Table:
     """Step 1, a bucket: per set, the shingles that another chunk has too."""
-    rows = list(zip(*(table[c].to_pylist() for c in ("bucket", "kind", "a", "b", "c", "d"))))
+    rows = list(zip(*(table[c].to_pylist() for c in ("bucket", "kind", "a", "b", "c", "d", "e"))))
     keep = [r for r in rows if r[1] in (DOCS, COUNTS)]
     lists = [r for r in rows if r[1] in (SINGLE, SHARED)]
     if lists:
@@ -151,7 +152,7 @@ def _receive(table: pa.Table, buckets: int) -> pa.Table:
             for p in range(buckets):
                 at = order[edges[p] : edges[p + 1]]
                 if len(at):
-                    keep.append((p, COUNTS, fps[at].tobytes(), counts[at].tobytes(), None, None))
+                    keep.append((p, COUNTS, fps[at].tobytes(), counts[at].tobytes(), None, None, None))
     return pa.Table.from_batches([_pack_rows(keep)])
 
 
@@ -315,31 +316,26 @@ def _verify(table: pa.Table, percent: int) -> pa.Table:
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for a, b, c, d in zip(*(batch[k].to_pylist() for k in "abcd")):
+        for a, b, c, d, e in zip(*(batch[k].to_pylist() for k in "abcde")):
             known = np.frombuffer(b, bool)
-            yield pa.record_batch([pa.array(np.frombuffer(a, np.int64), mask=~known), pa.array(np.frombuffer(c, np.uint64).astype(np.int64)), pa.array(np.frombuffer(d, np.uint32).astype(np.int64))], names=["doc_id", "fp", "n_shingles"])
+            yield pa.record_batch([pa.array(np.frombuffer(a, np.int64), mask=~known), pa.array(np.frombuffer(c, np.uint64).astype(np.int64)), pa.array(np.frombuffer(d, np.uint32).astype(np.int64)), pa.array(np.frombuffer(e, np.int64))], names=["doc_id", "fp", "n_shingles", "text_hash"])
 
 
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: ``doc_id, n_shingles, component_id``.
-
-    Sets link when 100 * intersection >= percent * union. The component is the
-    smallest id reachable by links. A null, empty or blank text has no shingles
-    and links with nothing. A row with a null id takes part; its component is the
-    smallest id it reaches, null if none. Repeated rows are equal sets. Other
-    columns are ignored; an empty table gives an empty result.
-    """
+def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """One row per input row: ``doc_id, fp, n_shingles, text_hash``; and one row per
+    set that several rows have or that links: ``fp, root, component``, the smallest set
+    and the smallest id (null if all are) of its component."""
     spark = docs.sparkSession
     common.prepare(spark)
     ws = common.Workspace(spark, "jaccard")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     characters = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Every set reports to every bucket that holds its shingles: no more buckets than needed.
     buckets = max(LEAST_BUCKETS, characters // 6 // BUCKET_SHINGLES + 1)
 
     sent = rows.mapInArrow(lambda it: _send(it, buckets), PACKED)
     packed = ws.stage(sent.groupBy("bucket").applyInArrow(lambda t: _receive(t, buckets), PACKED), "packed")
-    docs_table = ws.stage(packed.where(F.col("kind") == DOCS).mapInArrow(_documents, "doc_id long, fp long, n_shingles long"), "documents")
+    docs_table = ws.stage(packed.where(F.col("kind") == DOCS).mapInArrow(_documents, "doc_id long, fp long, n_shingles long, text_hash long"), "documents")
     survivors = packed.where(F.col("kind") == COUNTS).groupBy("bucket").applyInArrow(lambda t: _survivors(t, percent), "fp long")
     classes = docs_table.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = ws.stage(classes, "classes")
@@ -374,21 +370,48 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "d
     roots = ws.stage(connected_components(links, ws, "components"), "components")
 
     least = classes.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least_id").alias("component"))
-    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "component")
-    known = classes.join(linked, "fp", "left").where("copies > 1 OR component IS NOT NULL")
+    linked = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "component")
+    known = classes.join(linked, "fp", "left").where("copies > 1 OR root IS NOT NULL")
     # Written: the last join reads two plain exchanges, so a hot copy's rows can be split.
-    known = ws.stage(known.select("fp", F.coalesce("component", "least_id").alias("component")), "known")
+    known = ws.stage(known.select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least_id").alias("component")), "known")
+    return docs_table, known
+
+
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id``.
+
+    Sets link when 100 * intersection >= percent * union. The component is the
+    smallest id reachable by links. A null, empty or blank text has no shingles
+    and links with nothing. A row with a null id takes part; its component is the
+    smallest id it reaches, null if none. Repeated rows are equal sets. Other
+    columns are ignored; an empty table gives an empty result.
+    """
+    docs_table, known = _judged(docs, percent, id_col, text_col)
     own = docs_table.join(known, "fp", "left")
     found = F.when(F.col("n_shingles") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
     return own.select("doc_id", "n_shingles", found.alias("component_id"))
 
 
 def keep_representatives(docs: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the smallest id.
+    """The rows of ``docs`` that stay: one of each component, that with the smallest id.
 
-    Ids are taken to tell rows apart; rows that share one stay or go together.
+    Null ids come last; of rows that share the id, that with the smallest text hash
+    stays, and rows that repeat both id and text are reduced to one of them. Rows are
+    dropped by id and text hash, so rows that only share an id fare apart.
     """
     ws = common.Workspace(docs.sparkSession, "representatives")
-    found = jaccard_components(docs, percent, id_col, text_col)
-    gone = ws.stage(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(common.bounded(gone), F.col(id_col).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    rows, known = _judged(docs, percent, id_col, text_col)
+    found = rows.where("n_shingles > 0").join(known, "fp")
+    found = ws.stage(found.select("root", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("doc_id").eqNullSafe(F.col("component")).alias("least")), "found")
+    first = ws.stage(found.where("least").groupBy("root").agg(F.min("__hash").alias("first")), "first")
+    keys = found.join(first, "root").select("__id", "__hash", (F.col("least") & (F.col("__hash") == F.col("first"))).alias("kept"))
+    keys = ws.stage(keys, "keys")
+    same = (F.col("__hash") == F.col("__own")) & F.col("__id").eqNullSafe(F.col(id_col).cast("long"))
+    marked = docs.withColumn("__own", F.xxhash64(F.col(text_col)))
+    gone = ws.stage(keys.where(~F.col("kept")).select("__id", "__hash").distinct(), "gone")
+    rest = marked.join(common.bounded(gone), same, "left_anti")
+    twins = ws.stage(keys.where("kept").groupBy("__id", "__hash").count().where("count > 1").select("__id", "__hash"), "twins")
+    if twins.isEmpty():
+        return rest.select(*docs.columns)
+    repeated = rest.join(common.bounded(twins), same, "left_semi").dropDuplicates([id_col, "__own"])
+    return rest.join(common.bounded(twins), same, "left_anti").unionByName(repeated).select(*docs.columns)

@@ -186,3 +186,39 @@ def test_keep_representatives(spark):
     rows = near_copies(3)
     kept = {r.doc_id for r in jaccard.keep_representatives(documents(spark, rows)).collect()}
     assert kept == {c for _, _, c in brute_components(rows)}
+
+
+def awkward_components():
+    """Rows, and of each component all of them."""
+    words = [f"v{i}" for i in range(300)]
+    a, b, c, d, e = (" ".join(words[i : i + 40]) for i in range(0, 250, 50))
+    groups = [
+        [(1, a), (None, a + " x")],  # a null id near a known one
+        [(None, b)],  # alone, and of the same null id
+        [(None, c), (None, c + " y"), (None, "z " + c)],  # near copies without any id
+        [(7, d), (7, d + " q"), (7, d.upper())],  # near copies that share an id
+        [(7, e), (9, e + " r")],  # the same id elsewhere
+        [(9, "p q r s t u v w")],  # an id that went in another component
+        [(5, "five five five"), (5, "five five five")],  # the whole row repeated
+    ]
+    return groups, [[(None, None)], [(9, "")], [(9, " ")], [(1, " ")]]
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_keep_one_row_a_component(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    groups, blank = awkward_components()
+    rows = [r for g in groups + blank for r in g]
+    frame = jaccard.keep_representatives(documents(spark, rows))
+    kept = [(r.doc_id, r.text) for r in frame.collect()]
+    assert frame.columns == documents(spark, rows).columns
+    for g in groups:
+        ids = [i for i, _ in g if i is not None]
+        own = [k for k in kept if k in g]
+        assert len(own) == 1 and own[0][0] == (min(ids) if ids else None)
+    assert sorted((k for k in kept if not (k[1] or "").strip()), key=str) == sorted((r for g in blank for r in g), key=str)
+    assert len(kept) == len(groups) + len(blank)
+
+
+def test_keep_representatives_of_nothing(spark):
+    assert jaccard.keep_representatives(nothing(spark)).count() == 0
