@@ -297,20 +297,41 @@ def forest(linked: np.ndarray) -> np.ndarray:
     return root
 
 
-def _verify(table: pa.Table, percent: int) -> pa.Table:
-    """Step 4, a pair of blocks: a spanning forest of its links."""
-    fps = table["fp"].to_numpy()
-    sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-    fps, first = np.unique(fps, return_index=True)
-    sets = [sets[i] for i in first]
+def _runs(cluster: np.ndarray, block_sets: int) -> Iterator[slice]:
+    """Cuts sorted cluster numbers into runs of whole clusters, of at most
+    ``block_sets`` sets unless a single cluster has more."""
+    edges = np.concatenate((np.flatnonzero(np.concatenate(([True], cluster[1:] != cluster[:-1]))), [len(cluster)])).tolist()
+    begin = 0
+    for at, end in zip(edges[:-1], edges[1:]):
+        if at > begin and end - begin > block_sets:
+            yield slice(begin, at)
+            begin = at
+    yield slice(begin, edges[-1])
+
+
+def _verify(table: pa.Table, percent: int, block_sets: int) -> pa.Table:
+    """Step 4, a pair of blocks or a bin of clusters: a spanning forest of its links.
+
+    A matrix of overlaps holds one pair of blocks, or small clusters of a bin up to
+    the size of a block, however many sets the bin has."""
+    every = table["fp"].to_numpy()
+    _, first = np.unique(every, return_index=True)
+    cluster = table["cluster"].to_numpy()[first]
+    order = np.argsort(cluster, kind="stable")
+    first, cluster = first[order], cluster[order]
+    fps, shingles = every[first], table["shingles"].take(pa.array(first)).to_pylist()
     a: list[int] = []
     b: list[int] = []
-    if len(sets) > 1:
+    for run in _runs(cluster, block_sets):
+        sets, own = [np.frombuffer(x, np.uint64) for x in shingles[run]], fps[run]
+        if len(sets) < 2:
+            continue
         shared, size = overlaps(sets), np.array([len(s) for s in sets])
         linked = (shared > 0) & (100 * shared >= percent * (size[:, None] + size[None, :] - shared))
         root = forest(linked)
         tied = np.flatnonzero(root != np.arange(len(sets)))
-        a, b = fps[tied].tolist(), fps[root[tied]].tolist()
+        a += own[tied].tolist()
+        b += own[root[tied]].tolist()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -359,14 +380,14 @@ def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
     sizes = ws.stage(sizes.select("cluster", blocks.alias("blocks"), "all"), "sizes")
     small = sizes.where("blocks = 1").agg(F.sum("all")).first()[0] or 0
-    bins = int(small // BLOCK_SHINGLES + 1)
+    bins, block_sets = int(small // BLOCK_SHINGLES + 1), BLOCK_SETS
     placed = placed.join(sizes.drop("all"), "cluster")
     # Whole small clusters share a bin; a block of a large one meets each block once.
-    lone = placed.where("blocks = 1").select(F.lit(-1).cast("long").alias("x"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j"), "fp", "shingles")
+    lone = placed.where("blocks = 1").select(F.lit(-1).cast("long").alias("x"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j"), "cluster", "fp", "shingles")
     part = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     large = placed.where("blocks > 1").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select(F.col("cluster").alias("x"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "fp", "shingles")
-    links = lone.unionAll(large).groupBy("x", "i", "j").applyInArrow(lambda t: _verify(t, percent), "a long, b long")
+    large = large.select(F.col("cluster").alias("x"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cluster", "fp", "shingles")
+    links = lone.unionAll(large).groupBy("x", "i", "j").applyInArrow(lambda t: _verify(t, percent, block_sets), "a long, b long")
     roots = ws.stage(connected_components(links, ws, "components"), "components")
 
     least = classes.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least_id").alias("component"))

@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -222,3 +223,22 @@ def test_keep_one_row_a_component(spark, monkeypatch, limit):
 
 def test_keep_representatives_of_nothing(spark):
     assert jaccard.keep_representatives(nothing(spark)).count() == 0
+
+
+def test_matrices_of_a_bin_are_no_larger_than_a_block(monkeypatch):
+    rng, held, sizes = np.random.default_rng(4), [], []
+    plain = jaccard.overlaps
+    monkeypatch.setattr(jaccard, "overlaps", lambda sets: sizes.append(len(sets)) or plain(sets))
+    for cluster in range(300):
+        base = rng.integers(0, 2**62, 12).astype(np.uint64)
+        for k in range(rng.integers(2, 9)):
+            s = np.unique(np.concatenate((base, rng.integers(0, 2**62, k % 3).astype(np.uint64))))
+            held.append((cluster * 7919 % 300 - 150, jaccard.fingerprint(s), s.tobytes()))
+    held = [held[i] for i in rng.permutation(len(held))]
+    cluster, fp, shingles = zip(*held)
+    table = pa.table({"cluster": pa.array(cluster, pa.int64()), "fp": pa.array(fp, pa.int64()), "shingles": pa.array(shingles, pa.binary())})
+    got = jaccard._verify(table, 75, 40)
+    assert max(sizes) <= 40 and sum(sizes) > 1000 > 300 > len(sizes)
+    owner = dict(zip(fp, cluster))
+    assert all(owner[a] == owner[b] for a, b in zip(got["a"].to_pylist(), got["b"].to_pylist()))
+    assert set(got["a"].to_pylist()) | set(got["b"].to_pylist()) == set(fp) and got.num_rows == len(set(fp)) - 300
