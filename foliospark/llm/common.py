@@ -19,9 +19,9 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows per Arrow batch sent to Python. A batch holds whole texts, so this, times
-#: the longest text, bounds a worker's memory.
-ARROW_ROWS = 500
+#: Bytes per Arrow batch sent to Python, where the session names no bound of its own.
+#: A batch holds whole texts: it ends with the text that reaches the bound.
+ARROW_BYTES = 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -83,11 +83,16 @@ def _cleanup() -> None:
 
 
 _shipped: set[str] = set()
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def prepare(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound the rows in an Arrow batch and give the executors this package."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def prepare(spark: SparkSession) -> None:
+    """Bound the bytes in an Arrow batch and give the executors this package.
+
+    The bound is the same for all operators, so a result that is read late runs under
+    the bound it was planned with; what the session sets itself stays as it is."""
+    if _BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(_BATCH_BYTES, str(ARROW_BYTES))
     app = spark.sparkContext.applicationId
     if app not in _shipped:
         _shipped.add(app)

@@ -8,12 +8,18 @@
    frequent, so passages that many documents share come last. A set's prefix is
    its rarest ``n - ceil(t n) + 1`` shingles. Sets with equal prefix and size form
    one group, and groups, not sets, are joined on prefix shingles.
-3. *Filter.* Groups that share a prefix shingle are joined through the shingle's
-   smallest group: as many rows as postings, whatever a list's length. Their
-   connected components are the candidate clusters.
-4. *Verification.* Groups expand to members, in blocks of bounded size; each pair of
-   blocks of a cluster is compared exactly in memory and reports a spanning
-   forest of its links, never the pairs.
+3. *Filter.* Two groups that share a prefix shingle pass if their sizes allow the
+   threshold and if enough shingles are left from the shingle's position on in both
+   (size and position filter). Pairs that pass are not listed: within a shingle the
+   sizes that a group may meet are an interval, so one running maximum over
+   (size, reach) ties every group to one that it passes with, and the ties connect
+   exactly what the pairs would. Their components are the candidate clusters.
+4. *Verification.* Groups expand to members. Small clusters are compared whole in
+   memory. A large cluster is dealt to units of bounded size, each with the cluster's
+   most central sets; most of it links there. Group pairs that pass the filter and are
+   not yet known to be connected are then listed, expanded and compared, or, where
+   that would be most of the pairs of a cluster, what stands outside the cluster's
+   largest component meets the cluster in blocks.
 
 Copies (equal sets) are one set from the start. Everything travels as packed
 arrays; a shingle held by a third of all sets costs one entry a chunk.
@@ -25,8 +31,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -35,9 +42,17 @@ from .shingles import shingle_sets
 
 PERCENT = 75
 #: A chunk ends at this many sets or shingles, a bucket is meant for so many shingles.
-CHUNK_SETS, CHUNK_SHINGLES, BUCKET_SHINGLES, LEAST_BUCKETS = 4_000, 1_000_000, 6_000_000, 8
-#: A block of a cluster is meant for so many sets and shingles.
+CHUNK_SETS, CHUNK_SHINGLES, BUCKET_SHINGLES, LEAST_BUCKETS = 4_000, 1_000_000, 2_000_000, 8
+#: A cluster beyond either is large; a unit of one is meant for so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
+#: Sets in a bin of small clusters (a bin is read as a whole, compared in blocks).
+BIN_SETS = 2_000
+#: Central sets of a large cluster that each of its units gets, at most.
+PIVOTS = 32
+#: A cluster is compared in blocks if pairs would make so many times the rows.
+PAIRS_PER_SET = 16
+#: Reaches are rounded up to this share of the size, so that a shingle has few of them.
+REACH_STEPS = 64
 
 PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 DOCS, SINGLE, SHARED, COUNTS = range(4)
@@ -61,6 +76,20 @@ def _pack_rows(rows: list[tuple]) -> pa.RecordBatch:
     return _packed(rows, ("bucket", "kind", "a", "b", "c", "d", "e"), (pa.int32(), pa.int32(), *[pa.binary()] * 5))
 
 
+def _buffers(column: pa.ChunkedArray) -> list:
+    """The bytes of each value without copying; None for null."""
+    return [v.as_buffer() if v.is_valid else None for v in column]
+
+
+def _parts(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each number in ``key`` and the places that hold it, in order."""
+    order = np.argsort(key, kind="stable")
+    ranked = key[order]
+    edges = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1], [True]))) if len(key) else np.zeros(1, int)
+    for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
+        yield int(ranked[lo]), order[lo:hi]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
     """Ids with text hashes, and shingle sets, a chunk at a time."""
     ids: list = []
@@ -100,10 +129,8 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             again[1:] |= same
             again[:-1] |= same
             local = np.bincount(owner[order[again]], minlength=len(first)).astype(np.uint32)
-            part = fps[first] % np.uint64(buckets)
-            for p in np.unique(part):
-                at = part == p
-                rows.append((int(p), COUNTS, fps[first][at].tobytes(), local[at].tobytes(), sizes[first][at].tobytes(), None, None))
+            for p, at in _parts(fps[first] % np.uint64(buckets)):
+                rows.append((p, COUNTS, fps[first][at].tobytes(), local[at].tobytes(), sizes[first][at].tobytes(), None, None))
             once = order[~again]
             once.sort()  # back to set order
             _split(rows, SINGLE, shingles[once], owner[once], fps[first], buckets)
@@ -112,26 +139,22 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
 
 
 def _split(rows: list, kind: int, shingles: np.ndarray, owner, fps, buckets: int) -> None:
+    """A row per bucket that the chunk's shingles meet, so never more rows than shingles."""
     high, bucket = np.divmod(shingles, np.uint64(buckets))
-    order = np.argsort(bucket, kind="stable")
-    edges = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-    short = (high & np.uint64(0xFFFFFFFF)).astype(np.uint32)[order]
-    for b in range(buckets):
-        lo, hi = edges[b], edges[b + 1]
-        if lo == hi:
-            continue
+    short = (high & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    for b, at in _parts(bucket):
         if owner is None:
-            rows.append((b, kind, short[lo:hi].tobytes(), None, None, None, None))
+            rows.append((b, kind, short[at].tobytes(), None, None, None, None))
         else:
-            who, counts = np.unique(owner[order[lo:hi]], return_counts=True)
-            rows.append((b, kind, short[lo:hi].tobytes(), counts.astype(np.uint32).tobytes(), fps[who].tobytes(), None, None))
+            who, counts = np.unique(owner[at], return_counts=True)
+            rows.append((b, kind, short[at].tobytes(), counts.astype(np.uint32).tobytes(), fps[who].tobytes(), None, None))
 
 
 def _receive(table: pa.Table, buckets: int) -> pa.Table:
     """Step 1, a bucket: per set, the shingles that another chunk has too."""
-    rows = list(zip(*(table[c].to_pylist() for c in ("bucket", "kind", "a", "b", "c", "d", "e"))))
-    keep = [r for r in rows if r[1] in (DOCS, COUNTS)]
-    lists = [r for r in rows if r[1] in (SINGLE, SHARED)]
+    passed = table.filter(pc.is_in(table["kind"], pa.array([DOCS, COUNTS], pa.int32())))
+    keep = []
+    lists = [r for r in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), *(_buffers(table[c]) for c in "abc")) if r[1] in (SINGLE, SHARED)]
     if lists:
         every = np.concatenate([np.frombuffer(r[2], np.uint32) for r in lists])
         every.sort()
@@ -146,14 +169,9 @@ def _receive(table: pa.Table, buckets: int) -> pa.Table:
         if totals:
             fps, counts = (np.concatenate(x) for x in zip(*totals))
             fps, counts = fps[counts > 0], counts[counts > 0]
-            part = fps % np.uint64(buckets)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(buckets + 1, dtype=np.uint64))
-            for p in range(buckets):
-                at = order[edges[p] : edges[p + 1]]
-                if len(at):
-                    keep.append((p, COUNTS, fps[at].tobytes(), counts[at].tobytes(), None, None, None))
-    return pa.Table.from_batches([_pack_rows(keep)])
+            for p, at in _parts(fps % np.uint64(buckets)):
+                keep.append((p, COUNTS, fps[at].tobytes(), counts[at].tobytes(), None, None, None))
+    return pa.concat_tables([passed, pa.Table.from_batches([_pack_rows(keep)]).cast(passed.schema)])
 
 
 def _survivors(table: pa.Table, percent: int) -> pa.Table:
@@ -187,14 +205,7 @@ def _frequencies_out(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterato
     for batch in batches:
         for chunk, raw in zip(batch["chunk"].to_pylist(), batch["a"].to_pylist()):
             unique, counts = np.unique(np.frombuffer(raw, np.uint64), return_counts=True)
-            part = unique % np.uint64(buckets)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(buckets + 1, dtype=np.uint64))
-            rows = []
-            for p in range(buckets):
-                at = order[edges[p] : edges[p + 1]]
-                if len(at):
-                    rows.append((p, chunk, unique[at].tobytes(), counts[at].astype(np.uint32).tobytes()))
+            rows = [(p, chunk, unique[at].tobytes(), counts[at].astype(np.uint32).tobytes()) for p, at in _parts(unique % np.uint64(buckets))]
             yield _packed(rows, ("bucket", "chunk", "a", "b"), (pa.int32(), pa.int64(), pa.binary(), pa.binary()))
 
 
@@ -212,17 +223,20 @@ def _frequencies_back(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([_packed(rows, ("chunk", "kind", "a", "b"), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))])
 
 
-MEMBERS = "gid long, fp long, n int, shingles binary, prefix array<long>"
+MEMBERS = "gid long, fp long, n int, lone int, shingles binary, prefix array<long>"
 
 
 def _prefixes(table: pa.Table, percent: int) -> pa.Table:
-    """Step 2, a chunk: prefixes by (frequency, hash), and groups of equal ones."""
+    """Step 2, a chunk: prefixes by (frequency, hash), and groups of equal ones.
+
+    ``lone`` counts the shingles that no other set has; they stand first in the prefix,
+    and ``prefix`` lists the others."""
     rows = list(zip(*(table[c].to_pylist() for c in ("kind", "a", "b"))))
     told = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)) for kind, a, b in rows if kind == 1]
     known, df = (np.concatenate(x) for x in zip(*told)) if told else (np.zeros(0, np.uint64), np.zeros(0, np.uint32))
     order = np.argsort(known)
     known, df = known[order], df[order]
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], [], [], []]
     seen = set()
     for kind, a, b in rows:
         if kind != 0:
@@ -236,7 +250,8 @@ def _prefixes(table: pa.Table, percent: int) -> pa.Table:
                 where = np.minimum(np.searchsorted(known, s), len(known) - 1)
                 f = np.where(known[where] == s, df[where], 1)
             keep = n - int(least_overlap(n, percent)) + 1
-            if (f == 1).sum() >= keep:
+            lone = int((f == 1).sum())
+            if lone >= keep:
                 continue
             fp = fingerprint(s)
             if fp in seen:
@@ -245,10 +260,10 @@ def _prefixes(table: pa.Table, percent: int) -> pa.Table:
             head = np.lexsort((s, f))[:keep]
             prefix = s[head]
             gid = xxhash.xxh3_64_intdigest(prefix.tobytes(), n) >> 1
-            for column, v in zip(out, (gid, fp, n, s.tobytes(), prefix[f[head] > 1].view(np.int64).tolist())):
+            for column, v in zip(out, (gid, fp, n, lone, s.tobytes(), prefix[f[head] > 1].view(np.int64).tolist())):
                 column.append(v)
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
-    return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=["gid", "fp", "n", "shingles", "prefix"])
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    return pa.table([pa.array(v, k) for v, k in zip(out, kinds)], names=["gid", "fp", "n", "lone", "shingles", "prefix"])
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -309,17 +324,21 @@ def _runs(cluster: np.ndarray, block_sets: int) -> Iterator[slice]:
     yield slice(begin, edges[-1])
 
 
-def _verify(table: pa.Table, percent: int, block_sets: int) -> pa.Table:
-    """Step 4, a pair of blocks or a bin of clusters: a spanning forest of its links.
+def linked(shared, a, b, percent: int):
+    """Whether sets of sizes ``a`` and ``b`` with ``shared`` common shingles link."""
+    return (shared > 0) & (100 * shared >= percent * (a + b - shared))
 
-    A matrix of overlaps holds one pair of blocks, or small clusters of a bin up to
-    the size of a block, however many sets the bin has."""
+
+def _verify(table: pa.Table, percent: int, block_sets: int) -> pa.Table:
+    """Step 4, a bin of small clusters or a unit of a large one: a spanning forest of
+    its links. A matrix of overlaps holds one cluster, or small ones up to the size of
+    a block, however many sets the bin has."""
     every = table["fp"].to_numpy()
     _, first = np.unique(every, return_index=True)
     cluster = table["cluster"].to_numpy()[first]
     order = np.argsort(cluster, kind="stable")
     first, cluster = first[order], cluster[order]
-    fps, shingles = every[first], table["shingles"].take(pa.array(first)).to_pylist()
+    fps, shingles = every[first], _buffers(table["shingles"].take(pa.array(first)))
     a: list[int] = []
     b: list[int] = []
     for run in _runs(cluster, block_sets):
@@ -327,14 +346,122 @@ def _verify(table: pa.Table, percent: int, block_sets: int) -> pa.Table:
         if len(sets) < 2:
             continue
         shared, size = overlaps(sets), np.array([len(s) for s in sets])
-        linked = (shared > 0) & (100 * shared >= percent * (size[:, None] + size[None, :] - shared))
-        root = forest(linked)
+        root = forest(linked(shared, size[:, None], size[None, :], percent))
         tied = np.flatnonzero(root != np.arange(len(sets)))
         a += own[tied].tolist()
         b += own[root[tied]].tolist()
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
+def _verify_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Step 4, single pairs: those that link."""
+    for batch in batches:
+        keep = []
+        for x, y in zip(_buffers(batch["x"]), _buffers(batch["y"])):
+            x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            keep.append(bool(linked(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)))
+        yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _postings(members: DataFrame, percent: int, *extra: str) -> DataFrame:
+    """Step 3: ``shingle, gid, n, reach``, a row per group and listed prefix shingle.
+
+    ``reach`` is the largest size that a set may have to link with the group if this
+    shingle is the first that they share: from position p on, n - p shingles are left,
+    and (100 + t) (n - p) >= t (n + m) bounds the other size m. Rounded up by less than
+    a ``REACH_STEPS``-th of n."""
+    listed = members.select(*extra, "gid", "n", "lone", F.posexplode("prefix").alias("at", "shingle")).distinct()
+    left = F.col("n") - F.col("lone") - F.col("at")
+    most = F.floor(left * (100 + percent) / percent + F.lit(1e-9)) - F.col("n")
+    step = F.greatest(F.lit(1), F.floor(F.col("n") / REACH_STEPS))
+    return listed.select(*extra, "shingle", "gid", "n", (F.col("n") + F.ceil((most - F.col("n")) / step) * step).cast("long").alias("reach"))
+
+
+def _ties(postings: DataFrame, ws: common.Workspace) -> DataFrame:
+    """Step 3: edges ``a, b`` between groups with the components that all pairs passing
+    the size and position filter would have, as many as there are postings at most.
+
+    Groups with equal (shingle, n, reach) are a class. A group passes with a smaller
+    one, of size m, if m <= its reach and its size <= the other's reach. So a class is
+    placed at min(n, reach) and looks at the largest reach of classes before it that
+    reach their own size at least; two of these that both reach a size beyond their
+    own pass with each other, so one tie is enough. A class that reaches its own size
+    is tied together; another only if it has found something to be tied to.
+    """
+    classes = postings.groupBy("shingle", "n", "reach").agg(F.min("gid").alias("rep"), F.count(F.lit(1)).alias("groups"))
+    own = F.col("reach") >= F.col("n")
+    before = Window.partitionBy("shingle").orderBy(F.least("n", "reach"), (~own).cast("int"), "reach", "rep").rowsBetween(Window.unboundedPreceding, -1)
+    best = F.max(F.when(own, F.struct("reach", "rep"))).over(before)
+    classes = classes.withColumn("best", best).withColumn("to", F.when(F.col("best.reach") >= F.col("n"), F.col("best.rep")))
+    classes = ws.stage(classes.where(F.col("to").isNotNull() | (own & (F.col("groups") > 1))).select("shingle", "n", "reach", "rep", "to", "groups"), "classes-of-postings")
+    chains = classes.where("to IS NOT NULL").select(F.col("rep").alias("a"), F.col("to").alias("b"))
+    stars = postings.join(classes.where("groups > 1"), ["shingle", "n", "reach"]).where("gid <> rep").select(F.col("gid").alias("a"), F.col("rep").alias("b"))
+    return chains.unionAll(stars)
+
+
+def _units(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Step 4, first round: ``cluster, unit, fp, shingles`` of large clusters. Every set is
+    in one unit, and the most central ones (fewest shingles of their own) are in all."""
+    placed = members.join(sizes, "cluster")
+    # at least one pivot, and not more than half a unit's shingles
+    count = F.greatest(F.lit(1), F.least(F.lit(PIVOTS), F.floor(BLOCK_SHINGLES / 2 / (F.col("all") / F.col("sets")))))
+    units = F.greatest(F.ceil(F.col("sets") / (BLOCK_SETS - PIVOTS)), F.ceil(2 * F.col("all") / BLOCK_SHINGLES)).cast("int")
+    placed = placed.withColumn("units", units).withColumn("count", count)
+    central = Window.partitionBy("cluster").orderBy(F.col("lone") / F.col("n"), "fp")
+    pivots = placed.select("cluster", "fp", "n", "lone", "units", "count").withColumn("place", F.row_number().over(central)).where(F.col("place") <= PIVOTS).where("place <= count")
+    pivots = pivots.join(members.select("fp", "shingles"), "fp").select("cluster", F.explode(F.sequence(F.lit(0), F.col("units") - 1)).alias("unit"), "fp", "shingles")
+    return placed.select("cluster", F.pmod(F.xxhash64("fp"), F.col("units")).cast("int").alias("unit"), "fp", "shingles").unionAll(pivots)
+
+
+def _unsettled(members: DataFrame, roots: DataFrame, ws: common.Workspace, percent: int) -> DataFrame:
+    """Step 4, last round: the sets of large clusters that are not yet one component, with
+    their ``root`` so far and how to go on. ``main`` is the cluster's largest component,
+    ``u`` of the ``m`` sets stand outside it. ``dense``: listing group pairs would make
+    far more rows than sending blocks of sets to each other."""
+    known = members.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    known = ws.stage(known, "known-roots", "none")
+    parts = known.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all"))
+    parts = parts.groupBy("cluster").agg(F.max(F.struct("sets", "root")).alias("top"), F.sum("sets").alias("m"), F.sum("all").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    parts = ws.stage(parts.select("cluster", F.col("top.root").alias("main"), "m", (F.col("m") - F.col("top.sets")).alias("u"), "all"), "unsettled")
+    lists = _postings(known.join(parts.select("cluster"), "cluster", "left_semi"), percent, "cluster").groupBy("cluster", "shingle").agg(F.count(F.lit(1)).alias("k"))
+    listed = ws.stage(lists.groupBy("cluster").agg(F.sum(F.col("k") * (F.col("k") - 1) / 2).alias("listed")), "listed")
+    blocks = lambda c: F.greatest(F.ceil(F.col(c) / BLOCK_SETS), F.ceil(F.col(c) * F.col("all") / F.col("m") / BLOCK_SHINGLES)).cast("int")
+    parts = parts.join(listed, "cluster", "left").withColumn("mb", blocks("m")).withColumn("ub", blocks("u"))
+    sent = F.col("m") * F.col("ub") + F.col("u") * (F.col("mb") + F.col("ub"))
+    parts = parts.select("cluster", "main", "mb", "ub", (F.coalesce("listed", F.lit(0)) > PAIRS_PER_SET * sent).alias("dense"))
+    return ws.stage(known.join(parts, "cluster"), "open", "none")
+
+
+def _blocks(rest: DataFrame) -> DataFrame:
+    """``cluster, kind, i, j, fp, shingles``: of a dense cluster every block of stragglers
+    meets every block of the others and of stragglers."""
+    far = F.col("root") != F.col("main")
+    i, j = F.pmod(F.xxhash64("fp"), F.col("mb")).cast("int"), F.pmod(F.xxhash64("fp"), F.col("ub")).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    near = rest.where(~far).select("cluster", F.lit(0).alias("kind"), i.alias("i"), upto("ub").alias("j"), "fp", "shingles")
+    away = rest.where(far).select("cluster", F.lit(0).alias("kind"), upto("mb").alias("i"), j.alias("j"), "fp", "shingles")
+    both = rest.where(far & (F.col("ub") > 1)).select("cluster", j.alias("own"), upto("ub").alias("other"), "fp", "shingles")
+    both = both.select("cluster", F.lit(1).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "fp", "shingles")
+    return near.unionAll(away).unionAll(both)
+
+
+def _pairs(rest: DataFrame, ws: common.Workspace, percent: int) -> DataFrame:
+    """``a, b`` of the set pairs to compare in clusters that are not dense: those of group
+    pairs that pass the filter and whose sets are not yet known to be connected."""
+    spans = ws.stage(rest.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high")), "group-spans")
+    entries = _postings(rest, percent).join(spans, "gid")
+    mixed = entries.groupBy("shingle").agg(F.min("low").alias("r"), F.max("high").alias("s")).where("r < s").select("shingle")
+    entries = ws.stage(entries.join(mixed, "shingle", "left_semi"), "entries")
+    x, y = entries.alias("x"), entries.alias("y")
+    settled = (F.col("x.low") == F.col("x.high")) & (F.col("y.low") == F.col("y.high")) & (F.col("x.low") == F.col("y.low"))
+    passes = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.gid") < F.col("y.gid")) & (F.col("x.n") <= F.col("y.reach")) & (F.col("y.n") <= F.col("x.reach")) & ~settled
+    groups = x.join(y, passes).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
+    groups = ws.stage(groups.unionAll(spans.where("low < high").select(F.col("gid").alias("g"), F.col("gid").alias("h"))), "group-pairs")
+    one = rest.select(F.col("gid").alias("g"), F.col("fp").alias("a"), F.col("root").alias("ra"))
+    other = rest.select(F.col("gid").alias("h"), F.col("fp").alias("b"), F.col("root").alias("rb"))
+    return groups.join(one, "g").join(other, "h").where("ra <> rb AND (g <> h OR a < b)").select("a", "b")
+
+
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, c, d, e in zip(*(batch[k].to_pylist() for k in "abcde")):
@@ -371,23 +498,29 @@ def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     members = chunks.unionAll(back).groupBy("chunk").applyInArrow(lambda t: _prefixes(t, percent), MEMBERS)
     members = ws.stage(members, "members", "none")
 
-    postings = members.select(F.explode("prefix").alias("shingle"), "gid").distinct()
-    lists = ws.stage(postings.groupBy("shingle").agg(F.min("gid").alias("least_gid"), F.count(F.lit(1)).alias("groups")).where("groups > 1"), "lists")
-    stars = postings.join(lists, "shingle").where("gid <> least_gid").select(F.col("gid").alias("a"), F.col("least_gid").alias("b"))
-    clusters = ws.stage(connected_components(stars, ws, "clusters"), "clusters").withColumnRenamed("node", "gid")
-    placed = members.drop("prefix").join(clusters, "gid", "left").withColumn("cluster", F.coalesce("root", "gid"))
-    sizes = placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all")).where("sets > 1")
-    blocks = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-    sizes = ws.stage(sizes.select("cluster", blocks.alias("blocks"), "all"), "sizes")
-    small = sizes.where("blocks = 1").agg(F.sum("all")).first()[0] or 0
-    bins, block_sets = int(small // BLOCK_SHINGLES + 1), BLOCK_SETS
-    placed = placed.join(sizes.drop("all"), "cluster")
-    # Whole small clusters share a bin; a block of a large one meets each block once.
-    lone = placed.where("blocks = 1").select(F.lit(-1).cast("long").alias("x"), F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int").alias("i"), F.lit(0).alias("j"), "cluster", "fp", "shingles")
-    part = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    large = placed.where("blocks > 1").withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    large = large.select(F.col("cluster").alias("x"), F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "cluster", "fp", "shingles")
-    links = lone.unionAll(large).groupBy("x", "i", "j").applyInArrow(lambda t: _verify(t, percent, block_sets), "a long, b long")
+    clusters = ws.stage(connected_components(_ties(ws.stage(_postings(members, percent), "postings"), ws), ws, "clusters"), "clusters").withColumnRenamed("node", "gid")
+    ws.drop("postings")
+    placed = members.join(clusters, "gid", "left").withColumn("cluster", F.coalesce("root", "gid")).drop("root")
+    sizes = ws.stage(placed.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("all")).where("sets > 1"), "sizes")
+    small = (F.col("sets") <= BLOCK_SETS) & (F.col("all") <= BLOCK_SHINGLES)
+    total = sizes.where(small).agg(F.sum("sets").alias("sets"), F.sum("all").alias("all")).first()
+    bins, block_sets = int(max((total["sets"] or 0) // BIN_SETS, (total["all"] or 0) // BLOCK_SHINGLES) + 1), BLOCK_SETS
+    bin_of = F.pmod(F.xxhash64("cluster"), F.lit(bins)).cast("int").alias("bin")
+    lone = placed.join(sizes.where(small).select("cluster"), "cluster").select(bin_of, "cluster", "fp", "shingles")
+    links = ws.stage(lone.groupBy("bin").applyInArrow(lambda t: _verify(t, percent, block_sets), "a long, b long"), "links")
+    large = sizes.where(~small)
+    if not large.isEmpty():
+        wide = ws.stage(placed.join(large.select("cluster"), "cluster"), "wide", "none")
+        found = _units(wide, large).groupBy("cluster", "unit").applyInArrow(lambda t: _verify(t, percent, block_sets), "a long, b long")
+        found = ws.stage(found, "unit-links")
+        known = ws.stage(connected_components(found, ws, "units"), "unit-roots")
+        rest = _unsettled(wide, known, ws, percent)
+        blocks = _blocks(rest.where("dense")).groupBy("cluster", "kind", "i", "j").applyInArrow(lambda t: _verify(t, percent, block_sets), "a long, b long")
+        pairs = ws.stage(_pairs(rest.where("NOT dense"), ws, percent), "pairs")
+        sets = wide.select("fp", "shingles")
+        held = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+        more = held.select("a", "b", "x", "y").mapInArrow(lambda it: _verify_pairs(it, percent), "a long, b long")
+        links = links.unionAll(found).unionAll(ws.stage(blocks.unionAll(more), "last-links"))
     roots = ws.stage(connected_components(links, ws, "components"), "components")
 
     least = classes.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least_id").alias("component"))

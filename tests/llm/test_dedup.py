@@ -132,16 +132,78 @@ def near_copies(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_op4_on_near_copies(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed, dense", [(1, 0), (2, 10**9), (4, 0)])
+def test_op4_on_near_copies(spark, monkeypatch, seed, dense):
     monkeypatch.setattr(jaccard, "CHUNK_SETS", 17)
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 4)
+    monkeypatch.setattr(jaccard, "PIVOTS", 1)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_SET", dense)
     monkeypatch.setattr(common, "BROADCAST_ROWS", 0 if seed == 2 else 1000)
     rows = near_copies(seed)
     got = jaccard.jaccard_components(documents(spark, rows)).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(rows)
 
 
+def indexed_components(rows):
+    """The same by an index of shingles, for more rows."""
+    sets, holders = [brute_set(t) for _, t in rows], {}
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared = {}
+        for x in s:
+            for j in holders.setdefault(x, []):
+                shared[j] = shared.get(j, 0) + 1
+            holders[x].append(i)
+        for j, both in shared.items():
+            if 100 * both >= 75 * (len(s) + len(sets[j]) - both):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    least = {}
+    for i in range(len(rows)):
+        least[top(i)] = min(least.get(top(i), rows[i][0]), rows[i][0])
+    return sorted(((d, len(sets[i]), least[top(i)]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_many_short_texts(spark):
+    rng = random.Random(7)
+    bases = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(6, 13))] for _ in range(1500)]
+    rows = []
+    for i in range(6000):
+        w = list(rng.choice(bases))
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            w[rng.choice([0, -1])] = f"w{rng.randrange(60)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard.jaccard_components(documents(spark, rows, clash=False)).collect()
+    assert sorted(map(tuple, got), key=str) == indexed_components(rows)
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_one_cluster_of_many_near_copies(spark, monkeypatch, dense):
+    """Half the copies stray too far from the original to link with it."""
+    sent = []
+    plain = jaccard._units
+    monkeypatch.setattr(jaccard, "_units", lambda *a: sent.append(plain(*a).count()) or plain(*a))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 64)
+    monkeypatch.setattr(jaccard, "PIVOTS", 8)
+    monkeypatch.setattr(jaccard, "PAIRS_PER_SET", dense)
+    rng = random.Random(9)
+    base, rows = [f"b{i}" for i in range(100)], []
+    for i in range(900):
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            w[rng.randrange(100)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = jaccard.jaccard_components(documents(spark, rows, clash=False)).collect()
+    assert sorted(map(tuple, got), key=str) == indexed_components(rows)
+    assert sent and sent[0] < 1.3 * len(rows)
+
+
 def test_op4_on_awkward_rows(spark):
     got = jaccard.jaccard_components(documents(spark)).collect()
     assert sorted(map(tuple, got), key=str) == brute_components(ROWS)
