@@ -7,6 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrays import bind, scan
+
 #: White space as all engines at hand agree on it.
 SPACE = r"[ \t\n\x0B\f\r]+"
 MIN_PAGE_CHARS = 10
@@ -59,23 +61,22 @@ def spans(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Column:
     """Matches as ``array<struct<s, m, g0, g1, ...>>``: start (from 0), the whole match,
     and the wanted groups.
 
-    Starts come from the pieces that ``split`` leaves between the matches. A text
-    without a match costs one scan."""
+    Starts come from the pieces that ``split`` leaves between the matches, summed in
+    one linear fold. A text without a match costs one scan."""
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    pairs = F.slice(F.arrays_zip(whole.alias("m"), gaps.alias("gap")), 1, F.size(whole))
-    fields = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups]
-    empty = F.array().cast("array<struct<s:int,m:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        return F.struct((start + F.length(pair["m"])).alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("s"), pair["m"].alias("m")))).alias("out"))
-
-    located = F.aggregate(pairs, zero, step)["out"]
-    kind = "array<struct<s:int,m:string" + "".join(f",g{i}:string" for i in range(len(groups))) + ">>"
-    merged = F.transform(located, lambda x, i: F.struct(x["s"].alias("s"), x["m"].alias("m"), *(F.get(f, i).alias(f"g{n}") for n, f in enumerate(fields))))
-    return F.when(F.regexp_like(text, F.lit(pattern)), merged).otherwise(F.array().cast(kind))
+    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    fields = [F.regexp_extract_all(text, F.lit(pattern), F.lit(g)) for g in groups if g]
+    names = [f"g{i}" for i, g in enumerate(groups) if g]
+    kind = "struct<s:int,m:string" + "".join(f",g{i}:string" for i in range(len(groups))) + ">"
+
+    def located(ms: Column) -> Column:
+        pairs = F.slice(F.arrays_zip(F.transform(ms, F.length).alias("n"), gaps.alias("gap")), 1, F.size(ms))
+        starts = scan(pairs, F.lit(0), "int", lambda at, x: (at + x["gap"] + x["n"], at + x["gap"]))
+        rows = F.arrays_zip(starts.alias("s"), ms.alias("m"), *(f.alias(n) for f, n in zip(fields, names)))
+        own = lambda x: (x["m" if g == 0 else f"g{i}"].alias(f"g{i}") for i, g in enumerate(groups))
+        return F.transform(rows, lambda x: F.struct(x["s"].alias("s"), x["m"].alias("m"), *own(x)))
+
+    return F.when(F.regexp_like(text, F.lit(pattern)), bind(whole, located)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def window(text: Column, start: Column, length: Column, n: int) -> Column:
