@@ -366,14 +366,93 @@ def test_short_text_follows_its_host(spark):
 def test_page_evidence(spark):
     rows = spark.createDataFrame([(1, "https://a.example.fr:80/x", "<html lang='fr-CA'><script>var x</script><p>la&nbsp;maison</p>"), (2, None, None)], "page_id long, url string, html string")
     a, b = language.page_evidence(rows).orderBy("page_id").collect()
-    assert (a.declared, a.suffix, a.host, a.text.split()) == ("fr", "fr", "a.example.fr:80", ["la", "maison"])
-    assert (b.declared, b.suffix, b.host, b.text) == ("none", "", "", "")
+    assert (a.tag, a.suffix, a.host, a.text.split()) == ("fr", "fr", "a.example.fr:80", ["la", "maison"])
+    assert (b.tag, b.suffix, b.host, b.text) == ("", "", "", "")
+    judged = language.identify(language.page_evidence(rows), labelled(spark)).orderBy("page_id").collect()
+    assert [(r.declared, r.lang) for r in judged] == [("fr", "fr"), ("none", "und")]
+
+
+def brute_posterior(rows, classes):
+    """The fused posterior of each row (declared, suffix, host, lp, best), recomputed."""
+    import math
+
+    k = len(classes)
+    count = lambda some: [sum(r[4] == i for r in some) for i in range(k)]
+    base = [1.0 + n for n in count(rows)]
+    base[-1] = language.UNKNOWN_PRIOR * sum(base[:-1])
+    overall = [b / sum(base) for b in base]
+    told = {d: count([r for r in rows if r[0] == d]) for d in sorted({r[0] for r in rows} - {"none"})}
+    seen = [sum(n[i] for n in told.values()) for i in range(k)]
+    smooth = lambda own, above: [(n + language.STRENGTH * p) / (sum(own) + language.STRENGTH) for n, p in zip(own, above)]
+    out = []
+    for declared, suffix, host, lp, best in rows:
+        at_suffix = smooth(count([r for r in rows if r[1] == suffix]), overall)
+        others = count([r for r in rows if r[1] == suffix and r[2] == host])
+        if best is not None:
+            others[best] -= 1
+        prior = smooth(others, at_suffix)
+        evidence = [0.0] * k if declared == "none" else [math.log((told[declared][i] + 1) / (seen[i] + len(told))) if i < k - 1 else math.log(1 / len(told)) for i in range(k)]
+        logs = [a + b + math.log(c) for a, b, c in zip(lp, evidence, prior)]
+        top = max(logs)
+        lang = "und" if best is None else classes[logs.index(top)]
+        out.append((lang, 1 / sum(math.exp(x - top) for x in logs)))
+    return out
+
+
+def test_fused_posterior_equals_brute_force(spark):
+    from foliospark.llm import common
+
+    rng, rows = random.Random(11), []
+    for _ in range(400):
+        lp = [round(rng.gauss(0, 3), 6) for _ in range(4)] + [-8.0]
+        best = rng.choice([lp.index(max(lp))] * 9 + [None])
+        rows.append((rng.choice(["none", "de", "en", "fr", "other"]), rng.choice(["com", "de", ""]), f"h{int(rng.random() ** 3 * 30)}", lp, best))
+    frame = spark.createDataFrame([(i, None, *r) for i, r in enumerate(rows)], "doc_id long, page_id long, declared string, suffix string, host string, lp array<double>, best int")
+    ws = common.Workspace(spark, "t")
+    got = {r.doc_id: (r.lang, r.posterior, r.kept) for r in language.fuse(ws.stage(frame, "scored"), ws).collect()}
+    for i, (lang, p) in enumerate(brute_posterior(rows, language.CLASSES)):
+        assert got[i][0] == lang and abs(got[i][1] - p) < 2e-6 and got[i][2] == (lang != "und" and got[i][1] >= language.MIN_POSTERIOR)
+
+
+def test_model_of_tasks_equals_model_of_rows(spark):
+    docs = labelled(spark).repartition(7)
+    rows = [(r.text, r.lang) for r in docs.collect()]
+    model = language.trained(docs, language.label_counts(docs), language.LANGUAGES)
+    assert (model == language.train(rows)).all() and language.label_counts(docs) == dict.fromkeys(SAMPLES, 25)
+
+
+def test_languages_come_from_the_labels(spark):
+    italian = "la casa e il giardino con quelli che erano di là".split()
+    rng = random.Random(12)
+    rows = [(2000 + i, " ".join(rng.choice(italian) for _ in range(40)), "it-IT", "host.it", 1) for i in range(30)] + [(3000, "x y z", "?", "h", 1), (3001, "x y", "toolong", "h", 1)]
+    docs = labelled(spark).unionAll(spark.createDataFrame(rows, BASIC))
+    assert set(language.label_counts(docs)) == {*SAMPLES, "it"}
+    found = {r.doc_id: r.lang for r in language.identify(language.document_evidence(docs), docs).collect()}
+    assert all(found[2000 + i] == "it" for i in range(30))
+    named = {r.doc_id: r.lang for r in language.identify(language.document_evidence(docs), docs, ("en", "fr")).collect()}
+    assert set(named.values()) <= {"en", "fr", "und"}
+
+
+def test_own_label_is_no_evidence(spark):
+    docs = labelled(spark)
+    wrong = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "fr").otherwise(F.col("lang")))
+    was, now = ({r.doc_id: r.lang for r in language.identify(language.document_evidence(d), docs).collect()} for d in (docs, wrong))
+    assert was == now
 
 
 def test_keep_identified(spark):
     docs = labelled(spark).unionAll(spark.createDataFrame([(600, "漢字仮名交じり文" * 9, "xx", "src0", 1), (601, None, "en", "src0", 1)], BASIC))
     kept = {r.doc_id for r in language.keep_identified(docs).collect()}
     assert kept == set(range(100))
+    clash = documents(spark)
+    wide = labelled(spark).join(clash.limit(0).drop("text", "lang", "source", "n_chars"), "doc_id", "left").select(*clash.columns)
+    odd = [(None, None), (None, "the house and the garden with those"), (None, "the house and the garden with those"), (700, "!!!"), (700, "the garden and the house that were there"), (701, "")]
+    docs = wide.unionAll(documents(spark, odd))
+    out = language.keep_identified(docs)
+    assert out.columns == docs.columns
+    rest = sorted(((r.doc_id, r.text) for r in out.where("doc_id IS NULL OR doc_id >= 700").collect()), key=str)
+    assert rest == sorted([odd[1], odd[2], odd[4]], key=str) and out.count() == 103
+    assert language.keep_identified(nothing(spark)).collect() == []
 
 
 def brute_pipeline(rows):
