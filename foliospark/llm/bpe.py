@@ -26,8 +26,9 @@ from .tokens import PATTERN
 
 #: Bytes become this block of code points: no white space, no control characters.
 FIRST_CODE_POINT = 0x4E00
-#: Distinct pre-tokens that a worker remembers before it starts afresh.
-REMEMBERED = 200_000
+#: Bytes of pre-tokens, each with about so much besides its text, that a worker remembers
+#: before it starts afresh; longer pre-tokens than so many characters it never does.
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 300, 64
 
 
 def _varint(n: int) -> bytes:
@@ -88,22 +89,29 @@ class ByteBpe:
         self.ids: dict[str, list[int]] = {}
         self.shown: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
+        self.held = 0
 
-    def _learn(self, words: list[str]) -> None:
-        if len(self.ids) > REMEMBERED:
+    def _encoded(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
+        return zip(words, self.model.encode([w.encode().decode("latin-1").translate(_TO_POINTS) for w in words], num_threads=1))
+
+    def _learn(self, words: list[str]) -> dict[str, list[int]]:
+        """Remember the words that are not long; returns the ids of those that are."""
+        if self.held > REMEMBERED_BYTES:
             for held in (self.ids, self.shown, self.bytes):
                 held.clear()
+            self.held = 0
         new = [w for w in set(words) if w not in self.ids]
-        encoded = self.model.encode([w.encode().decode("latin-1").translate(_TO_POINTS) for w in new], num_threads=1)
-        for w, ids in zip(new, encoded):
+        for w, ids in self._encoded([w for w in new if len(w) <= LONGEST]):
             self.ids[w] = ids
             self.shown[w] = ",".join(map(str, ids))
             self.bytes[w] = self.decode(ids)
+            self.held += ENTRY_BYTES + 20 * len(w)
+        return dict(self._encoded([w for w in new if len(w) > LONGEST]))
 
     def encode(self, text: str) -> list[int]:
         words = self.split(text)
-        self._learn(words)
-        return [i for w in words for i in self.ids[w]]
+        extra = self._learn(words)
+        return [i for w in words for i in (self.ids[w] if w in self.ids else extra[w])]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
@@ -114,8 +122,12 @@ class ByteBpe:
         try:
             return ",".join(map(self.shown.__getitem__, words)), b"".join(map(self.bytes.__getitem__, words))
         except KeyError:
-            self._learn(words)
+            extra = self._learn(words)
+        if not extra:
             return ",".join(map(self.shown.__getitem__, words)), b"".join(map(self.bytes.__getitem__, words))
+        shown = {w: ",".join(map(str, ids)) for w, ids in extra.items()}
+        raw = {w: self.decode(ids) for w, ids in extra.items()}
+        return ",".join(shown[w] if w in shown else self.shown[w] for w in words), b"".join(raw[w] if w in raw else self.bytes[w] for w in words)
 
 
 @lru_cache(maxsize=2)
