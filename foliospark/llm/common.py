@@ -11,6 +11,7 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -110,11 +111,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 #: Key rows up to this many are broadcast (a few longs each), else joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of strings, uncompressed, up to which rows with strings are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
-def bounded(keys: DataFrame) -> DataFrame:
-    """``keys``, a written table, marked for broadcast if a count shows that it is small."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+def bounded(keys: DataFrame, *strings: str) -> DataFrame:
+    """``keys``, a written table of numbers and of the columns ``strings``, marked for
+    broadcast if a count of rows and bytes shows that it is small, else for a join by
+    shuffle. (Spark's own threshold sees compressed bytes.)"""
+    size = reduce(lambda a, c: a + F.coalesce(F.octet_length(c), F.lit(0)), strings, F.lit(0))
+    rows, held = keys.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(keys) if rows <= BROADCAST_ROWS and held <= BROADCAST_BYTES else keys.hint("merge")
 
 
 def hash_share(rows: DataFrame, wanted: int, *columns: str) -> DataFrame:

@@ -65,17 +65,17 @@ def sweep(rows: Iterator[tuple]) -> Iterator[tuple]:
             yield host, path, stack[-1][2], stack[-1][3]
 
 
-def match(urls: DataFrame, rules: DataFrame, ranges: int) -> DataFrame:
+def match(urls: DataFrame, rules: DataFrame, ranges: int, workspace: common.Workspace) -> DataFrame:
     """``host, path, rule, verdict`` for each distinct (host, path) of ``urls`` that
     some rule of ``rules`` (host, path, verdict) fits; the longest rule wins, of
     equally long ones a blocking one, then the last by name."""
-    spark = urls.sparkSession
     lowered = rules.where("host IS NOT NULL").select(common.lower_ascii(F.col("host")).alias("rule_host"), F.coalesce("path", F.lit("")).alias("rule_path"), "verdict")
     tidy = lowered.groupBy("rule_host", "rule_path").agg(F.max("verdict").alias("verdict"))  # block beats allow
     tidy = tidy.select(F.array_join(F.reverse(F.split("rule_host", r"\.")), ".").alias("level"), F.col("rule_path").alias("path"), F.concat("rule_host", "rule_path").alias("rule"), "verdict")
     keys = urls.select("host", "path").distinct().withColumn("level", F.explode(levels(F.col("host"))))
-    # Only levels that some rule names can match; Spark sees the rules' size and chooses the join.
-    keys = keys.join(tidy.select("level").distinct(), "level", "left_semi")
+    # Only levels that some rule names can match; how many there are decides on the join.
+    named = workspace.stage(tidy.select("level").distinct(), "levels")
+    keys = keys.join(common.bounded(named, "level"), "level", "left_semi")
     keys = keys.select("level", "path", F.lit(True).alias("is_url"), "host", F.lit(None).cast("string").alias("rule"), F.lit(None).cast("string").alias("verdict"))
 
     wanted = SAMPLED_PER_RANGE * ranges
@@ -112,7 +112,7 @@ def match(urls: DataFrame, rules: DataFrame, ranges: int) -> DataFrame:
     starts = tidy.select("level", "path", F.lit(False).alias("is_url"), F.lit(None).cast("string").alias("host"), "rule", "verdict")
     schema = "level string, path string, is_url boolean, host string, rule string, verdict string"
     dealt = keys.unionByName(starts).mapInArrow(deal, f"part int, {schema}")
-    ordered = dealt.repartition(ranges, "part").sortWithinPartitions("part", "level", "path", "is_url", "host")
+    ordered = dealt.repartitionById(len(begins) + 1, F.col("part")).sortWithinPartitions("part", "level", "path", "is_url", "host")
     hits = ordered.mapInArrow(run, "host string, path string, rule string, verdict string")
     best = F.max(F.struct(F.length("rule").alias("n"), "verdict", "rule"))
     return hits.groupBy("host", "path").agg(best.alias("best")).select("host", "path", "best.rule", "best.verdict")
@@ -137,5 +137,5 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = ALLOW, id_col: str
     host, path = host_and_path(F.col(url_col))
     urls = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     # Written, so that the join reads two plain exchanges and a hot url's rows can be split.
-    found = ws.stage(match(urls, rules, common.shuffle_partitions(spark)), "matches")
-    return urls.join(found, ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
+    found = ws.stage(match(urls, rules, common.shuffle_partitions(spark), ws), "matches")
+    return urls.join(common.bounded(found, "host", "path", "rule", "verdict"), ["host", "path"], "left").select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(default)).alias("verdict"))
