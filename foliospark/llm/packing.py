@@ -75,12 +75,13 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
 
 def cut(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Token pieces of every document: only one of over ``max_tokens`` is cut, and
-    its first piece takes what whole pieces leave over."""
+    its first piece takes what whole pieces leave over. ``salt`` numbers a task's
+    pieces; it tells repeated rows apart."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer_path)
+        enc, salt = encoder(tokenizer_path), 0
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch[0].to_pylist(), common.texts(batch[1])):
                 ids = enc.encode(text)
                 ids.append(end_id)
@@ -88,14 +89,14 @@ def cut(docs: DataFrame, tokenizer_path: str, max_tokens: int, end_id: int, id_c
                 at, piece = 0, 0
                 while at < n:
                     end = at + ((n - 1) % max_tokens + 1 if at == 0 else max_tokens)
-                    for column, v in zip(out, (doc_id, piece, at, end - at, zlib.crc32(raw[4 * at : 4 * end]))):
+                    for column, v in zip(out, (doc_id, piece, at, end - at, zlib.crc32(raw[4 * at : 4 * end]), salt)):
                         column.append(v)
-                    at, piece = end, piece + 1
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    at, piece, salt = end, piece + 1, salt + 1
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(v, k) for v, k in zip(out, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(pieces, "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,8 +106,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: i
     by row, other columns are ignored, an empty table packs into nothing.
 
     A piece's rank within its length is its rank within a small group (a hash of
-    the piece) plus the group's base, so that a length held by a third of all
-    pieces is ranked by many tasks.
+    the piece and its salt) plus the group's base, so that a length held by a third of
+    all pieces, even of one row repeated, is ranked by many tasks.
     """
     spark = docs.sparkSession
     common.prepare(spark)
@@ -116,8 +117,8 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = 2048, end_id: i
     runs, _ = plan(histogram, max_tokens)
     groups = max(1, -(-sum(histogram.values()) // GROUP_PIECES))
 
-    grouped = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    local = Window.partitionBy("g", "length").orderBy("doc_id", "piece", "start", "ids_crc32")
+    grouped = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(groups)))
+    local = Window.partitionBy("g", "length").orderBy("doc_id", "piece", "start", "ids_crc32", "salt")
     ranked = grouped.withColumn("local_rank", F.row_number().over(local) - 1)
     # per length, one row a group: a running sum over at most ``groups`` rows
     sizes = grouped.groupBy("g", "length").agg(F.count(F.lit(1)).alias("n"))
