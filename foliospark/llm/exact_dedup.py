@@ -13,6 +13,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ BITS_PER_ROW, PROBES = 16, 4
 #: A plane's largest size. Beyond it the digests are cut into slices by value and
 #: each slice gets a filter of its own, so a task never holds more than two planes.
 MAX_BITS = 1 << 28
+#: Rows of digests that one task cuts into slices: a file a slice, so files stay few.
+SLICED_ROWS = 40_000_000
 #: Bits in the unit in which planes travel.
 SEGMENT_BITS = 1 << 19
 #: Partial planes of a segment that one task merges at a time.
@@ -76,24 +80,40 @@ def _merge(seen: np.ndarray, again: np.ndarray, more_seen: np.ndarray, more_agai
     seen |= more_seen
 
 
-PIECE = "segment long, part long, seen binary, again binary"
+PIECE = "slice int, segment long, part long, seen binary, again binary"
+
+
+def _by_slice(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Batches cut where the slice changes. Files hold one slice each, so it seldom does."""
+    for batch in batches:
+        if batch.num_rows:
+            own = batch["slice"].to_numpy()
+            edges = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                yield int(own[lo]), batch.slice(lo, hi - lo)
 
 
 def _partial_planes(digests: DataFrame, bits: int) -> DataFrame:
-    """Each task's nonzero segments."""
+    """Each task's nonzero segments, slice after slice."""
+
+    def rows(of: int, planes: Planes) -> pa.RecordBatch:
+        found = list(planes.pieces())
+        part = int.from_bytes(np.random.bytes(4), "little")  # only spreads the merging
+        columns = [pa.array([of] * len(found), pa.int32()), pa.array([r[0] for r in found], pa.int64()), pa.array([part] * len(found), pa.int64()), pa.array([r[1] for r in found], pa.binary()), pa.array([r[2] for r in found], pa.binary())]
+        return pa.record_batch(columns, names=["slice", "segment", "part", "seen", "again"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes = Planes(bits)
-        for batch in batches:
-            if batch.num_rows:
-                planes.add(_words(batch[0]))
-        rows = list(planes.pieces())
-        if rows:
-            part = int.from_bytes(np.random.bytes(4), "little")  # only spreads the merging
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())]
-            yield pa.record_batch(columns, names=["segment", "part", "seen", "again"])
+        planes, at = None, None
+        for of, batch in _by_slice(batches):
+            if of != at:
+                if planes is not None:
+                    yield rows(at, planes)
+                planes, at = Planes(bits), of
+            planes.add(_words(batch["text_sha256"]))
+        if planes is not None:
+            yield rows(at, planes)
 
-    return digests.select("text_sha256").mapInArrow(build, PIECE)
+    return digests.select("text_sha256", "slice").mapInArrow(build, PIECE)
 
 
 def _merged(pieces: DataFrame) -> DataFrame:
@@ -109,46 +129,75 @@ def _merged(pieces: DataFrame) -> DataFrame:
             else:
                 _merge(seen, again, a, b)
         assert len(seen) <= step
-        return pa.table({"segment": table["segment"][:1], "part": pa.array([0], pa.int64()), "seen": pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary()), "again": pa.array([zlib.compress(again.tobytes(), 1)], pa.binary())})
+        return pa.table({"slice": table["slice"][:1], "segment": table["segment"][:1], "part": pa.array([0], pa.int64()), "seen": pa.array([zlib.compress(seen.tobytes(), 1)], pa.binary()), "again": pa.array([zlib.compress(again.tobytes(), 1)], pa.binary())})
+
+    return pieces.groupBy("slice", "segment", "part").applyInArrow(fold, PIECE)
+
 
-    return pieces.groupBy("segment", "part").applyInArrow(fold, PIECE)
+def _plane(rows: Iterator[tuple[int, bytes]], bits: int) -> np.ndarray:
+    again, step = np.zeros(bits >> 3, np.uint8), SEGMENT_BITS >> 3
+    for segment, packed in rows:
+        again[segment * step : (segment + 1) * step] = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return again
+
+
+def _stored_plane(folder: str, of: int, bits: int) -> np.ndarray:
+    """The plane of a slice, read where it is tested."""
+    fs, base = common.open_store(f"{folder}/slice={of}")
+    files = [f for f in fs.get_file_info(pafs.FileSelector(base, allow_not_found=True)) if f.base_name.endswith(".parquet")]
+    tables = (pq.read_table(f.path, filesystem=fs, columns=["segment", "again"], partitioning=None) for f in files)
+    return _plane((r for t in tables for r in zip(t["segment"].to_pylist(), t["again"].to_pylist())), bits)
 
 
 def possibly_repeated(digests: DataFrame, workspace: common.Workspace, rows: int, max_bits: int = MAX_BITS) -> DataFrame:
     """``digests`` with ``maybe``: false only where the digest is certainly unique.
 
-    ``digests`` must be a written table: each slice reads it twice.
+    ``digests`` must be a written table. One filter of at most ``max_bits`` a plane serves
+    up to 16.7 million rows and is broadcast, compressed, within that bound. More rows
+    are first rewritten by slice, without a shuffle, a folder each; all slices are then
+    filtered at once by the same two jobs, whose tasks go through files of one slice
+    each and read that slice's plane from the shared folder. So the number of jobs does
+    not depend on the number of slices, and every digest is read three times.
     """
     want = max(SEGMENT_BITS, 1 << (max(1, rows) * BITS_PER_ROW - 1).bit_length())
     slices = max(1, want // max_bits)
-    bits, out = want // slices, None
-    slice_of = F.pmod(F.conv(F.substring("text_sha256", 33, 8), 16, 10).cast("long"), F.lit(slices))
-    for s in range(slices):
-        own = digests if slices == 1 else digests.where(slice_of == s)
-        pieces = workspace.stage(_partial_planes(own, bits), f"planes-{s}-0", "none")
-        parts = pieces.groupBy("segment").count().agg(F.max("count")).first()[0] or 0
-        level = 0
-        while parts > 1:  # a tree: no task merges more than FAN_IN partial planes of a segment
-            parts = -(-parts // FAN_IN)
-            level += 1
-            pieces = workspace.stage(_merged(pieces.withColumn("part", F.pmod("part", F.lit(parts)))), f"planes-{s}-{level}", "none")
+    bits = want // slices
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in digests.schema.fields)
+    if slices == 1:
+        digests = digests.withColumn("slice", F.lit(0))
+    else:
+        slice_of = F.pmod(F.conv(F.substring("text_sha256", 33, 8), 16, 10).cast("long"), F.lit(slices)).cast("int")
+        sliced = digests.withColumn("slice", slice_of).coalesce(max(1, rows // SLICED_ROWS + 1))
+        sliced.write.partitionBy("slice").mode("overwrite").parquet(workspace.path("sliced"))
+        digests = digests.sparkSession.read.schema(f"{fields}, slice int").parquet(workspace.path("sliced"))
+    pieces = workspace.stage(_partial_planes(digests, bits), "planes-0", "none")
+    parts = pieces.groupBy("slice", "segment").count().agg(F.max("count")).first()[0] or 0
+    level = 0
+    while parts > 1:  # a tree: no task merges more than FAN_IN partial planes of a segment
+        parts = -(-parts // FAN_IN)
+        level += 1
+        pieces = workspace.stage(_merged(pieces.withColumn("part", F.pmod("part", F.lit(parts)))), f"planes-{level}", "none")
+    names = [f.name for f in digests.schema.fields]
+    if slices == 1:
         # At most max_bits / 8 bytes, compressed: bounded whatever the input.
-        held = {r["segment"]: r["again"] for r in pieces.select("segment", "again").toLocalIterator()}
-        plane = own.sparkSession.sparkContext.broadcast(held)
-
-        def test(batches: Iterator[pa.RecordBatch], plane=plane, bits=bits) -> Iterator[pa.RecordBatch]:
-            again = np.zeros(bits >> 3, np.uint8)
-            for segment, packed in plane.value.items():
-                step = SEGMENT_BITS >> 3
-                again[segment * step : (segment + 1) * step] = np.frombuffer(zlib.decompress(packed), np.uint8)
-            for batch in batches:
-                found = Planes.has(again, _positions(_words(batch["text_sha256"]), bits)) if batch.num_rows else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], names=[*batch.schema.names, "maybe"])
-
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in digests.schema.fields)
-        part = own.mapInArrow(test, f"{fields}, maybe boolean")
-        out = part if out is None else out.unionAll(part)
-    return out
+        held = [(r["segment"], r["again"]) for r in pieces.select("segment", "again").toLocalIterator()]
+        plane = digests.sparkSession.sparkContext.broadcast(held)
+        load = lambda of: _plane(plane.value, bits)
+    else:
+        folder = workspace.path("planes")
+        pieces.select("segment", "again", "slice").write.partitionBy("slice").mode("overwrite").option("compression", "none").parquet(folder)
+        load = lambda of: _stored_plane(folder, of, bits)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        again, at = None, None
+        for of, batch in _by_slice(batches):
+            if of != at:
+                again, at = load(of), of
+            found = Planes.has(again, _positions(_words(batch["text_sha256"]), bits))
+            keep = [i for i, n in enumerate(names) if n != "slice"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(found)], names=[*(names[i] for i in keep), "maybe"])
+
+    return digests.mapInArrow(test, f"{fields}, maybe boolean")
 
 
 def text_digest(text_col: str = "text") -> Column:
@@ -182,8 +231,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay: one of each group of equal texts.
 
-    Only what is dropped is joined back; rows that repeat both id and text, which
-    the id cannot tell apart, are reduced to one of them.
+    The largest id stays, null last; a null text counts as empty, so it is a copy of an
+    empty one. Only what is dropped is joined back, by id and a hash of the text: rows
+    that only share an id fare apart, and rows that repeat both are reduced to one of
+    them. Other columns are carried along whatever their names (but for ``__id``,
+    ``__hash`` and ``__own``, the operator's own); an empty table stays empty.
     """
     ws = common.Workspace(docs.sparkSession, "keep-one")
     result = ws.stage(exact_dedup(docs, id_col, text_col).where("group_size > 1"), "groups")
@@ -195,5 +247,5 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     twins = ws.stage(keys.where("kept").groupBy("__id", "__hash").count().where("count > 1").select("__id", "__hash"), "twins")
     if twins.isEmpty():
         return rest.select(*docs.columns)
-    repeated = rest.join(common.bounded(twins), same, "left_semi").dropDuplicates(["__own"])
+    repeated = rest.join(common.bounded(twins), same, "left_semi").dropDuplicates([id_col, "__own"])
     return rest.join(common.bounded(twins), same, "left_anti").unionByName(repeated).select(*docs.columns)
