@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +39,9 @@ BLOCK_BYTES = 64 << 10
 RESTART = 16
 BITS_PER_KEY = 10
 PROBES = 7
+#: A shard ends with the entry that reaches this size; index and keys, which are held in
+#: memory until then, are bounded with it.
+SHARD_BYTES = 64 << 20
 FOOTER = struct.Struct("<5QII8s")
 INDEX_ROW = struct.Struct("<9sQIQ")
 
@@ -201,29 +205,43 @@ class Shard:
         return found
 
 
-MANIFEST = "path string, first_id long, null_first boolean, entries long, tokens long, bytes long"
+MANIFEST = "part int, number int, path string, first_id long, entries long, tokens long, bytes long"
 
 
 def write_shards(docs: DataFrame, workspace: common.Workspace, tokenizer_path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write ``docs`` as shards in ascending id order; return their manifest.
+    """Write ``docs`` as shards in ascending id order; return their manifest, in which
+    ``part, number`` order the shards.
 
     Rows are range-partitioned by id, so shards follow one another and a reader
-    needs only the manifest to find one. Each task attempt writes a file of its
-    own name; the manifest, committed by Spark, names those that count. Null ids
-    come first, equal ids are ordered by text, a null text is the end id alone,
-    other columns are ignored, and an empty table gives no shard.
+    needs only the manifest to find one. There are as many ranges as the texts' bytes
+    need, and a task rolls over to a new shard at ``SHARD_BYTES``. Each task attempt
+    writes files of its own names; the manifest, committed by Spark, names those that
+    count. Null ids come first; equal ids are ordered by their texts' beginnings, then
+    by a hash, and may fall into several ranges, even if the row repeats. A null text is
+    the end id alone, other columns are ignored, and an empty table gives no shard.
     """
     spark = docs.sparkSession
     common.prepare(spark)
     folder = workspace.path("shards")
     wide = 2 if encoder(tokenizer_path).n_vocab <= 1 << 16 else 4
+    limit = SHARD_BYTES
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = common.open_store(folder)
         fs.create_dir(base, recursive=True)
-        enc, writer, sink, name, first = encoder(tokenizer_path), None, None, "", None
+        enc, part, made = encoder(tokenizer_path), TaskContext.get().partitionId(), []
+        writer, sink, name, first = None, None, "", None
+
+        def close() -> None:
+            writer.close()
+            sink.close()
+            made.append((part, len(made), name, first, writer.entries, writer.tokens, fs.get_file_info(name).size))
+
         for batch in batches:
             for doc_id, text in zip(batch[0].to_pylist(), common.texts(batch[1])):
+                if writer is not None and writer.offset >= limit:
+                    close()
+                    writer = None
                 if writer is None:
                     name, first = f"{base}/{uuid.uuid4().hex}.sst", doc_id
                     sink = fs.open_output_stream(name, compression=None)
@@ -232,25 +250,29 @@ def write_shards(docs: DataFrame, workspace: common.Workspace, tokenizer_path: s
                 ids.append(end_id)
                 writer.add(doc_id, np.array(ids, np.uint32))
         if writer is not None:
-            writer.close()
-            sink.close()
-            row = [[name], [first], [first is None], [writer.entries], [writer.tokens], [fs.get_file_info(name).size]]
-            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch([pa.array(v, k) for v, k in zip(row, kinds)], names=["path", "first_id", "null_first", "entries", "tokens", "bytes"])
+            close()
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        columns = list(zip(*made)) if made else [()] * len(kinds)
+        yield pa.record_batch([pa.array(v, k) for v, k in zip(columns, kinds)], names=["part", "number", "path", "first_id", "entries", "tokens", "bytes"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = max(common.shuffle_partitions(spark), size // SHARD_BYTES + 1)
+    # The borders are sampled from these keys, so they hold no whole texts.
+    keys = [F.col("doc_id"), F.left("text", F.lit(32)), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(ranges, *keys, F.rand(0)).sortWithinPartitions(*keys, "text")
     return workspace.stage(ordered.mapInArrow(write, MANIFEST), "manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document in the shards: ``doc_id, start, n_tokens, ids_crc32``.
 
-    ``start`` sums the manifest (one row a shard) and then runs within a shard.
+    ``start`` sums the manifest and then runs within a shard. The sum is one task's work,
+    over one small row a shard: some 1.6 million for 100 TB.
     """
     spark = manifest.sparkSession
     folder_scheme = common.shared_root(spark).split("://")[0]
-    before = Window.orderBy(F.col("null_first").desc(), "first_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1)
     shards = manifest.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))).select("path", "base", "bytes")
     shards = shards.repartition(max(1, manifest.count()))
 
