@@ -43,6 +43,19 @@ def test_slices_cover_all_digests(spark, monkeypatch):
     assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=str) == expected_groups(rows)
 
 
+@pytest.mark.parametrize("slices", [4, 64])
+def test_all_slices_are_filtered_at_once(spark, monkeypatch, slices):
+    """The tables written do not grow in number with the slices, and no digest is lost."""
+    monkeypatch.setattr(exact_dedup, "BITS_PER_ROW", slices << 10)
+    monkeypatch.setattr(exact_dedup, "FAN_IN", 2)
+    written, plain = [], common.Workspace.stage
+    monkeypatch.setattr(common.Workspace, "stage", lambda self, df, name, codec="zstd": written.append(name) or plain(self, df, name, codec))
+    rows = [(i, f"text {i % 400}") for i in range(500)]
+    got = exact_dedup.exact_dedup(documents(spark, rows), max_bits=exact_dedup.SEGMENT_BITS)
+    assert sorted(map(tuple, got.select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=str) == expected_groups(rows)
+    assert len([n for n in written if not n.startswith("planes")]) == 3 and len(written) < 12
+
+
 def test_op7_empty(spark):
     assert exact_dedup.exact_dedup(nothing(spark)).count() == 0
 
@@ -71,6 +84,16 @@ def test_keep_one(spark):
     keys = [(r.text or "").encode().translate(LOWER) for r in kept]
     assert len(keys) == len(set(keys)) == len({(t or "").encode().translate(LOWER) for _, t in ROWS})
     assert kept[0].__fields__ == documents(spark).columns
+    assert exact_dedup.keep_one(nothing(spark)).collect() == []
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_keep_one_by_rows(spark, monkeypatch, limit):
+    """Null and repeated ids: one row of each text, that with the largest id."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    rows = [(None, "a"), (None, "A"), (None, "b"), (1, "b"), (1, "c"), (1, "C"), (1, "c"), (2, "d"), (2, "d"), (2, "e"), (3, None), (4, ""), (None, "f"), (None, "f")]
+    kept = sorted(((r.doc_id, (r.text or "").lower()) for r in exact_dedup.keep_one(documents(spark, rows)).collect()), key=str)
+    assert kept == sorted([(None, "a"), (1, "b"), (1, "c"), (2, "d"), (2, "e"), (4, ""), (None, "f")], key=str)
 
 
 def words_of(text):

@@ -58,6 +58,16 @@ def test_rules_over_many_ranges(spark, monkeypatch):
     assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)} | {None: brute_verdict(urls[0], rules)}
 
 
+def test_rules_beyond_the_broadcast_bound(spark, monkeypatch):
+    from foliospark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10)
+    assert run_rules(spark, URLS, RULES) == {i: brute_verdict(u, RULES) for i, u in enumerate(URLS)} | {None: brute_verdict(URLS[0], RULES)}
+    rows = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id long, url string")
+    plan = url_rules.judge(rows, spark.createDataFrame(RULES, "host string, path string, verdict string"))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+
+
 def test_rules_and_pages_may_be_missing(spark):
     assert {v[3] for v in run_rules(spark, URLS, []).values()} == {"allow"}
     empty = spark.createDataFrame([], "page_id long, url string")

@@ -13,6 +13,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from foliospark.llm import bpe, common, packing, sstable, tokens
@@ -68,7 +69,7 @@ def test_every_vocabulary_entry_encodes_as_the_rank_encoder_does(reference):
 
 
 def test_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+    monkeypatch.setattr(bpe, "REMEMBERED_BYTES", 10 * bpe.ENTRY_BYTES)
     coder = bpe.ByteBpe(bpe.load_ranks(RANKS))
     for k in range(20):
         text = " ".join(f"w{k}x{i}" for i in range(9))
@@ -76,6 +77,16 @@ def test_memory_is_bounded(monkeypatch):
     assert len(coder.ids) < 100
 
 
+def test_long_words_are_not_remembered(reference):
+    coder = bpe.ByteBpe(bpe.load_ranks(RANKS))
+    for k in range(3):
+        text = f"short {chr(97 + k) * 300_000} end " + "xyz" * 30 + " \u00e9" * 3
+        shown, raw = coder.round_trip(text)
+        assert raw == text.encode() and shown == ",".join(map(str, reference.encode_ordinary(text)))
+        assert coder.encode(text) == reference.encode_ordinary(text)
+    assert max(map(len, coder.ids)) <= bpe.LONGEST and sum(map(len, coder.shown.values())) < 1000
+
+
 def test_op1(spark, reference):
     got = bpe.encode_decode(documents(spark), RANKS).collect()
     expected = []
@@ -147,6 +158,16 @@ def test_packing_ranks_over_many_groups(spark, monkeypatch):
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) == 400
 
 
+def test_packing_a_repeated_row(spark, monkeypatch):
+    """One row many times is ranked in many groups, and every copy has a place of its own."""
+    monkeypatch.setattr(packing, "GROUP_PIECES", 50)
+    frame = documents(spark, [(1, "same words here")] * 600 + [(None, None)] * 300)
+    rows = packing.pack(frame, JSON, max_tokens=16).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows) == 900
+    salted = packing.cut(frame, JSON, 16, 0, "doc_id", "text").groupBy(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "salt"), F.lit(18))).count().collect()
+    assert len(salted) == 18 and max(r["count"] for r in salted) < 100
+
+
 def test_shard_lookup(tmp_path):
     rng = random.Random(3)
     data = sorted({rng.randrange(-(2**40), 2**40) for _ in range(3000)})
@@ -194,6 +215,23 @@ def test_op8(spark, library):
     assert sstable.read_shards(sstable.write_shards(nothing(spark), common.Workspace(spark, "t"), JSON)).count() == 0
 
 
+def test_shards_roll_over_and_a_hot_id_is_split(spark, library, monkeypatch):
+    monkeypatch.setattr(sstable, "SHARD_BYTES", 4_000)
+    monkeypatch.setattr(sstable, "BLOCK_BYTES", 500)
+    rng = random.Random(4)
+    rows = [(rng.choice([None, 7, 7, 7, rng.randrange(10**6)]), " ".join(rng.choice(["alpha", "beta", "gamma"]) for _ in range(rng.randrange(40)))) for _ in range(800)] + [(7, "the same row")] * 400
+    ws = common.Workspace(spark, "t")
+    manifest = sstable.write_shards(documents(spark, rows), ws, JSON)
+    shards = manifest.collect()
+    assert max(r.bytes for r in shards) < 12_000 and sum(r.entries for r in shards) == len(rows)
+    assert len({r.part for r in shards if r.first_id == 7}) > 1
+    got = sorted(map(tuple, sstable.read_shards(manifest).collect()), key=lambda r: r[1])
+    ids = lambda t: library.encode(t, add_special_tokens=False).ids + [0]
+    assert sorted(((i, n, c) for i, _, n, c in got), key=str) == sorted(((i, len(ids(t)), zlib.crc32(np.array(ids(t), "<u4").tobytes())) for i, t in rows), key=str)
+    assert [i for i, *_ in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert all(b[1] == a[1] + a[2] for a, b in zip(got, got[1:])) and got[0][1] == 0
+
+
 @pytest.fixture(scope="module")
 def plain_library():
     """The library as it reads the file: added tokens are recognised in a text."""
@@ -237,6 +275,11 @@ def test_long_blank_runs_equal_library(plain_library, monkeypatch, blank, before
         assert tokens.encoder(JSON).encode(text) == plain_library.encode(text, add_special_tokens=False).ids
 
 
+def test_two_million_letters_equal_library(plain_library):
+    for text in ("ab" * 1_000_000, "x" * 500_000 + END + "1" * 300_000):
+        assert tokens.encoder(JSON).encode(text) == plain_library.encode(text, add_special_tokens=False).ids
+
+
 HUGE = [(1, "a" + " " * 1_200_000 + "b"), (2, "\n" * 1_100_000), (3, "c")]
 
 
