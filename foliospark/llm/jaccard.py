@@ -54,7 +54,7 @@ PAIRS_PER_SET = 16
 #: Reaches are rounded up to this share of the size, so that a shingle has few of them.
 REACH_STEPS = 64
 
-PACKED = "bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
+PACKED = "bucket int, kind int, chunk long, a binary, b binary, c binary, d binary, e binary"
 DOCS, SINGLE, SHARED, COUNTS = range(4)
 
 
@@ -73,7 +73,16 @@ def _packed(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.Recor
 
 
 def _pack_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return _packed(rows, ("bucket", "kind", "a", "b", "c", "d", "e"), (pa.int32(), pa.int32(), *[pa.binary()] * 5))
+    return _packed(rows, ("bucket", "kind", "chunk", "a", "b", "c", "d", "e"), (pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5))
+
+
+def _small(counts: np.ndarray) -> bytes:
+    """Counts in two bytes each if they fit, else in four."""
+    return counts.astype(np.uint16 if counts.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _counts(raw, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * n else np.uint32)
 
 
 def _buffers(column: pa.ChunkedArray) -> list:
@@ -109,14 +118,17 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.n
 
 
 def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Step 1, map side."""
+    """Step 1, map side. Sets travel as numbers within their chunk, in two bytes."""
     for ids, sets in _chunks(batches):
         fps = np.array([fingerprint(s) if len(s) else 0 for s in sets], np.uint64)
         sizes = np.array([len(s) for s in sets], np.uint32)
         known = np.array([i is not None for i, _ in ids])
         numbers = np.array([i if i is not None else 0 for i, _ in ids], np.int64)
         hashes = np.array([h for _, h in ids], np.int64)
-        rows = [(int(fps[0] % np.uint64(buckets)), DOCS, numbers.tobytes(), known.tobytes(), fps.tobytes(), sizes.tobytes(), hashes.tobytes())]
+        # Chunks of equal rows have one name; their counts add up, which drops no set.
+        chunk = xxhash.xxh3_64_intdigest(numbers.tobytes() + hashes.tobytes()) >> 1
+        home = chunk % buckets
+        rows = [(home, DOCS, chunk, numbers.tobytes(), known.tobytes(), fps.tobytes(), sizes.tobytes(), hashes.tobytes())]
         _, first = np.unique(fps, return_index=True)
         first = first[sizes[first] > 0]
         if len(first):
@@ -129,62 +141,55 @@ def _send(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             again[1:] |= same
             again[:-1] |= same
             local = np.bincount(owner[order[again]], minlength=len(first)).astype(np.uint32)
-            for p, at in _parts(fps[first] % np.uint64(buckets)):
-                rows.append((p, COUNTS, fps[first][at].tobytes(), local[at].tobytes(), sizes[first][at].tobytes(), None, None))
+            rows.append((home, COUNTS, chunk, fps[first].tobytes(), local.tobytes(), sizes[first].tobytes(), None, None))
             once = order[~again]
             once.sort()  # back to set order
-            _split(rows, SINGLE, shingles[once], owner[once], fps[first], buckets)
-            _split(rows, SHARED, ranked[again & np.concatenate(([True], ~same))], None, None, buckets)
+            _split(rows, SINGLE, chunk, shingles[once], owner[once], buckets)
+            _split(rows, SHARED, chunk, ranked[again & np.concatenate(([True], ~same))], None, buckets)
         yield _pack_rows(rows)
 
 
-def _split(rows: list, kind: int, shingles: np.ndarray, owner, fps, buckets: int) -> None:
+def _split(rows: list, kind: int, chunk: int, shingles: np.ndarray, owner, buckets: int) -> None:
     """A row per bucket that the chunk's shingles meet, so never more rows than shingles."""
     high, bucket = np.divmod(shingles, np.uint64(buckets))
     short = (high & np.uint64(0xFFFFFFFF)).astype(np.uint32)
     for b, at in _parts(bucket):
         if owner is None:
-            rows.append((b, kind, short[at].tobytes(), None, None, None, None))
+            rows.append((b, kind, chunk, short[at].tobytes(), None, None, None, None))
         else:
             who, counts = np.unique(owner[at], return_counts=True)
-            rows.append((b, kind, short[at].tobytes(), counts.astype(np.uint32).tobytes(), fps[who].tobytes(), None, None))
+            rows.append((b, kind, chunk, short[at].tobytes(), _small(counts), who.astype(np.uint16).tobytes(), None, None))
 
 
-def _receive(table: pa.Table, buckets: int) -> pa.Table:
-    """Step 1, a bucket: per set, the shingles that another chunk has too."""
+def _receive(table: pa.Table) -> pa.Table:
+    """Step 1, a bucket: per chunk and set, the shingles that another chunk has too."""
     passed = table.filter(pc.is_in(table["kind"], pa.array([DOCS, COUNTS], pa.int32())))
+    lists = [r for r in zip(table["kind"].to_pylist(), table["chunk"].to_pylist(), *(_buffers(table[c]) for c in "abc")) if r[0] in (SINGLE, SHARED)]
     keep = []
-    lists = [r for r in zip(table["bucket"].to_pylist(), table["kind"].to_pylist(), *(_buffers(table[c]) for c in "abc")) if r[1] in (SINGLE, SHARED)]
     if lists:
         every = np.concatenate([np.frombuffer(r[2], np.uint32) for r in lists])
         every.sort()
         twice = np.unique(every[1:][every[1:] == every[:-1]])
-        totals: list[tuple[np.ndarray, np.ndarray]] = []
-        for r in lists:
-            if r[1] == SINGLE and len(twice):
-                short, counts, fps = np.frombuffer(r[2], np.uint32), np.frombuffer(r[3], np.uint32), np.frombuffer(r[4], np.uint64)
+        for kind, chunk, short, counts, who in lists:
+            if kind == SINGLE and len(twice):
+                short, who = np.frombuffer(short, np.uint32), np.frombuffer(who, np.uint16)
                 at = np.searchsorted(twice, short)
                 hit = twice[np.minimum(at, len(twice) - 1)] == short
-                totals.append((fps, np.bincount(np.repeat(np.arange(len(counts)), counts), hit, len(counts)).astype(np.uint32)))
-        if totals:
-            fps, counts = (np.concatenate(x) for x in zip(*totals))
-            fps, counts = fps[counts > 0], counts[counts > 0]
-            for p, at in _parts(fps % np.uint64(buckets)):
-                keep.append((p, COUNTS, fps[at].tobytes(), counts[at].tobytes(), None, None, None))
+                hits = np.bincount(np.repeat(np.arange(len(who)), _counts(counts, len(who))), hit, len(who)).astype(np.uint32)
+                if hits.any():
+                    keep.append((0, COUNTS, chunk, who[hits > 0].tobytes(), _small(hits[hits > 0]), None, None, None))
     return pa.concat_tables([passed, pa.Table.from_batches([_pack_rows(keep)]).cast(passed.schema)])
 
 
 def _survivors(table: pa.Table, percent: int) -> pa.Table:
-    """Step 1, a bucket of fingerprints: sets that share enough."""
-    fps = np.concatenate([np.frombuffer(x, np.uint64) for x in table["a"].to_pylist()])
-    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in table["b"].to_pylist()])
-    sized = [(np.frombuffer(a, np.uint64), np.frombuffer(c, np.uint32)) for a, c in zip(table["a"].to_pylist(), table["c"].to_pylist()) if c is not None]
-    known, sizes = (np.concatenate(x) for x in zip(*sized))
-    unique, where = np.unique(fps, return_inverse=True)
-    total = np.bincount(where, counts)
-    size = np.zeros(len(unique), np.int64)
-    size[np.searchsorted(unique, known)] = sizes
-    return pa.table({"fp": pa.array(unique[total >= least_overlap(size, percent)].astype(np.int64))})
+    """Step 1, a chunk: fingerprints of the sets that share enough."""
+    rows = list(zip(*(_buffers(table[c]) for c in "abc")))
+    fps, total, size = next((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32).astype(np.int64), np.frombuffer(c, np.uint32)) for a, b, c in rows if c is not None)
+    for who, hits, own in rows:
+        if own is None:
+            who = np.frombuffer(who, np.uint16)
+            total[who] += _counts(hits, len(who))
+    return pa.table({"fp": pa.array(fps[total >= least_overlap(size.astype(np.int64), percent)].astype(np.int64))})
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -482,12 +487,12 @@ def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
     buckets = max(LEAST_BUCKETS, characters // 6 // BUCKET_SHINGLES + 1)
 
     sent = rows.mapInArrow(lambda it: _send(it, buckets), PACKED)
-    packed = ws.stage(sent.groupBy("bucket").applyInArrow(lambda t: _receive(t, buckets), PACKED), "packed")
+    packed = ws.stage(sent.groupBy("bucket").applyInArrow(_receive, PACKED), "packed")
     docs_table = ws.stage(packed.where(F.col("kind") == DOCS).mapInArrow(_documents, "doc_id long, fp long, n_shingles long, text_hash long"), "documents")
-    survivors = packed.where(F.col("kind") == COUNTS).groupBy("bucket").applyInArrow(lambda t: _survivors(t, percent), "fp long")
+    survivors = packed.where(F.col("kind") == COUNTS).groupBy("chunk").applyInArrow(lambda t: _survivors(t, percent), "fp long")
     classes = docs_table.where("n_shingles > 0").groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("copies"))
     classes = ws.stage(classes, "classes")
-    reps = ws.stage(classes.join(survivors, "fp").select(F.col("least_id").alias("rep_id")), "representatives")
+    reps = ws.stage(classes.join(survivors, "fp", "left_semi").select(F.col("least_id").alias("rep_id")), "representatives")
     ws.drop("packed")
 
     chosen = rows.join(common.bounded(reps), F.col("doc_id").eqNullSafe(F.col("rep_id")), "left_semi")
@@ -514,13 +519,18 @@ def _judged(docs: DataFrame, percent: int, id_col: str, text_col: str) -> tuple[
         found = _units(wide, large).groupBy("cluster", "unit").applyInArrow(lambda t: _verify(t, percent, block_sets), "a long, b long")
         found = ws.stage(found, "unit-links")
         known = ws.stage(connected_components(found, ws, "units"), "unit-roots")
+        links = links.unionAll(found)
         rest = _unsettled(wide, known, ws, percent)
-        blocks = _blocks(rest.where("dense")).groupBy("cluster", "kind", "i", "j").applyInArrow(lambda t: _verify(t, percent, block_sets), "a long, b long")
-        pairs = ws.stage(_pairs(rest.where("NOT dense"), ws, percent), "pairs")
-        sets = wide.select("fp", "shingles")
-        held = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-        more = held.select("a", "b", "x", "y").mapInArrow(lambda it: _verify_pairs(it, percent), "a long, b long")
-        links = links.unionAll(found).unionAll(ws.stage(blocks.unionAll(more), "last-links"))
+        sparse = rest.where("NOT dense")
+        if not rest.isEmpty():
+            blocks = _blocks(rest.where("dense")).groupBy("cluster", "kind", "i", "j").applyInArrow(lambda t: _verify(t, percent, block_sets), "a long, b long")
+            links = links.unionAll(ws.stage(blocks, "block-links"))
+        if not sparse.isEmpty():
+            pairs = ws.stage(_pairs(sparse, ws, percent), "pairs")
+            sets = wide.select("fp", "shingles")
+            held = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+            more = held.select("a", "b", "x", "y").mapInArrow(lambda it: _verify_pairs(it, percent), "a long, b long")
+            links = links.unionAll(ws.stage(more, "pair-links"))
     roots = ws.stage(connected_components(links, ws, "components"), "components")
 
     least = classes.join(roots, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("least_id").alias("component"))
