@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.arrays import bind
 from ..sources.views import clean
 from . import terms as t
 
@@ -54,6 +55,11 @@ class Detector:
             found = F.array_distinct(found)
         return F.when(self.gate(text), found) if self.gate is not None else found
 
+    def typed(self, text: Column) -> Column:
+        """Accepted values with their type: ``array<struct<type, value>>``."""
+        values = F.coalesce(self.values(text), F.array().cast("array<string>"))
+        return F.transform(values, lambda v: F.struct(F.lit(self.type).alias("type"), v.alias("value")))
+
     def _context(self, text: Column, x: Column) -> Column:
         around = self.fold(tx.window(text, x["s"], F.length(x["m"]), self.reach))
         ok = F.regexp_like(around, F.lit(self.near)) if self.near else F.lit(True)
@@ -64,15 +70,10 @@ def findings(pages: DataFrame, detectors: list[Detector], cleaned: bool = False)
     """``document, page, type, value``: one row per accepted match, or per distinct value
     on a page for detectors that say so."""
     rows = pages if cleaned else clean(pages)
-    all_found = F.concat(*(_typed(d, F.col("text")) for d in detectors))
+    all_found = F.concat(*(d.typed(F.col("text")) for d in detectors))
     return rows.select("document", "page", F.explode(all_found).alias("f")).select("document", "page", "f.type", "f.value")
 
 
-def _typed(d: Detector, text: Column) -> Column:
-    values = F.coalesce(d.values(text), F.array().cast("array<string>"))
-    return F.transform(values, lambda v: F.struct(F.lit(d.type).alias("type"), v.alias("value")))
-
-
 def _email_ok(v: Column) -> Column:
     domain = F.substring_index(v, "@", -1)
     local = F.substring_index(v, "@", 1)
@@ -238,21 +239,45 @@ CIK = _Cik("cik_number", ())
 SIMPLE = [EMAIL, PHONE_US, PHONE_INTL, PHONE_EXT, ADDRESS, SSN, COMMISSION, EIN, TICKER, CIK, CUSIP, ISIN_US, ISIN_OTHER, SEDOL, FIGI, LEI, PATENT, SEC_URL, PARTIAL, KNOWN, REGISTRANT]
 
 
-def websites(pages: DataFrame) -> DataFrame:
+class _Websites(Detector):
     """Distinct per page over the three forms."""
-    return findings(pages, WEBSITES).distinct()
+
+    def values(self, text: Column) -> Column:
+        return F.array_distinct(F.concat(*(F.coalesce(d.values(text), F.array().cast("array<string>")) for d in WEBSITES)))
 
 
-def firms(pages: DataFrame) -> DataFrame:
+class _Firms(Detector):
     """Firms and their class, by the first key word group met around the first mention
     on the page."""
-    text = F.col("text")
-    hits = clean(pages).select("document", "page", "text", F.explode(tx.spans(text, t.FIRM, (1, 2))).alias("x"))
-    around = F.upper(tx.window(text, F.col("x.s"), F.length("x.m"), 50))
-    kind = F.when(F.lit(False), F.lit(""))
-    for name, words in t.FIRM_CLASSES:
-        kind = kind.when(tx.has_any(around, words), F.lit(name))
-    named = hits.select("document", "page", F.regexp_replace(F.concat_ws(" ", "x.g0", "x.g1"), tx.SPACE, " ").alias("value"), F.col("x.s").alias("s"), kind.otherwise("professional_firm").alias("type"))
-    words = F.filter(F.split("value", " "), lambda w: F.length(w) > 2)
-    ok = F.length("value").between(10, 60) & F.forall(words, lambda w: F.regexp_like(w, F.lit("^[A-Z]"))) & ~F.col("value").isin(t.FIRM_NOT)
-    return named.where(ok).groupBy("document", "page", "value").agg(F.min_by("type", "s").alias("type")).select("document", "page", "type", "value")
+
+    def typed(self, text: Column) -> Column:
+        def named(x: Column) -> Column:
+            around = F.upper(tx.window(text, x["s"], F.length(x["m"]), 50))
+            kind = F.when(F.lit(False), F.lit(""))
+            for name, words in t.FIRM_CLASSES:
+                kind = kind.when(tx.has_any(around, words), F.lit(name))
+            value = F.regexp_replace(F.concat_ws(" ", x["g0"], x["g1"]), tx.SPACE, " ")
+            return F.struct(kind.otherwise("professional_firm").alias("type"), value.alias("value"))
+
+        def ok(v: Column) -> Column:
+            words = F.filter(F.split(v, " "), lambda w: F.length(w) > 2)
+            return F.length(v).between(10, 60) & F.forall(words, lambda w: F.regexp_like(w, F.lit("^[A-Z]"))) & ~v.isin(t.FIRM_NOT)
+
+        def first(found: Column) -> Column:
+            once = lambda values: F.transform(F.array_distinct(values), lambda v: F.get(found, F.array_position(values, v).cast("int") - 1))
+            return bind(F.transform(found, lambda f: f["value"]), once)
+
+        hits = F.transform(tx.spans(text, t.FIRM, (1, 2)), named)
+        return bind(F.filter(hits, lambda f: ok(f["value"])), first)
+
+
+WEBSITE = _Websites("website", ())
+FIRM = _Firms("professional_firm", ())
+
+
+def websites(pages: DataFrame) -> DataFrame:
+    return findings(pages, [WEBSITE])
+
+
+def firms(pages: DataFrame) -> DataFrame:
+    return findings(pages, [FIRM])

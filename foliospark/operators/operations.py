@@ -93,7 +93,7 @@ def language_code(c: Column, codes: dict[str, str]) -> Column:
 
 def log_stats(lines: DataFrame) -> DataFrame:
     """Lines and bytes of each log file."""
-    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.length("value") + 1).alias("bytes"))
+    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.sum(F.octet_length("value") + 1).alias("bytes"))
 
 
 def merge_counters(old: DataFrame, delta: DataFrame) -> DataFrame:

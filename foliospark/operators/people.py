@@ -64,6 +64,20 @@ def plausible(v: Column) -> Column:
     )
 
 
+class _Persons(Detector):
+    """Distinct cleaned and plausible names of a page, without those that it names as
+    executives. All of it happens in the page's row: no join, one pass over the text."""
+
+    def values(self, text: Column) -> Column:
+        none = F.array().cast("array<string>")
+        together = lambda ds: F.concat(*(F.coalesce(d.values(text), none) for d in ds))
+        names = F.array_except(together(STREAMS), together(EXECUTIVES))
+        return F.array_distinct(F.filter(F.transform(names, clean_name), plausible))
+
+
+PERSONS = _Persons("person_name", ())
+
+
 def executive_names(pages: DataFrame) -> DataFrame:
     """``document, page, value``: names that stand with a title."""
     return findings(pages, EXECUTIVES).select("document", "page", "value").distinct()
@@ -71,6 +85,5 @@ def executive_names(pages: DataFrame) -> DataFrame:
 
 def person_names(pages: DataFrame) -> DataFrame:
     """``document, page, value``: distinct cleaned and plausible names per page, without
-    those that the page names as executives."""
-    raw = findings(pages, STREAMS).join(executive_names(pages), ["document", "page", "value"], "left_anti")
-    return raw.select("document", "page", clean_name(F.col("value")).alias("value")).where(plausible(F.col("value"))).distinct()
+    those that the page names as executives. ``pages`` has a row per page."""
+    return findings(pages, [PERSONS]).select("document", "page", "value")

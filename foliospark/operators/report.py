@@ -1,12 +1,12 @@
 """Reports over findings: page lists, roll-ups, consolidation, summaries.
 
-Every aggregation is two-level where a value can stand in very many documents:
-pages are gathered per document first, documents per value after.
+Every aggregation is two-level where a value can stand in very many documents: pages
+are gathered per document, and documents are counted per value, not gathered.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import terms as t
@@ -60,21 +60,36 @@ def normal_key(kind: Column, value: Column) -> Column:
 
 
 def consolidate(findings: DataFrame) -> DataFrame:
-    """``type, key, value, occurrences``: per value its documents, each with its pages.
+    """``type, key, document, best, pages``: a row per value and document, with the best
+    form met there and its pages.
 
-    The shown value is the best form met: not all upper-case, then longer, then
-    first in order."""
+    A value that stands in very many documents stays in as many rows: no row and no
+    task gathers its documents."""
     keyed = findings.withColumn("key", normal_key(F.col("type"), F.col("value")))
     shown = F.struct(((F.col("value") == F.upper("value")) & (F.col("value") != F.lower("value"))).alias("upper"), (-F.length("value")).alias("n"), F.col("value").alias("v"))
-    per_document = keyed.groupBy("type", "key", "document").agg(F.min(shown).alias("best"), F.sort_array(F.collect_set("page")).alias("pages"))
-    merged = per_document.groupBy("type", "key").agg(F.min("best").alias("best"), F.sort_array(F.collect_list(F.struct("document", "pages"))).alias("occurrences"))
-    return merged.select("type", "key", F.col("best.v").alias("value"), "occurrences")
+    return keyed.groupBy("type", "key", "document").agg(F.min(shown).alias("best"), F.sort_array(F.collect_set("page")).alias("pages"))
 
 
-def consolidated_report(consolidated: DataFrame) -> DataFrame:
-    """``doc p.1, p.2; doc2 p.3`` per value."""
-    places = F.transform("occurrences", lambda o: F.concat_ws(" ", o["document"], page_list(o["pages"])))
-    return consolidated.select(label(F.col("type")).alias("label"), "value", F.array_join(places, "; ").alias("documents"))
+def consolidated_values(consolidated: DataFrame) -> DataFrame:
+    """``type, key, value, documents, pages``: per value the form to show and its counts.
+    The best form is not all upper-case, then longer, then first in order."""
+    merged = consolidated.groupBy("type", "key").agg(F.min("best").alias("best"), F.count(F.lit(1)).alias("documents"), F.sum(F.size("pages")).alias("pages"))
+    return merged.select("type", "key", F.col("best.v").alias("value"), "documents", "pages")
+
+
+#: Documents in one line of the consolidated report.
+REPORT_PART = 1_000
+
+
+def consolidated_report(consolidated: DataFrame, part: int = REPORT_PART) -> DataFrame:
+    """``doc p.1, p.2; doc2 p.3`` per value, in parts of at most ``part`` documents, so
+    that no line grows with the corpus."""
+    order = Window.partitionBy("type", "key").orderBy("document")
+    placed = consolidated.withColumn("n", F.row_number().over(order) - 1).withColumn("part", F.floor(F.col("n") / part))
+    place = F.struct("document", F.concat_ws(" ", "document", page_list(F.col("pages"))).alias("text"))
+    lines = placed.groupBy("type", "key", "part").agg(F.sort_array(F.collect_list(place)).alias("places"))
+    shown = consolidated_values(consolidated).select("type", "key", "value")
+    return lines.join(shown, ["type", "key"]).select(label(F.col("type")).alias("label"), "value", "part", F.array_join(F.col("places.text"), "; ").alias("documents"))
 
 
 def summary(findings: DataFrame) -> DataFrame:
@@ -85,7 +100,8 @@ def summary(findings: DataFrame) -> DataFrame:
 
 
 def consolidated_summary(consolidated: DataFrame) -> DataFrame:
-    return consolidated.groupBy("type").agg(F.count(F.lit(1)).alias("items"), F.sum(F.size("occurrences")).alias("document_mentions"))
+    """Per type: values, documents that have any, and mentions (value and document)."""
+    return consolidated.groupBy("type").agg(F.countDistinct("key").alias("items"), F.countDistinct("document").alias("documents"), F.count(F.lit(1)).alias("document_mentions"))
 
 
 def image_findings(images: DataFrame) -> DataFrame:
@@ -103,9 +119,9 @@ def text_report(findings: DataFrame) -> DataFrame:
 
 
 def json_rows(consolidated: DataFrame) -> DataFrame:
-    """One JSON object per value: places and counts."""
-    item = F.struct("type", "value", F.size("occurrences").alias("document_count"), F.aggregate("occurrences", F.lit(0), lambda n, o: n + F.size(o["pages"])).alias("total_occurrences"))
-    return consolidated.select("type", "value", F.to_json(item).alias("json"))
+    """One JSON object per value: its counts."""
+    item = F.struct("type", "value", F.col("documents").alias("document_count"), F.col("pages").alias("total_occurrences"))
+    return consolidated_values(consolidated).select("type", "value", F.to_json(item).alias("json"))
 
 
 def csv_rows(findings: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
@@ -166,4 +182,4 @@ def dedup_prefix(findings: DataFrame) -> DataFrame:
 
 
 def empty_findings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "document string, page int, type string, value string")
+    return spark.createDataFrame([], "document string, page long, type string, value string")

@@ -107,19 +107,19 @@ def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
 WANTED = "SELECT md5(text) AS doc_md5, CAST(doc_id % 5 AS INT) AS page, 300 AS dpi, lang FROM documents"
 
 
-@query(f"SELECT doc_md5, page, dpi, lang FROM ({WANTED}) WHERE (doc_md5, page, lang) NOT IN (SELECT md5(text), CAST(doc_id % 5 AS INT), lang FROM documents WHERE doc_id % 2 = 0)")
+@query(f"SELECT doc_md5, page, dpi, lang FROM ({WANTED}) WHERE (doc_md5, page, lang) NOT IN (SELECT md5(text), CAST(doc_id % 5 AS INT), lang FROM documents WHERE lang = 'en')")
 def cache_miss_anti(spark: SparkSession, d: str) -> DataFrame:
     docs = v.table(spark, d, "documents")
     row = docs.select(F.md5("text").alias("doc_md5"), (F.col("doc_id") % 5).cast("int").alias("page"), F.lit(300).alias("dpi"), "lang", "doc_id")
-    cache = row.where("doc_id % 2 = 0").select("doc_md5", "page", "dpi", "lang", F.lit("x").alias("payload")).dropDuplicates(["doc_md5", "page", "dpi", "lang"])
+    cache = row.where("lang = 'en'").select("doc_md5", "page", "dpi", "lang", F.lit("x").alias("payload")).dropDuplicates(["doc_md5", "page", "dpi", "lang"])
     return ops.cache_lookup(row.drop("doc_id"), cache)[1]
 
 
-@query(f"SELECT doc_md5, page, payload FROM ({WANTED}) w JOIN (SELECT md5(text) AS m, CAST(doc_id % 5 AS INT) AS p, lang AS l, min(doc_id) AS payload FROM documents WHERE doc_id % 2 = 0 GROUP BY ALL) c ON doc_md5 = m AND page = p AND lang = l")
+@query(f"SELECT doc_md5, page, payload FROM ({WANTED}) w JOIN (SELECT md5(text) AS m, CAST(doc_id % 5 AS INT) AS p, lang AS l, min(doc_id) AS payload FROM documents WHERE lang = 'en' GROUP BY ALL) c ON doc_md5 = m AND page = p AND lang = l")
 def cache_hits(spark: SparkSession, d: str) -> DataFrame:
     docs = v.table(spark, d, "documents")
     row = docs.select(F.md5("text").alias("doc_md5"), (F.col("doc_id") % 5).cast("int").alias("page"), F.lit(300).alias("dpi"), "lang", "doc_id")
-    cache = row.where("doc_id % 2 = 0").groupBy("doc_md5", "page", "dpi", "lang").agg(F.min("doc_id").alias("payload"))
+    cache = row.where("lang = 'en'").groupBy("doc_md5", "page", "dpi", "lang").agg(F.min("doc_id").alias("payload"))
     return ops.cache_lookup(row.drop("doc_id"), cache)[0].select("doc_md5", "page", "payload")
 
 
@@ -135,7 +135,7 @@ def settings_json_path(spark: SparkSession, d: str) -> DataFrame:
     return v.table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-@query("SELECT source AS file, count(*) AS lines, CAST(sum(length(text) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source")
+@query("SELECT source AS file, count(*) AS lines, CAST(sum(octet_length(encode(text)) + 1) AS BIGINT) AS bytes FROM documents GROUP BY source")
 def log_stats(spark: SparkSession, d: str) -> DataFrame:
     return ops.log_stats(v.table(spark, d, "documents").select(F.col("source").alias("file"), F.col("text").alias("value")))
 
@@ -171,7 +171,7 @@ def _checkpoint(spark: SparkSession) -> str:
 def stream_findings(spark: SparkSession, d: str) -> DataFrame:
     """The e-mail detector on a stream of document files; equals the batch findings."""
     docs = streams.page_stream(spark, f"{d}/documents.parquet", "doc_id long, text string, lang string, source string, n_chars long")
-    pages = docs.select(F.col("source").alias("document"), (F.col("doc_id") + 1).cast("int").alias("page"), "text")
+    pages = docs.select(F.col("source").alias("document"), (F.col("doc_id") + 1).cast("long").alias("page"), "text")
     return streams.drain(streams.stream_findings(pages, [detect.EMAIL, detect.PHONE_US]), _checkpoint(spark))
 
 

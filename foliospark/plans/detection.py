@@ -39,7 +39,7 @@ def page_admission(spark: SparkSession, d: str) -> DataFrame:
     return v.clean(v.document_pages(spark, d)).select("document", "page", F.length("text").alias("n_chars"))
 
 
-@query(f"SELECT document, avg(length(trim(text))) AS mean_chars, avg(length(trim(text))) < 100 AS scanned FROM (SELECT CAST(conv_id AS VARCHAR) AS document, CAST(turn + 1 AS INT) AS page, text FROM conversations) WHERE page <= 3 GROUP BY document")
+@query(f"SELECT document, avg(length(trim(text))) AS mean_chars, avg(length(trim(text))) < 100 AS scanned FROM (SELECT CAST(conv_id AS VARCHAR) AS document, CAST(turn + 1 AS BIGINT) AS page, text FROM conversations) WHERE page <= 3 GROUP BY document")
 def scanned_documents(spark: SparkSession, d: str) -> DataFrame:
     mean = F.avg(F.length(F.trim("text")))
     return v.conversation_pages(spark, d).where("page <= 3").groupBy("document").agg(mean.alias("mean_chars"), (mean < 100).alias("scanned"))
@@ -50,11 +50,9 @@ def page_counts(spark: SparkSession, d: str) -> DataFrame:
     return v.document_pages(spark, d).groupBy("document").agg(F.count(F.lit(1)).alias("pages"), F.max("page").alias("last_page"))
 
 
-#: The pages at hand have no images; their divisions stand in for them.
-@query(f"SELECT document, page, len(regexp_extract_all(replace(html, '<div', '<img'), '(?i)<img\\b')) AS image_count FROM ({WEB}) WHERE image_count > 0")
+@query(f"SELECT document, page, len(regexp_extract_all(html, '(?i)<img\\b')) AS image_count FROM ({WEB})")
 def image_counts(spark: SparkSession, d: str) -> DataFrame:
-    html = F.replace("html", F.lit("<div"), F.lit("<img"))
-    return v.web_pages(spark, d).select("document", "page", adapters.image_count(html).alias("image_count")).where("image_count > 0")
+    return v.web_pages(spark, d).select("document", "page", adapters.image_count(F.col("html")).alias("image_count"))
 
 
 @query("SELECT doc_id, CASE lang WHEN 'en' THEN 'eng' WHEN 'fr' THEN 'fra' WHEN 'de' THEN 'deu' WHEN 'es' THEN 'spa' ELSE lang END AS code FROM documents")
@@ -284,7 +282,7 @@ def executive_names(spark: SparkSession, d: str) -> DataFrame:
     return people.executive_names(v.filings(spark, d))
 
 
-SHIPPED = "SELECT 'o' || (l_orderkey % 50) AS document, CAST(l_orderkey AS INT) AS page, 'report dated ' || strftime(l_shipdate, '%B %d, %Y') || ' and as of ' || strftime(l_shipdate, '%Y-%m-%d') || ' or 2017-13-40 ' AS text FROM lineitem WHERE l_linenumber = 1"
+SHIPPED = "SELECT 'o' || (l_orderkey % 50) AS document, l_orderkey AS page, 'report dated ' || strftime(l_shipdate, '%B %d, %Y') || ' and as of ' || strftime(l_shipdate, '%Y-%m-%d') || ' or 2017-13-40 ' AS text FROM lineitem"
 
 
 @query(f"""
@@ -293,9 +291,9 @@ SHIPPED = "SELECT 'o' || (l_orderkey % 50) AS document, CAST(l_orderkey AS INT)
     WHERE {has_any('around', t.DATE_CONTEXT)} AND CAST(g0 AS INT) BETWEEN 1900 AND 2100 AND CAST(g1 AS INT) BETWEEN 1 AND 12 AND CAST(g2 AS INT) BETWEEN 1 AND 31
 """)
 def important_dates(spark: SparkSession, d: str) -> DataFrame:
-    rows = v.table(spark, d, "lineitem").where("l_linenumber = 1")
+    rows = v.table(spark, d, "lineitem")
     text = F.concat(F.lit("report dated "), F.date_format("l_shipdate", "MMMM dd, yyyy"), F.lit(" and as of "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" or 2017-13-40 "))
-    pages = rows.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 50).cast("string")).alias("document"), F.col("l_orderkey").cast("int").alias("page"), text.alias("text"))
+    pages = rows.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 50).cast("string")).alias("document"), F.col("l_orderkey").alias("page"), text.alias("text"))
     return findings(pages, [detect.DATES, detect.ISO_DATES]).distinct()
 
 
@@ -322,13 +320,23 @@ def person_filters(spark: SparkSession, d: str) -> DataFrame:
     return people.person_names(v.filings(spark, d))
 
 
-@query(None)
-def all_findings(spark: SparkSession, d: str) -> DataFrame:
-    """Every detector over every page relation, counted by type; each detector's rows
-    are compared with SQL by its own query."""
-    pages = v.document_pages(spark, d).unionAll(v.filings(spark, d)).unionAll(v.web_pages(spark, d).select("document", "page", "text"))
-    found = findings(pages, detect.SIMPLE).unionAll(detect.firms(pages)).unionAll(detect.websites(pages))
-    names = people.person_names(pages).select("document", "page", F.lit("person_name").alias("type"), "value")
-    return found.unionAll(names).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document").alias("documents"))
+#: Every page relation, for the SQL of ``all_findings``.
+EVERY = f"SELECT document, page, text FROM ({DOCS}) UNION ALL SELECT document, page, text FROM ({FILINGS}) UNION ALL SELECT document, page, text FROM ({WEB})"
+EVERY_TYPE = ["phone_findings_us", "phone_findings_intl_context", "phone_ext", "address_inverse_fallback", "ssn_findings", "commission_findings", "ein_context", "ticker", "cik_with_fallback", "cusip_context",
+              "isin_union", "sedol", "figi", "lei", "patent", "sec_url", "partial_address_anti", "known_company_context", "registrant_names", "firm_classification", "person_filters"]
+
 
+def _everywhere() -> str:
+    parts = [email_sql(EVERY), f"SELECT document, page, type, value FROM ({_websites(EVERY)})"]
+    for name in EVERY_TYPE:
+        sql = SQL[name].replace(FILINGS, EVERY) if FILINGS in SQL[name] else SQL[name].replace(DOCS, EVERY)
+        parts.append(f"SELECT document, page, {q('person_name') if name == 'person_filters' else 'type'} AS type, value FROM ({sql})")
+    return "SELECT type, count(*) AS n, count(DISTINCT document) AS documents FROM (" + " UNION ALL ".join(parts) + ") GROUP BY type"
 
+
+@query(_everywhere())
+def all_findings(spark: SparkSession, d: str) -> DataFrame:
+    """Every detector over every page relation, in one pass, counted by type."""
+    pages = v.document_pages(spark, d).unionAll(v.filings(spark, d)).unionAll(v.web_pages(spark, d).select("document", "page", "text"))
+    found = findings(pages, [*detect.SIMPLE, detect.FIRM, detect.WEBSITE, people.PERSONS])
+    return found.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document").alias("documents"))

@@ -35,12 +35,26 @@ def word_lines_chained(spark: SparkSession, d: str) -> DataFrame:
     return layout.lines_chained(v.words(spark, d)).select("page", "word_id", "line_no")
 
 
-@query(None)
+@query(f"""
+    WITH RECURSIVE {W},
+    o AS (SELECT page, word_id, top, row_number() OVER (PARTITION BY page ORDER BY top, x0, word_id) AS i FROM w),
+    r AS (SELECT page, word_id, i, top AS y, 1 AS n FROM o WHERE i = 1
+          UNION ALL SELECT o.page, o.word_id, o.i, CASE WHEN abs(o.top - r.y) > 5 THEN o.top ELSE r.y END, r.n + CASE WHEN abs(o.top - r.y) > 5 THEN 1 ELSE 0 END
+          FROM r JOIN o ON o.page = r.page AND o.i = r.i + 1)
+    SELECT page, word_id, CAST(n AS INT) AS line_no FROM r
+""")
 def word_lines_anchored(spark: SparkSession, d: str) -> DataFrame:
     return layout.lines_anchored(v.words(spark, d))
 
 
-@query(None)
+@query(f"""
+    WITH RECURSIVE {W},
+    o AS (SELECT page, x0, row_number() OVER (PARTITION BY page ORDER BY x0) AS i FROM (SELECT DISTINCT page, x0 FROM w)),
+    r AS (SELECT page, i, x0 AS first_x, 0 AS bin, true AS new FROM o WHERE i = 1
+          UNION ALL SELECT o.page, o.i, CASE WHEN o.x0 - r.first_x > 20 THEN o.x0 ELSE r.first_x END, r.bin + CASE WHEN o.x0 - r.first_x > 20 THEN 1 ELSE 0 END, o.x0 - r.first_x > 20
+          FROM r JOIN o ON o.page = r.page AND o.i = r.i + 1)
+    SELECT page, CAST(bin AS INT) AS bin, first_x FROM r WHERE new
+""")
 def column_bins(spark: SparkSession, d: str) -> DataFrame:
     return layout.column_bins(v.words(spark, d))
 

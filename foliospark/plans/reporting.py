@@ -79,13 +79,15 @@ CONSOLIDATED = f"""(
 
 @query(f"SELECT type, key, value, len(occurrences) AS documents, CAST(list_sum(list_transform(occurrences, lambda o: len(o.pages))) AS BIGINT) AS pages FROM {CONSOLIDATED}")
 def consolidated_findings(spark: SparkSession, d: str) -> DataFrame:
-    pages = F.aggregate("occurrences", F.lit(0), lambda n, o: n + F.size(o["pages"]))
-    return report.consolidate(base(spark, d)).select("type", "key", "value", F.size("occurrences").alias("documents"), pages.cast("long").alias("pages"))
+    return report.consolidated_values(report.consolidate(base(spark, d))).select("type", "key", "value", "documents", "pages")
 
 
-@query(f"SELECT {LABEL} AS label, value, array_to_string(list_transform(occurrences, lambda o: o.document || ' ' || {PAGES('o.pages')}), '; ') AS documents FROM {CONSOLIDATED}".replace("lambda p: 'p.' || p", "lambda g: 'p.' || g"))
+PLACES = """(SELECT type, value, o, CAST((i - 1) // 5 AS BIGINT) AS part, i FROM (SELECT type, value, unnest(occurrences) AS o, unnest(range(1, len(occurrences) + 1)) AS i FROM """ + CONSOLIDATED + "))"
+
+
+@query(f"SELECT {LABEL} AS label, value, part, string_agg(o.document || ' ' || {PAGES('o.pages')}, '; ' ORDER BY i) AS documents FROM {PLACES} GROUP BY type, value, part")
 def consolidated_report(spark: SparkSession, d: str) -> DataFrame:
-    return report.consolidated_report(report.consolidate(base(spark, d)))
+    return report.consolidated_report(report.consolidate(base(spark, d)), 5)
 
 
 MIXED = "SELECT document, page, type, CASE WHEN page % 3 = 0 THEN upper(value) WHEN page % 3 = 1 AND type = 'email' THEN upper(value) ELSE value END AS value FROM " + BASE
@@ -94,7 +96,7 @@ MIXED = "SELECT document, page, type, CASE WHEN page % 3 = 0 THEN upper(value) W
 @query(f"SELECT type, CASE WHEN type = 'email' THEN lower(value) ELSE value END AS key, {BEST} AS value FROM ({MIXED}) GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY type, CASE WHEN type = 'email' THEN lower(value) ELSE value END"))
 def best_display_value(spark: SparkSession, d: str) -> DataFrame:
     shout = F.when(F.col("page") % 3 == 0, F.upper("value")).when((F.col("page") % 3 == 1) & (F.col("type") == "email"), F.upper("value")).otherwise(F.col("value"))
-    return report.consolidate(base(spark, d).withColumn("value", shout)).select("type", "key", "value")
+    return report.consolidated_values(report.consolidate(base(spark, d).withColumn("value", shout))).select("type", "key", "value")
 
 
 @query(f"SELECT coalesce(type, '(all)') AS type, count(*) AS items, CAST(sum(occurrences) AS BIGINT) AS occurrences FROM {INFO} GROUP BY ROLLUP (type)")
@@ -102,7 +104,7 @@ def summary_by_type_rollup(spark: SparkSession, d: str) -> DataFrame:
     return report.summary(base(spark, d))
 
 
-@query(f"SELECT type, count(*) AS items, CAST(sum(len(occurrences)) AS BIGINT) AS document_mentions FROM {CONSOLIDATED} GROUP BY type")
+@query(f"SELECT type, count(DISTINCT CASE WHEN type = 'email' THEN lower(value) ELSE value END) AS items, count(DISTINCT document) AS documents, count(DISTINCT CASE WHEN type = 'email' THEN lower(value) ELSE value END || chr(9) || document) AS document_mentions FROM {BASE} GROUP BY type")
 def consolidated_summary(spark: SparkSession, d: str) -> DataFrame:
     return report.consolidated_summary(report.consolidate(base(spark, d)))
 
@@ -122,9 +124,11 @@ def text_report_lines(spark: SparkSession, d: str) -> DataFrame:
     return report.text_report(base(spark, d))
 
 
-@query(f"SELECT document, page, 'image' AS type, n || CASE WHEN n = 1 THEN ' image' ELSE ' images' END AS value FROM (SELECT document, page, len(regexp_extract_all(replace(html, '<div', '<img'), '(?i)<img')) AS n FROM ({WEB})) WHERE n > 0")
+@query(f"SELECT document, page, 'image' AS type, n || CASE WHEN n = 1 THEN ' image' ELSE ' images' END AS value FROM (SELECT document, page, len(regexp_extract_all(html || repeat('<img src=a.png>', CAST(length(url) % 4 AS INT)), '(?i)<img\\b')) AS n FROM ({WEB})) WHERE n > 0")
 def images_in_report(spark: SparkSession, d: str) -> DataFrame:
-    count = adapters.image_count(F.replace("html", F.lit("<div"), F.lit("<img"))).alias("image_count")
+    """The pages at hand show few images, so each gets up to three more."""
+    html = F.concat("html", F.repeat(F.lit("<img src=a.png>"), (F.length("url") % 4).cast("int")))
+    count = adapters.image_count(html).alias("image_count")
     return report.image_findings(v.web_pages(spark, d).select("document", "page", count).where("image_count > 0"))
 
 

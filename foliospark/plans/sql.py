@@ -9,8 +9,8 @@ from collections.abc import Iterable
 
 from ..sources.views import FILINGS_SQL
 
-DOCS = "SELECT source AS document, CAST(doc_id + 1 AS INT) AS page, text FROM documents"
-WEB = "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS document, CAST(page_id + 1 AS INT) AS page, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text, url, html FROM pages"
+DOCS = "SELECT source AS document, CAST(doc_id + 1 AS BIGINT) AS page, text FROM documents"
+WEB = "SELECT regexp_extract(url, '://([^/?#]*)', 1) AS document, CAST(page_id + 1 AS BIGINT) AS page, regexp_replace(html, '<[^>]*>', ' ', 'g') AS text, url, html FROM pages"
 FILINGS = FILINGS_SQL.replace(" AS STRING)", " AS VARCHAR)")
 
 
@@ -59,6 +59,6 @@ WORDS = """
         SELECT page, word_id, text, CAST(word_id % 8 * 60 + CASE WHEN word_id % 8 >= 4 THEN 80 ELSE 0 END AS INT) AS x0,
                CAST(word_id // 8 * 12 + word_id % 3 AS INT) AS top, 10 + CASE WHEN word_id // 8 % 10 = 0 THEN 4 ELSE 0 END AS size,
                CAST(20 + word_id * 7 % 80 AS INT) AS conf, CAST(word_id // 8 AS INT) AS line
-        FROM (SELECT doc_id * 1000000 + (i - 1) // 200 AS page, CAST((i - 1) % 200 AS INT) AS word_id, w[i] AS text
+        FROM (SELECT doc_id || ':' || ((i - 1) // 200) AS page, CAST((i - 1) % 200 AS INT) AS word_id, w[i] AS text
               FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents) d, unnest(range(1, len(w) + 1)) t(i)))
     WHERE length(text) > 0"""

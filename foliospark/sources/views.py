@@ -7,7 +7,7 @@ one task to be numbered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import admitted, normalise
@@ -20,21 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one source are the pages of one document."""
     rows = table(spark, sf_dir, "documents")
-    return rows.select(F.col("source").alias("document"), (F.col("doc_id") + 1).cast("int").alias("page"), "text")
+    return rows.select(F.col("source").alias("document"), (F.col("doc_id") + 1).cast("long").alias("page"), "text")
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of one host; text is the html without its tags."""
     rows = table(spark, sf_dir, "pages")
     return rows.select(
-        F.regexp_extract("url", "://([^/?#]*)", 1).alias("document"), (F.col("page_id") + 1).cast("int").alias("page"),
+        F.regexp_extract("url", "://([^/?#]*)", 1).alias("document"), (F.col("page_id") + 1).cast("long").alias("page"),
         F.regexp_replace("html", "<[^>]*>", " ").alias("text"), "url", "html",
     )
 
 
 def conversation_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
-    return rows.select(F.col("conv_id").cast("string").alias("document"), (F.col("turn") + 1).cast("int").alias("page"), "role", "text")
+    return rows.select(F.col("conv_id").cast("string").alias("document"), (F.col("turn") + 1).cast("long").alias("page"), "role", "text")
 
 
 def clean(pages: DataFrame) -> DataFrame:
@@ -88,7 +88,7 @@ _FRAGMENTS = [
 
 #: One row per customer, in SQL that Spark and DuckDB read alike.
 FILINGS_SQL = (
-    f"SELECT concat('filing', CAST(c_nationkey AS STRING)) AS document, CAST({_K} AS INT) AS page, "
+    f"SELECT concat('filing', CAST(c_nationkey AS STRING)) AS document, CAST({_K} AS BIGINT) AS page, "
     f"CASE WHEN {_K} % 37 = 0 THEN ' tiny ' ELSE concat({', '.join(_FRAGMENTS)}) END AS text FROM customer"
 )
 
@@ -99,8 +99,13 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, customer=table(spark, sf_dir, "customer"))
 
 
-#: Words on a sheet of the layout view, and the room for sheets in a page number.
-SHEET_WORDS, SHEETS = 200, 1_000_000
+#: Words on a sheet of the layout view.
+SHEET_WORDS = 200
+
+
+def sheet_name(sheet: Column) -> Column:
+    """A sheet's page: the document's id and the sheet's number, whatever the id's size."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), sheet.cast("string"))
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +114,7 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout windows are bounded by a sheet however long a document is."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "text")).where(F.length("text") > 0)
     word = (F.col("i") % SHEET_WORDS).cast("int")
-    w = rows.select((F.col("doc_id") * SHEETS + F.floor(F.col("i") / SHEET_WORDS)).alias("page"), word.alias("word_id"), "text")
+    w = rows.select(sheet_name(F.floor(F.col("i") / SHEET_WORDS)).alias("page"), word.alias("word_id"), "text")
     line, col = F.floor(F.col("word_id") / 8).cast("int"), F.col("word_id") % 8
     x0 = (col * 60 + F.when(col >= 4, 80).otherwise(0)).cast("int")
     top = (line * 12 + F.col("word_id") % 3).cast("int")
@@ -123,4 +128,4 @@ def sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``page`` of every sheet of :func:`words`, from the documents' word counts."""
     last = F.floor((F.size(F.split("text", " ")) - 1) / SHEET_WORDS)
     sheet = F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("sheet")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", sheet).select((F.col("doc_id") * SHEETS + F.col("sheet")).alias("page"))
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", sheet).select(sheet_name(F.col("sheet")).alias("page"))
