@@ -17,15 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows``, dealt to all cores if they lie in fewer splits than there are cores.
+
+    Detectors cost far more than reading, so one small file must not be one task. A
+    table that has splits enough, as any large one has, is not shuffled."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def document_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of one source are the pages of one document."""
-    rows = table(spark, sf_dir, "documents")
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return rows.select(F.col("source").alias("document"), (F.col("doc_id") + 1).cast("long").alias("page"), "text")
 
 
 def web_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of one host; text is the html without its tags."""
-    rows = table(spark, sf_dir, "pages")
+    rows = spread(table(spark, sf_dir, "pages"))
     return rows.select(
         F.regexp_extract("url", "://([^/?#]*)", 1).alias("document"), (F.col("page_id") + 1).cast("long").alias("page"),
         F.regexp_replace("html", "<[^>]*>", " ").alias("text"), "url", "html",
@@ -96,7 +105,7 @@ FILINGS_SQL = (
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthetic filings: text with every kind of finding, from the customer table."""
     sql = FILINGS_SQL.replace("\n", "\\n").replace("\t", "\\t").replace(" FROM customer", " FROM {customer}")
-    return spark.sql(sql, customer=table(spark, sf_dir, "customer"))
+    return spark.sql(sql, customer=spread(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")))
 
 
 #: Words on a sheet of the layout view.
