@@ -80,14 +80,22 @@ def company(v: Column) -> Column:
     return F.when(suffix == "", base).otherwise(F.concat_ws(" ", base, suffix))
 
 
+#: Generation suffixes and the like, which stay as they are.
+GENERATION = r"(?i),?\s+((?:jr|sr|ii|iii|iv|v|esq)\.?)$"
+
+
 def person(v: Column) -> Column:
-    """Initial forms share the family name's alias with the full form; all capitals stay."""
-    words = F.split(F.regexp_replace(v, r"\.", ""), " ")
+    """Initial forms share the family name's alias with the full form; a generation suffix
+    and all capitals stay."""
+    suffix = F.regexp_extract(v, GENERATION, 1)
+    bare = F.regexp_replace(v, GENERATION, "")
+    words = F.split(F.regexp_replace(bare, r"\.", ""), " ")
     first, last = F.element_at(words, 1), F.element_at(words, -1)
     key = F.lower(F.concat(F.substring(first, 1, 1), F.lit("|"), last))
     given, family = pick(GIVEN, key, "g"), pick(FAMILY, key, "f")
     shown = F.when(F.length(first) == 1, F.concat(F.substring(given, 1, 1), F.lit(". "), family)).otherwise(F.concat_ws(" ", given, family))
-    return F.when((v == F.upper(v)) & (v != F.lower(v)), F.upper(shown)).otherwise(shown)
+    cased = F.when((bare == F.upper(bare)) & (bare != F.lower(bare)), F.upper(shown)).otherwise(shown)
+    return F.when(suffix == "", cased).otherwise(F.concat_ws(" ", cased, suffix))
 
 
 def place(v: Column) -> Column:

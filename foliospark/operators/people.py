@@ -46,6 +46,28 @@ def clean_name(v: Column) -> Column:
     return F.trim(v)
 
 
+PHRASES_NOT = [*t.DOCUMENT_TITLES, *t.STRUCTURE_PHRASES, *t.ACTIVITY_PHRASES, *t.COMPENSATION_PHRASES, *t.COMPANY_REFERENCES]
+#: The last word of a reference: a number, a Roman number, a number with a letter.
+REFERENCE_LAST = r"^(?:[0-9][0-9.]*|[IVX]+|[0-9]+[A-Za-z]|[0-9]+\([a-z]\))$"
+
+
+def no_phrase(v: Column) -> Column:
+    """Neither a phrase of documents, activities, pay or companies, nor a reference to a
+    part of a document, nor the beginning of a sentence."""
+    lowered = F.lower(v)
+    words = F.transform(F.split(lowered, " "), lambda w: F.regexp_replace(w, "[.,;:]+$", ""))
+    first, second, last = F.get(words, 0), F.get(words, 1), F.element_at(words, -1)
+    suffixed = F.regexp_like(second, F.lit("(?:" + "|".join(t.NOUN_SUFFIXES) + ")$")) & ~second.isin(t.SUFFIX_SURNAMES)
+    reference = F.regexp_like(F.regexp_replace(F.substring_index(v, " ", -1), "[.,;:]+$", ""), F.lit(REFERENCE_LAST)) | first.isin(t.REFERENCE_FIRST_WORDS)
+    pair = F.size(words) == 2
+    return (
+        ~lowered.isin(PHRASES_NOT) & ~((F.size(words) >= 2) & reference) & ~F.regexp_like(v, F.lit(r"\b[0-9]+\.[0-9]+\b|[®™]"))
+        & ~F.regexp_like(lowered, F.lit("(?:" + "|".join(t.TRUNCATED_ENDINGS) + ")$")) & ~tx.has_any(lowered, t.WAIVERS)
+        & ~first.isin(t.START_VERBS + t.BUSINESS_ADJECTIVES) & ~(pair & suffixed) & ~(pair & first.isin(t.ABSTRACT_NOUNS) & second.isin(t.ABSTRACT_NOUNS))
+        & ~last.isin(t.LAST_WORDS_NOT)
+    )
+
+
 def plausible(v: Column) -> Column:
     """Shape and word filters, cheap ones first."""
     words = F.split(v, " ")
@@ -61,6 +83,7 @@ def plausible(v: Column) -> Column:
         & ~lowered.isin(t.PERSON_NOT + t.JOB_TITLES) & ~F.exists(F.split(lowered, " "), lambda w: w.isin(t.POSSESSIVES)) & ~F.exists(F.split(lowered, " "), lambda w: w.isin(t.NAME_WORDS_NOT))
         & (~F.endswith(first, F.lit("ing")) | first.isin(t.ING_NAMES)) & ~keyword
         & ~F.regexp_like(v, F.lit(r"\b(?:Holdings|Street|Avenue|Road|Drive|Number|Commission|Exact|Inc|LLP|Shares)\b"))
+        & no_phrase(v)
     )
 
 

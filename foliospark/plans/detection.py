@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from ..operators import detect, people
+from ..operators import companies, detect, people
 from ..operators import operations as ops
 from ..operators import terms as t
 from ..operators.detect import findings
@@ -274,7 +274,6 @@ _person("person_pairs", people.PAIR, _typed("person_name", f"({PAIR_SQL(DOCS)})"
 _person("person_from_email", people.FROM_EMAIL, _typed("person_name", f"({MAIL_SQL})"))
 
 _person("person_last_first", people.LAST_FIRST, _typed("person_name", f"({COMMA_SQL})"))
-_person("person_strict", people.STRICT, _typed("person_name", f"({STRICT_SQL})"))
 
 
 @query(EXEC_SQL)
@@ -308,18 +307,91 @@ PLAUSIBLE = f"""
     AND (NOT ends_with(lower(w[1]), 'ing') OR lower(w[1]) IN {words_in(t.ING_NAMES)})
     AND NOT ({" OR ".join(f"(lower(w[1]) = {q(k)} AND lower(w[2]) IN {words_in(a)})" for k, a in t.KEYWORD_NAMES.items())})
     AND NOT regexp_matches(value, '\\b(?:Holdings|Street|Avenue|Road|Drive|Number|Commission|Exact|Inc|LLP|Shares)\\b')"""
+_TAIL = "regexp_replace({}, '[.,;:]+$', '')"
+_W = "list_transform(string_split(lower(value), ' '), lambda x: regexp_replace(x, '[.,;:]+$', ''))"
+NO_PHRASE = f"""
+    lower(value) NOT IN {words_in(people.PHRASES_NOT)} AND NOT (len({_W}) >= 2 AND (regexp_matches({_TAIL.format("string_split(value, ' ')[-1]")}, {q(people.REFERENCE_LAST)}) OR {_W}[1] IN {words_in(t.REFERENCE_FIRST_WORDS)}))
+    AND NOT regexp_matches(value, '\\b[0-9]+\\.[0-9]+\\b') AND NOT contains(value, '®') AND NOT contains(value, '™')
+    AND NOT ({" OR ".join(f"ends_with(lower(value), {q(e)})" for e in t.TRUNCATED_ENDINGS)}) AND NOT {has_any('lower(value)', t.WAIVERS)}
+    AND {_W}[1] NOT IN {words_in(t.START_VERBS + t.BUSINESS_ADJECTIVES)}
+    AND NOT (len({_W}) = 2 AND ({" OR ".join(f"ends_with({_W}[2], {q(e)})" for e in t.NOUN_SUFFIXES)}) AND {_W}[2] NOT IN {words_in(t.SUFFIX_SURNAMES)})
+    AND NOT (len({_W}) = 2 AND {_W}[1] IN {words_in(t.ABSTRACT_NOUNS)} AND {_W}[2] IN {words_in(t.ABSTRACT_NOUNS)})
+    AND {_W}[-1] NOT IN {words_in(t.LAST_WORDS_NOT)}"""
 
 
 @query(f"""
     WITH a AS ({ROLE_SQL} UNION {SIGNED_SQL} UNION {ROW_SQL} UNION {PAIR_SQL(FILINGS)} UNION {COMMA_SQL} UNION {MAIL_SQL} UNION {STRICT_SQL}),
     c AS (SELECT document, page, value FROM a EXCEPT ({EXEC_SQL})),
     n AS (SELECT DISTINCT document, page, trim({CLEAN_NAME}) AS value FROM c), s AS (SELECT *, string_split(value, ' ') AS w FROM n)
-    SELECT document, page, value FROM s WHERE {PLAUSIBLE}
+    SELECT document, page, value FROM s WHERE {PLAUSIBLE} AND {NO_PHRASE}
 """)
 def person_filters(spark: SparkSession, d: str) -> DataFrame:
     return people.person_names(v.filings(spark, d))
 
 
+#: Names that meet each list of the phrase and company filters, one a customer.
+PHRASE_NAMES = "Adam Walker|Offer Letter|Grant Date Fair|Financing Activities|Director Compensation|Fifth Third|Rule Walker|Walker II|Walker 8.1|Leadership Structur|Compris Ed|Adding Cardtronics|Global Presence|Growth Rate|Helen Sterling|Helen Development|Diana King|Carlos Ray™|George Officer|Brenda Plan"
+COMPANY_NAMES = "Harbor Energy Inc.|Company|Group Company|Company Inc.|Company Bank|Corporate Foods Ltd|Consolidated Worldpay Group|Group, Inc|Summit Joined Media|Best Company Index|Committee Going|Committee Media Inc|The Harbor Group|Table of Contents Inc|Liberty Motors Officer|One Two Three Four Five Six Seven|Digital Systems Corp|Harbor, LLC"
+
+
+def _named(names: str) -> str:
+    quoted = names.replace("'", "''")
+    return f"SELECT concat('c', CAST(c_custkey AS STRING)) AS document, c_custkey AS page, split_part('{quoted}', '|', CAST(c_custkey % {names.count('|') + 1} AS INT) + 1) AS value FROM customer"
+
+
+def _candidates(spark: SparkSession, d: str, names: str) -> DataFrame:
+    return spark.sql(_named(names).replace("FROM customer", "FROM {customer}"), customer=v.table(spark, d, "customer"))
+
+
+#: Short pages on which a label stands by a name, and some on which words speak against it.
+LABELLED = "Contact: Adam M. Walker|Name: Brenda Turner|Agent: Edward J Hughes, Kent|Contact: Adam Walker, Main Street|Diana Foster at table of contents|Employee: Helen Bennett x 7"
+LABELLED_SQL = _named(LABELLED).replace(" AS value", " AS text")
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, LABELLED).withColumnRenamed("value", "text")
+
+
+_person("person_strict", people.STRICT, _typed("person_name", f"({STRICT_SQL})").replace(FILINGS, LABELLED_SQL.replace(" AS STRING)", " AS VARCHAR)")), _labelled)
+
+
+@query(f"SELECT document, page, value FROM ({_named(PHRASE_NAMES).replace(' AS STRING)', ' AS VARCHAR)')}) WHERE {NO_PHRASE}")
+def person_phrases(spark: SparkSession, d: str) -> DataFrame:
+    return _candidates(spark, d, PHRASE_NAMES).where(people.no_phrase(F.col("value")))
+
+
+_C = "list_transform(regexp_split_to_array(lower(trim(value)), '[ \t\n\x0B\f\r]+'), lambda x: regexp_replace(x, '[.,;:]+$', ''))"
+FINAL_COMPANY = f"""
+    lower(trim(value)) NOT IN {words_in(t.COMPANY_ALONE + t.COMPANY_PAIRS + t.COMPANY_PHRASES)}
+    AND NOT ({_C}[1] IN {words_in(w for w in t.COMPANY_ALONE if w != 'companies')} AND (len({_C}) = 1 OR (len({_C}) = 2 AND {_C}[2] NOT IN {words_in(t.COMPANY_SECOND)})))
+    AND NOT ({_C}[1] IN {words_in(t.COMPANY_STARTS)} AND len({_C}) <= 5 AND len(list_intersect({_C}[2:], {t.COMPANY_KEPT!r})) = 0)
+    AND len(list_filter({_C}, lambda x: x NOT IN {words_in(t.COMPANY_FORMS)} AND x NOT IN {words_in(t.COMPANY_GENERIC)})) > 0
+    AND len(list_intersect({_C}, {t.COMPANY_VERBS!r})) = 0"""
+RECOGNISED_COMPANY = f"""
+    NOT {has_any('lower(trim(value))', t.RECOGNISED_SECTIONS)} AND NOT (starts_with(lower(trim(value)), 'committee') AND NOT {has_any('lower(trim(value))', [' inc', ' llc', ' corp'])})
+    AND NOT ({_C}[1] IN {words_in(t.RECOGNISED_GENERIC)} AND len({_C}) <= 2) AND len({_C}) <= 6 AND len(list_intersect({_C}, {t.RECOGNISED_VERBS!r})) = 0
+    AND {_C}[1] NOT IN {words_in(t.RECOGNISED_STARTS)} AND {FINAL_COMPANY}"""
+
+
+@query(f"SELECT document, page, value, {FINAL_COMPANY} AS final, {RECOGNISED_COMPANY} AS recognised FROM ({_named(COMPANY_NAMES).replace(' AS STRING)', ' AS VARCHAR)')})")
+def company_words(spark: SparkSession, d: str) -> DataFrame:
+    c = F.col("value")
+    return _candidates(spark, d, COMPANY_NAMES).select("document", "page", "value", companies.final_name(c).alias("final"), companies.recognised_name(c).alias("recognised"))
+
+
+_AT = "CAST(instr(text, value) AS BIGINT)"
+_AROUND = f"lower(substr(text, greatest(1, {_AT} - 200), least({_AT} - 1, 200) + length(value) + 200))"
+
+
+def _texts(pages: str) -> str:
+    return f"(SELECT document, page, text FROM {clean(pages)})"
+
+
+@query(f"SELECT r.document, r.page, r.type, r.value FROM ({REGISTRANT_SQL}) r JOIN {_texts(FILINGS)} x ON x.document = r.document AND x.page = r.page WHERE {FINAL_COMPANY} AND (NOT {has_any(_AROUND, t.COMPANY_CONTEXT_NOT)} OR {has_any(_AROUND, t.COMPANY_CONTEXT_NAMES)})")
+def company_filters(spark: SparkSession, d: str) -> DataFrame:
+    return companies.company_names(v.filings(spark, d))
+
+
 #: Every page relation, for the SQL of ``all_findings``.
 EVERY = f"SELECT document, page, text FROM ({DOCS}) UNION ALL SELECT document, page, text FROM ({FILINGS}) UNION ALL SELECT document, page, text FROM ({WEB})"
 EVERY_TYPE = ["phone_findings_us", "phone_findings_intl_context", "phone_ext", "address_inverse_fallback", "ssn_findings", "commission_findings", "ein_context", "ticker", "cik_with_fallback", "cusip_context",

@@ -251,16 +251,18 @@ def alias_website(spark: SparkSession, d: str) -> DataFrame:
     return _distinct(pages.select(F.explode(F.regexp_extract_all("text", F.lit(t.SEC_URL), F.lit(1))).alias("value")), alias.website)
 
 
-_WORDS = "string_split(regexp_replace(value, '\\.', '', 'g'), ' ')"
+_GEN = "(?i),?\\s+((?:jr|sr|ii|iii|iv|v|esq)\\.?)$"
+_BARE = f"regexp_replace(value, {q(_GEN)}, '')"
+_WORDS = f"string_split(regexp_replace({_BARE}, '\\.', '', 'g'), ' ')"
 _KEY = f"lower(substr({_WORDS}[1], 1, 1) || '|' || {_WORDS}[-1])"
 _SHOWN = f"CASE WHEN length({_WORDS}[1]) = 1 THEN substr({_pick(alias.GIVEN, _KEY, 'g')}, 1, 1) || '. ' ELSE {_pick(alias.GIVEN, _KEY, 'g')} || ' ' END || {_pick(alias.FAMILY, _KEY, 'f')}"
 PEOPLE = (
     "SELECT DISTINCT CASE c_custkey % 3 WHEN 0 THEN concat(substr(split_part('Adam|Brenda|Carlos', '|', CAST(c_custkey % 3 AS INT) + 1), 1, 1), '. ') ELSE concat(split_part('Adam|Brenda|Carlos', '|', CAST(c_custkey % 3 AS INT) + 1), ' ') END "
-    "|| CASE WHEN c_custkey % 4 = 0 THEN 'WALKER' ELSE split_part('Walker|Turner|Bennett', '|', CAST(c_custkey % 11 % 3 AS INT) + 1) END AS value FROM customer"
+    "|| CASE WHEN c_custkey % 4 = 0 THEN 'WALKER' ELSE split_part('Walker|Turner|Bennett', '|', CAST(c_custkey % 11 % 3 AS INT) + 1) END || CASE WHEN c_custkey % 5 = 0 THEN ' Jr.' WHEN c_custkey % 7 = 0 THEN ' III' ELSE '' END AS value FROM customer"
 )
 
 
-@query(f"SELECT value, CASE WHEN value = upper(value) AND value <> lower(value) THEN upper({_SHOWN}) ELSE {_SHOWN} END AS alias FROM ({PEOPLE})")
+@query(f"SELECT value, CASE WHEN {_BARE} = upper({_BARE}) AND {_BARE} <> lower({_BARE}) THEN upper({_SHOWN}) ELSE {_SHOWN} END || CASE WHEN regexp_extract(value, {q(_GEN)}, 1) = '' THEN '' ELSE ' ' || regexp_extract(value, {q(_GEN)}, 1) END AS alias FROM ({PEOPLE})")
 def alias_person(spark: SparkSession, d: str) -> DataFrame:
     return _distinct(spark.sql(PEOPLE.replace("FROM customer", "FROM {customer}"), customer=v.table(spark, d, "customer")), alias.person)
 
