@@ -42,7 +42,7 @@ from .shingles import shingle_sets
 
 PERCENT = 75
 #: A chunk ends at this many sets or shingles, a bucket is meant for so many shingles.
-CHUNK_SETS, CHUNK_SHINGLES, BUCKET_SHINGLES, LEAST_BUCKETS = 4_000, 1_000_000, 2_000_000, 8
+CHUNK_SETS, CHUNK_SHINGLES, BUCKET_SHINGLES, LEAST_BUCKETS = 4_000, 500_000, 2_000_000, 8
 #: A cluster beyond either is large; a unit of one is meant for so many sets and shingles.
 BLOCK_SETS, BLOCK_SHINGLES = 256, 200_000
 #: Sets in a bin of small clusters (a bin is read as a whole, compared in blocks).
