@@ -28,7 +28,9 @@ from .tokens import PATTERN
 FIRST_CODE_POINT = 0x4E00
 #: Bytes of pre-tokens, each with about so much besides its text, that a worker remembers
 #: before it starts afresh; longer pre-tokens than so many characters it never does.
-REMEMBERED_BYTES, ENTRY_BYTES, LONGEST = 64 << 20, 300, 64
+REMEMBERED_BYTES, ENTRY_BYTES, LONGEST = 128 << 20, 300, 64
+#: Characters of texts that are split and learnt together.
+TOGETHER = 1_000_000
 
 
 def _varint(n: int) -> bytes:
@@ -86,7 +88,6 @@ class ByteBpe:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise_model(ranks))
         self.split = regex.compile(pattern).findall
         self.vocabulary = [p.translate(_TO_BYTES).encode("latin-1") for p in map(self.model.id_to_piece, range(len(ranks)))]
-        self.ids: dict[str, list[int]] = {}
         self.shown: dict[str, str] = {}
         self.bytes: dict[str, bytes] = {}
         self.held = 0
@@ -94,40 +95,50 @@ class ByteBpe:
     def _encoded(self, words: list[str]) -> Iterator[tuple[str, list[int]]]:
         return zip(words, self.model.encode([w.encode().decode("latin-1").translate(_TO_POINTS) for w in words], num_threads=1))
 
-    def _learn(self, words: list[str]) -> dict[str, list[int]]:
+    def _learn(self, words: set[str]) -> dict[str, list[int]]:
         """Remember the words that are not long; returns the ids of those that are."""
         if self.held > REMEMBERED_BYTES:
-            for held in (self.ids, self.shown, self.bytes):
-                held.clear()
+            self.shown.clear()
+            self.bytes.clear()
             self.held = 0
-        new = [w for w in set(words) if w not in self.ids]
-        for w, ids in self._encoded([w for w in new if len(w) <= LONGEST]):
-            self.ids[w] = ids
-            self.shown[w] = ",".join(map(str, ids))
-            self.bytes[w] = self.decode(ids)
-            self.held += ENTRY_BYTES + 20 * len(w)
+        new = words.difference(self.shown)
+        short = [w for w in new if len(w) <= LONGEST]
+        vocabulary, shown, raw = self.vocabulary, self.shown, self.bytes
+        for w, ids in self._encoded(short):
+            shown[w] = ",".join(map(str, ids))
+            raw[w] = b"".join([vocabulary[i] for i in ids])
+        self.held += ENTRY_BYTES * len(short) + 20 * sum(map(len, short))
         return dict(self._encoded([w for w in new if len(w) > LONGEST]))
 
     def encode(self, text: str) -> list[int]:
-        words = self.split(text)
-        extra = self._learn(words)
-        return [i for w in words for i in (self.ids[w] if w in self.ids else extra[w])]
+        shown = self.round_trip(text)[0]
+        return list(map(int, shown.split(","))) if shown else []
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.vocabulary.__getitem__, ids))
 
     def round_trip(self, text: str) -> tuple[str, bytes]:
         """The decimal ids joined by commas, and the bytes that they decode to."""
-        words = self.split(text)
-        try:
-            return ",".join(map(self.shown.__getitem__, words)), b"".join(map(self.bytes.__getitem__, words))
-        except KeyError:
-            extra = self._learn(words)
-        if not extra:
-            return ",".join(map(self.shown.__getitem__, words)), b"".join(map(self.bytes.__getitem__, words))
-        shown = {w: ",".join(map(str, ids)) for w, ids in extra.items()}
-        raw = {w: self.decode(ids) for w, ids in extra.items()}
-        return ",".join(shown[w] if w in shown else self.shown[w] for w in words), b"".join(raw[w] if w in raw else self.bytes[w] for w in words)
+        return next(self.round_trips([text]))
+
+    def round_trips(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The same for each text. Texts up to ``TOGETHER`` characters are learnt together:
+        nearly every text has some new word, and one call for many costs less."""
+        at = 0
+        while at < len(texts):
+            end, size = at, 0
+            while end < len(texts) and (end == at or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            split = [self.split(t) for t in texts[at:end]]
+            extra = self._learn(set().union(*split))
+            shown, raw = self.shown, self.bytes
+            if extra:
+                shown = shown | {w: ",".join(map(str, ids)) for w, ids in extra.items()}
+                raw = raw | {w: self.decode(ids) for w, ids in extra.items()}
+            for words in split:
+                yield ",".join(map(shown.__getitem__, words)), b"".join(map(raw.__getitem__, words))
+            at = end
 
 
 @lru_cache(maxsize=2)
@@ -148,8 +159,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str = PATTERN, id_c
         bpe = coder(ranks_path, pattern)
         for batch in batches:
             counts, ids_digests, decoded_digests = [], [], []
-            for text in common.texts(batch[1]):
-                shown, decoded = bpe.round_trip(text)
+            for shown, decoded in bpe.round_trips(common.texts(batch[1])):
                 counts.append(shown.count(",") + 1 if shown else 0)
                 ids_digests.append(hashlib.sha256(shown.encode()).hexdigest())
                 decoded_digests.append(hashlib.sha256(decoded).hexdigest())

@@ -74,7 +74,14 @@ def test_memory_is_bounded(monkeypatch):
     for k in range(20):
         text = " ".join(f"w{k}x{i}" for i in range(9))
         assert coder.round_trip(text)[1] == text.encode()
-    assert len(coder.ids) < 100
+    assert len(coder.shown) < 100
+
+
+def test_texts_learnt_together_equal_single_ones(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "TOGETHER", 60)
+    coder, texts = bpe.coder(RANKS), ["", "one two", "x" * 100, "", "three " * 30, "\u00e9 4", "y" * 70]
+    assert [s for s, _ in coder.round_trips(texts)] == [",".join(map(str, reference.encode_ordinary(t))) for t in texts]
+    assert [raw for _, raw in coder.round_trips(texts)] == [t.encode() for t in texts] and list(coder.round_trips([])) == []
 
 
 def test_long_words_are_not_remembered(reference):
@@ -84,7 +91,7 @@ def test_long_words_are_not_remembered(reference):
         shown, raw = coder.round_trip(text)
         assert raw == text.encode() and shown == ",".join(map(str, reference.encode_ordinary(text)))
         assert coder.encode(text) == reference.encode_ordinary(text)
-    assert max(map(len, coder.ids)) <= bpe.LONGEST and sum(map(len, coder.shown.values())) < 1000
+    assert max(map(len, coder.shown)) <= bpe.LONGEST and sum(map(len, coder.shown.values())) < 1000
 
 
 def test_op1(spark, reference):
