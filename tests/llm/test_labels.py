@@ -488,3 +488,76 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == brute_pipeline(rows)
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "exact_dedup", "near_dedup", "pii", "packing"]
+
+
+def pipeline_rows():
+    """Rows with null and repeated ids, and what the filtering stages leave of them."""
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice(SAMPLES["en"].split()) + str(rng.randrange(10)) for _ in range(n))
+    a, b, c, d, e = (text(60) for _ in range(5))
+    rows = [
+        (1, a), (None, a + " garden"), (None, b), (2, c), (2, c.upper()), (2, d), (2, d + " house"), (None, e), (None, e), (7, e + " there"),
+        (3, None), (4, ""), (5, "!!! 12"), (6, "write to jo@x.com in the house and the garden"), (6, "the house and the garden with those that were there"),
+    ]
+    # The near copies keep the smallest id, null last; of d and its copy the smaller hash stays.
+    left = [[(1, a)], [(None, b)], [(2, c), (2, c.upper())], [(2, d), (2, d + " house")], [(7, e + " there")], [rows[13]], [rows[14]]]
+    return rows, left
+
+
+@pytest.mark.parametrize("limit", [1000, 0])
+def test_pipeline_stages_keep_rows_apart(spark, tmp_path, monkeypatch, limit):
+    """Every stage on awkward rows with clashing columns, by row content."""
+    import corpus_pipeline
+    from foliospark.llm import common
+
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    rows, left = pipeline_rows()
+    filler = [(1000 + i, " ".join(f"{w}{i}" for w in SAMPLES["en"].split() * 3)) for i in range(25)]
+    docs = documents(spark, rows + filler)
+    ws = common.Workspace(spark, "t")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = ws.stage(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == columns, name
+        assert all(r.kept and r.spans == "x" and r.host == "h" and r.key == "k" for r in docs.collect()), name
+        if name == "near_dedup":
+            got = [(r.doc_id, r.text) for r in docs.where("doc_id IS NULL OR doc_id < 1000").collect()]
+            assert len(got) == len(left) and all(sum(g in group for g in got) == 1 for group in left)
+    texts = {r.text for r in docs.collect()}
+    assert "write to <email> in the house and the garden" in texts and not any("jo@x.com" in t for t in texts)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(packed) == len(left) + 25 and len({(r.sequence_id, r.offset) for r in packed}) == len(packed)
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    nothing(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_pipeline_ids_and_places(spark, tmp_path):
+    """Token ids of the redacted texts, by the tokenizers library, and gapless places."""
+    import zlib
+
+    import corpus_pipeline
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from foliospark.llm.queries import BYTE_BPE
+
+    library = Tokenizer.from_file(BYTE_BPE)
+    rows = [(i, f"document {i} of the house and the garden number{i} with those{i * 7} that were there a{i}@x.org") for i in range(40)]
+    documents(spark, rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in rows:
+        ids = library.encode(t.replace(f"a{i}@x.org", "<email>"), add_special_tokens=False).ids + [0]
+        want.append((i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+    assert sorted((r.doc_id, r.length, r.ids_crc32) for r in out) == want
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for pieces in by_sequence.values():
+        ends = [o + n for o, n in sorted(pieces)]
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 2048
