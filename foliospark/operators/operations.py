@@ -99,3 +99,9 @@ def log_stats(lines: DataFrame) -> DataFrame:
 def merge_counters(old: DataFrame, delta: DataFrame) -> DataFrame:
     """Running totals: old counts and new ones, summed by key."""
     return old.unionByName(delta).groupBy("account", "month").agg(F.sum("used").alias("used"))
+
+
+def page_range(pages: DataFrame, first: int | None = None, end: int | None = None) -> DataFrame:
+    """Pages from ``first`` on and before ``end``; a bound that is not given does not bind."""
+    rows = pages if first is None else pages.where(F.col("page") >= first)
+    return rows if end is None else rows.where(F.col("page") < end)

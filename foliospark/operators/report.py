@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import terms as t
+from .alias import alias
 
 
 def page_list(pages: Column) -> Column:
@@ -33,6 +34,13 @@ def document_report(findings: DataFrame) -> DataFrame:
     return info_table(findings).select("document", "type", label(F.col("type")).alias("label"), "value", page_list(F.col("pages")).alias("pages"))
 
 
+def aliased_report(findings: DataFrame) -> DataFrame:
+    """The document report with the alias of each value, in the order of documents, labels
+    and values (a range sort, so no task holds a whole report)."""
+    rows = document_report(findings).withColumn("alias", alias(F.col("type"), F.col("value")))
+    return rows.orderBy("document", "label", "value", "type")
+
+
 def first_keyword(value: Column, keywords: list[str]) -> Column:
     """The first keyword, in list order, that the value contains; null if none."""
     if not keywords:

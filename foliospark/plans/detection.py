@@ -329,6 +329,11 @@ def person_filters(spark: SparkSession, d: str) -> DataFrame:
     return people.person_names(v.filings(spark, d))
 
 
+@query(f"SELECT document, page, length(text) AS n FROM ({DOCS}) WHERE page >= 3 AND page < 700")
+def page_range(spark: SparkSession, d: str) -> DataFrame:
+    return ops.page_range(v.document_pages(spark, d), 3, 700).select("document", "page", F.length("text").alias("n"))
+
+
 #: Names that meet each list of the phrase and company filters, one a customer.
 PHRASE_NAMES = "Adam Walker|Offer Letter|Grant Date Fair|Financing Activities|Director Compensation|Fifth Third|Rule Walker|Walker II|Walker 8.1|Leadership Structur|Compris Ed|Adding Cardtronics|Global Presence|Growth Rate|Helen Sterling|Helen Development|Diana King|Carlos Ray™|George Officer|Brenda Plan"
 COMPANY_NAMES = "Harbor Energy Inc.|Company|Group Company|Company Inc.|Company Bank|Corporate Foods Ltd|Consolidated Worldpay Group|Group, Inc|Summit Joined Media|Best Company Index|Committee Going|Committee Media Inc|The Harbor Group|Table of Contents Inc|Liberty Motors Officer|One Two Three Four Five Six Seven|Digital Systems Corp|Harbor, LLC"

@@ -275,3 +275,8 @@ def alias_table(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT document, page, type, value, {ALIAS} AS alias FROM {BASE}")
 def pseudonymised_report(spark: SparkSession, d: str) -> DataFrame:
     return alias.pseudonymise(base(spark, d))
+
+
+@query(f"SELECT document, type, {LABEL} AS label, value, {PAGES('pages')} AS pages, {ALIAS} AS alias FROM {INFO} ORDER BY document, label, value, type")
+def aliased_report(spark: SparkSession, d: str) -> DataFrame:
+    return report.aliased_report(base(spark, d))

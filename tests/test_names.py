@@ -56,3 +56,20 @@ def test_generation_suffixes(spark):
     given, family = got["John Smith"].split(" ")
     assert got["J. Smith"] == f"{given[0]}. {family}" and got["John Smith Jr"] == f"{given} {family} Jr" and got["John Smith Jr."] == f"{given} {family} Jr."
     assert got["JOHN SMITH III"] == f"{given} {family} III".upper() and got["Smith John"] != got["John Smith"]
+
+
+def test_aliased_report_is_in_order(spark):
+    from foliospark.operators import report
+
+    rows = [("b", 2, "ssn", "123-45-6789"), ("a", 1, "ssn", "123-45-6789"), ("a", 3, "email", "x@y.org"), ("a", 2, "email", "x@y.org"), ("a", 1, "email", "a@y.org")]
+    got = report.aliased_report(spark.createDataFrame(rows, "document string, page long, type string, value string")).collect()
+    assert [(r.document, r.label, r.value, r.pages) for r in got] == [("a", "Email", "a@y.org", "p.1"), ("a", "Email", "x@y.org", "p.2, p.3"), ("a", "SSN", "123-45-6789", "p.1"), ("b", "SSN", "123-45-6789", "p.2")]
+    assert got[2].alias == got[3].alias != got[0].alias and all(r.alias != r.value for r in got)
+
+
+def test_page_range(spark):
+    from foliospark.operators import operations as ops
+
+    pages = spark.range(1, 10).withColumnRenamed("id", "page")
+    pick = lambda *a: sorted(r.page for r in ops.page_range(pages, *a).collect())
+    assert pick() == list(range(1, 10)) and pick(3) == list(range(3, 10)) and pick(None, 3) == [1, 2] and pick(4, 6) == [4, 5] and pick(6, 4) == []
