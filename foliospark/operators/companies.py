@@ -55,3 +55,45 @@ COMPANIES = _Companies("company_name", ())
 
 def company_names(pages: DataFrame) -> DataFrame:
     return findings(pages, [COMPANIES])
+
+
+class _Standalone(Detector):
+    """Names by their form alone, where no suspect word stands within 100 characters on
+    either side. Searched on demand: the form alone says little."""
+
+    def values(self, text: Column) -> Column:
+        def ok(x: Column) -> Column:
+            before = F.substring(text, F.greatest(F.lit(1), x["s"] + 1 - 100), F.least(x["s"], F.lit(100)))
+            after = F.substring(text, x["s"] + F.length(x["m"]) + 1, F.lit(100))
+            first = F.regexp_replace(F.lower(F.substring_index(self._name(x), " ", 1)), "[.,;:]+$", "")
+            return ~tx.has_any(F.lower(F.concat(before, F.lit(" "), after)), t.COMPANY_STANDALONE_NOT) & ~first.isin(t.COMPANY_FIRST_NOT) & F.length(self._name(x)).between(5, 80)
+
+        return F.array_distinct(F.transform(F.filter(tx.spans(text, t.COMPANY_STANDALONE, ()), ok), self._name))
+
+    @staticmethod
+    def _name(x: Column) -> Column:
+        return F.regexp_replace(F.trim(x["m"]), tx.SPACE, " ")
+
+
+STANDALONE = _Standalone("company_name", ())
+
+
+def second_pass(text: Column, organisations: Column, found: Column) -> Column:
+    """Of the ``organisations`` that a recogniser finds on a page, those to add to the names
+    ``found``: none that overlaps a found name either way, none that is generic, and without
+    a legal form only one that the text calls the registrant's or issuer's name."""
+
+    def ok(v: Column) -> Column:
+        lowered, shouted = F.lower(v), F.upper(v)
+        first = F.regexp_replace(F.substring_index(lowered, " ", 1), "[.,;:]+$", "")
+        at = F.instr(text, v)
+        around = lambda n: F.lower(tx.window(text, at - 1, F.length(v), n))
+        known = F.exists(found, lambda c: F.contains(F.lower(c), lowered) | F.contains(lowered, F.lower(c)))
+        named = F.regexp_like(v, F.lit(t.ORGANISATION_FORM)) | (at == 0) | tx.has_any(around(200), t.ORGANISATION_NAMED)
+        return (
+            F.length(v).between(5, 80) & ~known & ~lowered.isin(t.STRUCTURE_TERMS + t.BUSINESS_TERMS + t.ORGANISATION_GENERIC) & ~first.isin(t.COMPANY_FIRST_NOT)
+            & F.regexp_like(v, F.lit("^[A-Z]")) & ~tx.has_any(shouted, t.ORGANISATION_NOT) & ((at == 0) | ~tx.has_any(around(100), t.ORGANISATION_CONTEXT_NOT)) & named
+        )
+
+    once = F.array_distinct(F.transform(organisations, lambda o: F.trim(F.regexp_replace(o, tx.SPACE, " "))))
+    return F.filter(once, ok)

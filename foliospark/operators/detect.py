@@ -141,6 +141,13 @@ def _registrant_ok(v: Column) -> Column:
 
 REGISTRANT = Detector("company_name", tuple(t.REGISTRANT), (1,), lambda v: F.regexp_replace(F.trim(v), tx.SPACE, " "), _registrant_ok, distinct=True)
 DATES = Detector("important_date", (t.DATE_TEXT,), reach=80, near=tx.any_of(t.DATE_CONTEXT), fold=F.lower, distinct=True)
+US_DATES = Detector(
+    "important_date", (t.DATE_US,), (1, 2, 3), lambda m, d, y: F.concat_ws("/", m, d, y),
+    lambda v: F.substring_index(v, "/", 1).cast("int").between(1, 12) & F.substring_index(F.substring_index(v, "/", 2), "/", -1).cast("int").between(1, 31) & F.substring_index(v, "/", -1).cast("int").between(1900, 2100),
+    reach=80, near=tx.any_of(t.DATE_CONTEXT), fold=F.lower, distinct=True,
+)
+#: Quoted phrases; not among ``SIMPLE``, since few of them are titles.
+QUOTED_TITLE = Detector("quoted_title", (t.QUOTED_TITLE,), (1,), F.trim, lambda v: F.length(v).between(10, 50), gate=lambda c: F.regexp_like(c, F.lit('["“”]')))
 ISO_DATES = Detector(
     "important_date", (t.DATE_ISO,), (1, 2, 3), lambda y, m, d: F.concat_ws("-", y, m, d),
     lambda v: F.substring_index(v, "-", 1).cast("int").between(1900, 2100) & F.substring_index(F.substring_index(v, "-", 2), "-", -1).cast("int").between(1, 12) & F.substring_index(v, "-", -1).cast("int").between(1, 31),

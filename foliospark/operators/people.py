@@ -27,9 +27,33 @@ STRICT = Detector(
     "person_name", (t.PERSON_GENERAL,), (1, 2, 3), lambda a, m, b: F.concat_ws(" ", a, F.when(F.trim(m) != "", F.trim(m)), b),
     check=lambda v: F.length(v).between(5, 50), reach=200, near=tx.any_of(t.GENERAL_NEAR), veto=tx.any_of(t.GENERAL_VETO), fold=F.lower, distinct=True,
 )
+
+
+def _words(v: Column) -> Column:
+    return F.transform(F.split(F.lower(v), " "), lambda w: F.regexp_replace(w, "[.,;:]+$", ""))
+
+
+def executive(v: Column) -> Column:
+    """Whether a name that stands with a title or a signature looks like a person's."""
+    words = _words(v)
+    return (
+        F.length(v).between(5, 50) & F.size(words).between(2, 5) & ~F.upper(v).isin(t.EXECUTIVE_NOT)
+        & F.forall(F.split(v, " "), lambda w: F.length(w).between(2, 20)) & ~F.exists(words, lambda w: w.isin(t.EXECUTIVE_WORDS_NOT))
+        & (tx.upper_ratio(v) <= 0.4) & (F.size(F.array_distinct(words)) == F.size(words))
+    )
+
+
+def _titled(text: Column) -> Column:
+    return F.regexp_like(text, F.lit(r"(?i)\b(?:" + t.TITLES + r")\b"))
+
+
+#: Names before and after titles, signed names, labelled names. A list of officers needs no
+#: pattern of its own: each of its lines is a name before a title.
 EXECUTIVES = [
-    Detector("executive_name", (t.EXECUTIVE,), (1,), _spaced, lambda v: F.length(v).between(5, 50)),
-    Detector("executive_name", (t.EXECUTIVE_REVERSE,), (2,), _spaced, lambda v: F.length(v).between(5, 50)),
+    Detector("executive_name", (t.EXECUTIVE, t.EXECUTIVE_ROW, t.EXECUTIVE_PLAIN), (1,), _spaced, executive, gate=_titled),
+    Detector("executive_name", (t.EXECUTIVE_REVERSE,), (2,), _spaced, executive, gate=_titled),
+    Detector("executive_name", (t.PERSON_SLASH, t.EXECUTIVE_SIGNED), (1,), _spaced, executive, gate=lambda c: F.regexp_like(c, F.lit("(?i)/s|sign"))),
+    Detector("executive_name", tuple(t.EXECUTIVE_LABEL), (1,), _spaced, executive, reach=100, veto=tx.any_of(t.EXECUTIVE_LABEL_VETO), fold=F.lower),
 ]
 FROM_EMAIL = Detector(
     "person_name", (t.PERSON_EMAIL,), (1, 2),
@@ -101,6 +125,14 @@ class _Persons(Detector):
 PERSONS = _Persons("person_name", ())
 
 
+def validated_or_all(names: Column, recognised: Column) -> Column:
+    """The names that a recogniser's names contain or are contained in, whatever their
+    case; all of them if that leaves none."""
+    meets = lambda n: F.exists(recognised, lambda r: F.contains(F.lower(n), F.lower(r)) | F.contains(F.lower(r), F.lower(n)))
+    kept = F.filter(names, meets)
+    return F.when(F.size(kept) > 0, kept).otherwise(names)
+
+
 def executive_names(pages: DataFrame) -> DataFrame:
     """``document, page, value``: names that stand with a title."""
     return findings(pages, EXECUTIVES).select("document", "page", "value").distinct()

@@ -264,7 +264,16 @@ def PAIR_SQL(pages: str, pattern: str = t.PERSON_PAIR, value: str = "g0 || ' ' |
 
 COMMA_SQL = PAIR_SQL(FILINGS, t.PERSON_COMMA, "g1 || ' ' || g0")
 STRICT_SQL = f"SELECT DISTINCT document, page, value FROM (SELECT *, lower({window(200)}) AS around, g0 || ' ' || CASE WHEN trim(g1) = '' THEN '' ELSE trim(g1) || ' ' END || g2 AS value FROM {located(FILINGS, t.PERSON_GENERAL, (1, 2, 3))}) WHERE length(value) BETWEEN 5 AND 50 AND {has_any('around', t.GENERAL_NEAR)} AND NOT {has_any('around', t.GENERAL_VETO)}"
-EXEC_SQL = f"SELECT document, page, value FROM {matches(FILINGS, t.EXECUTIVE, 1, SPACED)} WHERE length(value) BETWEEN 5 AND 50 UNION SELECT document, page, value FROM {matches(FILINGS, t.EXECUTIVE_REVERSE, 2, SPACED)} WHERE length(value) BETWEEN 5 AND 50"
+_EXEC_FOUND = " UNION ".join(
+    [f"SELECT * FROM {matches(FILINGS, p, g, SPACED)}" for p, g in ((t.EXECUTIVE, 1), (t.EXECUTIVE_ROW, 1), (t.EXECUTIVE_PLAIN, 1), (t.EXECUTIVE_REVERSE, 2), (t.PERSON_SLASH, 1), (t.EXECUTIVE_SIGNED, 1))]
+    + [f"SELECT document, page, regexp_replace(trim(g0), '[ ]+', ' ', 'g') AS value FROM (SELECT *, lower({window(100)}) AS around FROM {located(FILINGS, p, (1,))}) WHERE NOT {has_any('around', t.EXECUTIVE_LABEL_VETO)}" for p in t.EXECUTIVE_LABEL]
+)
+_EXEC_WORDS = "list_transform(string_split(lower(value), ' '), lambda x: regexp_replace(x, '[.,;:]+$', ''))"
+EXEC_SQL = f"""
+    SELECT document, page, value FROM ({_EXEC_FOUND})
+    WHERE length(value) BETWEEN 5 AND 50 AND len(string_split(value, ' ')) BETWEEN 2 AND 5 AND upper(value) NOT IN {words_in(t.EXECUTIVE_NOT)}
+      AND len(list_filter(string_split(value, ' '), lambda x: length(x) NOT BETWEEN 2 AND 20)) = 0 AND len(list_filter({_EXEC_WORDS}, lambda x: x IN {words_in(t.EXECUTIVE_WORDS_NOT)})) = 0
+      AND length(regexp_replace(value, '[^A-Z]', '', 'g')) / length(value) <= 0.4 AND len(list_distinct({_EXEC_WORDS})) = len({_EXEC_WORDS})"""
 PROPER = lambda c: f"upper(substr({c}, 1, 1)) || lower(substr({c}, 2))"
 MAIL_SQL = f"SELECT DISTINCT document, page, {PROPER('g0')} || ' ' || {PROPER('g1')} AS value FROM {located(FILINGS, t.PERSON_EMAIL, (1, 2))} WHERE lower(g0) NOT IN {words_in(t.TECHNICAL_PREFIXES)} AND lower(g1) NOT IN {words_in(t.TECHNICAL_PREFIXES)} AND length(g0 || ' ' || g1) BETWEEN 5 AND 30"
 _person("person_context", people.ROLE, _typed("person_name", f"({ROLE_SQL})"))
@@ -281,19 +290,21 @@ def executive_names(spark: SparkSession, d: str) -> DataFrame:
     return people.executive_names(v.filings(spark, d))
 
 
-SHIPPED = "SELECT 'o' || (l_orderkey % 50) AS document, l_orderkey AS page, 'report dated ' || strftime(l_shipdate, '%B %d, %Y') || ' and as of ' || strftime(l_shipdate, '%Y-%m-%d') || ' or 2017-13-40 ' AS text FROM lineitem"
+SHIPPED = "SELECT 'o' || (l_orderkey % 50) AS document, l_orderkey AS page, 'report dated ' || strftime(l_shipdate, '%B %d, %Y') || ' and as of ' || strftime(l_shipdate, '%Y-%m-%d') || ' or 2017-13-40 effective ' || strftime(l_shipdate, '%m/%d/%Y') || ' not 13/45/2017 ' AS text FROM lineitem"
 
 
 @query(f"""
     SELECT DISTINCT document, page, 'important_date' AS type, m AS value FROM (SELECT *, lower({window(80)}) AS around FROM {located(SHIPPED, t.DATE_TEXT)}) WHERE {has_any('around', t.DATE_CONTEXT)}
     UNION ALL SELECT DISTINCT document, page, 'important_date', g0 || '-' || g1 || '-' || g2 FROM (SELECT *, lower({window(80)}) AS around FROM {located(SHIPPED, t.DATE_ISO, (1, 2, 3))})
     WHERE {has_any('around', t.DATE_CONTEXT)} AND CAST(g0 AS INT) BETWEEN 1900 AND 2100 AND CAST(g1 AS INT) BETWEEN 1 AND 12 AND CAST(g2 AS INT) BETWEEN 1 AND 31
+    UNION ALL SELECT DISTINCT document, page, 'important_date', g0 || '/' || g1 || '/' || g2 FROM (SELECT *, lower({window(80)}) AS around FROM {located(SHIPPED, t.DATE_US, (1, 2, 3))})
+    WHERE {has_any('around', t.DATE_CONTEXT)} AND CAST(g2 AS INT) BETWEEN 1900 AND 2100 AND CAST(g0 AS INT) BETWEEN 1 AND 12 AND CAST(g1 AS INT) BETWEEN 1 AND 31
 """)
 def important_dates(spark: SparkSession, d: str) -> DataFrame:
     rows = v.table(spark, d, "lineitem")
-    text = F.concat(F.lit("report dated "), F.date_format("l_shipdate", "MMMM dd, yyyy"), F.lit(" and as of "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" or 2017-13-40 "))
+    text = F.concat(F.lit("report dated "), F.date_format("l_shipdate", "MMMM dd, yyyy"), F.lit(" and as of "), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(" or 2017-13-40 effective "), F.date_format("l_shipdate", "MM/dd/yyyy"), F.lit(" not 13/45/2017 "))
     pages = rows.select(F.concat(F.lit("o"), (F.col("l_orderkey") % 50).cast("string")).alias("document"), F.col("l_orderkey").alias("page"), text.alias("text"))
-    return findings(pages, [detect.DATES, detect.ISO_DATES]).distinct()
+    return findings(pages, [detect.DATES, detect.US_DATES, detect.ISO_DATES]).distinct()
 
 
 CLEAN_NAME = "value"
@@ -397,6 +408,25 @@ def company_filters(spark: SparkSession, d: str) -> DataFrame:
     return companies.company_names(v.filings(spark, d))
 
 
+_NAME = "regexp_replace(trim(m), '[ ]+', ' ', 'g')"
+_SIDES = "lower(substr(text, greatest(1, s + 1 - 100), least(s, 100)) || ' ' || substr(text, s + length(m) + 1, 100))"
+
+
+@query(f"SELECT DISTINCT document, page, 'company_name' AS type, {_NAME} AS value FROM {located(FILINGS, t.COMPANY_STANDALONE)} WHERE length({_NAME}) BETWEEN 5 AND 80 AND NOT {has_any(_SIDES, t.COMPANY_STANDALONE_NOT)} AND regexp_replace(lower(split_part({_NAME}, ' ', 1)), '[.,;:]+$', '') NOT IN {words_in(t.COMPANY_FIRST_NOT)}")
+def company_standalone(spark: SparkSession, d: str) -> DataFrame:
+    return findings(v.filings(spark, d), [companies.STANDALONE])
+
+
+QUOTED = "SELECT source AS document, CAST(doc_id + 1 AS BIGINT) AS page, 'He wrote \"The Tale of ' || upper(substr(lang, 1, 1)) || ' House\" and \"it\" in ' || text AS text FROM documents"
+
+
+@query(f"SELECT document, page, 'quoted_title' AS type, trim(value) AS value FROM {matches(QUOTED, t.QUOTED_TITLE, 1)} WHERE length(trim(value)) BETWEEN 10 AND 50")
+def quoted_titles(spark: SparkSession, d: str) -> DataFrame:
+    said = F.concat(F.lit('He wrote "The Tale of '), F.upper(F.substring("lang", 1, 1)), F.lit(' House" and "it" in '), F.col("text"))
+    rows = v.spread(v.table(spark, d, "documents")).select(F.col("source").alias("document"), (F.col("doc_id") + 1).cast("long").alias("page"), said.alias("text"))
+    return findings(rows, [detect.QUOTED_TITLE])
+
+
 #: Every page relation, for the SQL of ``all_findings``.
 EVERY = f"SELECT document, page, text FROM ({DOCS}) UNION ALL SELECT document, page, text FROM ({FILINGS}) UNION ALL SELECT document, page, text FROM ({WEB})"
 EVERY_TYPE = ["phone_findings_us", "phone_findings_intl_context", "phone_ext", "address_inverse_fallback", "ssn_findings", "commission_findings", "ein_context", "ticker", "cik_with_fallback", "cusip_context",

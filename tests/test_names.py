@@ -73,3 +73,54 @@ def test_page_range(spark):
     pages = spark.range(1, 10).withColumnRenamed("id", "page")
     pick = lambda *a: sorted(r.page for r in ops.page_range(pages, *a).collect())
     assert pick() == list(range(1, 10)) and pick(3) == list(range(3, 10)) and pick(None, 3) == [1, 2] and pick(4, 6) == [4, 5] and pick(6, 4) == []
+
+
+def test_executives(spark):
+    lines = [
+        "Adam Walker, President", "Treasurer: Brenda Turner", "/s/ Carlos M. Hughes", "Signed: Diana Foster", "Name of Officer: Edward Griffin",
+        "Fiona Coleman | Director", "George Bennett - Secretary", "Helen Turner CEO", "New York, President", "The Walker, President", "Adam Adam, CFO",
+        "By: Ann Lee in table of contents", "Secretary",
+    ]
+    pages = spark.createDataFrame([(str(i), 1, line + " .. " + "." * 10) for i, line in enumerate(lines)], "document string, page long, text string")
+    got = {(int(r.document), r.value) for r in people.executive_names(pages).collect()}
+    assert got == {
+        (0, "Adam Walker"), (1, "Brenda Turner"), (2, "Carlos M. Hughes"), (3, "Diana Foster"), (4, "Edward Griffin"),
+        (5, "Fiona Coleman"), (6, "George Bennett"), (7, "Helen Turner"),
+    }
+
+
+def test_long_runs_of_letters_cost_in_proportion(spark):
+    import time
+
+    took = []
+    for n in (100_000, 200_000):
+        pages = spark.createDataFrame([("d", 1, "President " + "x" * n)], "document string, page long, text string")
+        began = time.time()
+        assert people.executive_names(pages).count() == 0
+        took.append(time.time() - began)
+    assert took[1] < 30
+
+
+@pytest.mark.parametrize("names, recognised, kept", [
+    (["Adam Walker", "Brenda Plan"], ["adam walker jr"], ["Adam Walker"]), (["Adam Walker", "Brenda Plan"], ["Other One"], ["Adam Walker", "Brenda Plan"]),
+    ([], ["Adam"], []), (["Adam Walker"], [], ["Adam Walker"]),
+])
+def test_validated_or_all(spark, names, recognised, kept):
+    frame = spark.createDataFrame([(names, recognised)], "n array<string>, r array<string>")
+    assert frame.select(people.validated_or_all(F.col("n"), F.col("r")).alias("k")).first().k == kept
+
+
+def test_second_pass(spark):
+    text = "Harbor Energy Inc. met Cedar Foods LLC. Exact name of registrant Summit Media House" + " . " * 80 + "Pioneer Motors sold Group Inc to Energy"
+    organisations = ["Harbor Energy", "Cedar  Foods LLC", "Summit Media House", "Pioneer Motors", "Group Inc", "lower Corp", "The Offer Co", "Cedar Foods LLC"]
+    frame = spark.createDataFrame([(text, organisations, ["Harbor Energy Inc."])], "t string, o array<string>, f array<string>")
+    got = frame.select(companies.second_pass(F.col("t"), F.col("o"), F.col("f")).alias("k")).first().k
+    assert got == ["Cedar Foods LLC", "Summit Media House"]
+
+
+def test_pairs_with_a_middle_part(spark):
+    from foliospark.operators.detect import findings
+
+    pages = spark.createDataFrame([("d", 1, "saw Adam John M. Smith today"), ("d", 2, "saw Adam McDonald today"), ("d", 3, "saw Turner, Brenda today")], "document string, page long, text string")
+    got = {(r.page, r.value) for r in findings(pages, [people.PAIR, people.LAST_FIRST]).collect()}
+    assert got == {(1, "Adam John M. Smith"), (2, "Adam McDonald"), (3, "Brenda Turner")}
