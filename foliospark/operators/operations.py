@@ -105,3 +105,10 @@ def page_range(pages: DataFrame, first: int | None = None, end: int | None = Non
     """Pages from ``first`` on and before ``end``; a bound that is not given does not bind."""
     rows = pages if first is None else pages.where(F.col("page") >= first)
     return rows if end is None else rows.where(F.col("page") < end)
+
+
+def merge_totals(old: DataFrame, delta: DataFrame, *keys: str) -> DataFrame:
+    """Old totals and what has been added since, summed by key; every other column is a sum.
+    Write the result beside the old table, not over it."""
+    sums = [c for c in old.columns if c not in keys]
+    return old.unionByName(delta).groupBy(*keys).agg(*(F.sum(c).alias(c) for c in sums))

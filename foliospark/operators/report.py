@@ -118,6 +118,28 @@ def image_findings(images: DataFrame) -> DataFrame:
     return images.select("document", "page", F.lit("image").alias("type"), F.concat(F.col("image_count").cast("string"), noun).alias("value"))
 
 
+def with_images(findings: DataFrame, images: DataFrame) -> DataFrame:
+    """Findings, and the image counts among them."""
+    return findings.unionByName(image_findings(images))
+
+
+def document_totals(findings: DataFrame, images: DataFrame) -> DataFrame:
+    """Per document: findings, pages with any, and images; a document with either is named."""
+    found = findings.select("document", "page", F.lit(1).alias("n"), F.lit(0).alias("images"))
+    shown = images.select("document", F.lit(None).cast("long").alias("page"), F.lit(0).alias("n"), F.col("image_count").alias("images"))
+    rows = found.unionByName(shown)
+    return rows.groupBy("document").agg(F.sum("n").alias("findings"), F.countDistinct("page").alias("pages_with_findings"), F.sum("images").alias("images"))
+
+
+def json_summary(findings: DataFrame) -> DataFrame:
+    """Per document one JSON object: its items, its occurrences and its items by type. Its
+    findings are the rows of :func:`csv_rows`; no row gathers them."""
+    per_type = info_table(findings).groupBy("document", "type").agg(F.count(F.lit(1)).alias("items"), F.sum("occurrences").alias("occurrences"))
+    types = F.map_from_entries(F.sort_array(F.collect_list(F.struct("type", "items"))))
+    rows = per_type.groupBy("document").agg(F.sum("items").alias("total_items"), F.sum("occurrences").alias("total_occurrences"), types.alias("types"))
+    return rows.select("document", F.to_json(F.struct("document", F.struct("total_items", "total_occurrences", "types").alias("summary"))).alias("json"))
+
+
 def text_report(findings: DataFrame) -> DataFrame:
     """Fixed-width lines: label 30, value cut to 38 in 40, pages 30."""
     rows = document_report(findings)

@@ -195,3 +195,29 @@ def stream_unseen_pages(spark: SparkSession, d: str) -> DataFrame:
     docs = streams.page_stream(spark, f"{d}/documents.parquet", "doc_id long, text string, lang string, source string, n_chars long")
     pages = docs.where("text IS NOT NULL").select("text", F.lit(1).alias("page"), F.timestamp_seconds(F.lit(10**9)).alias("ts"))
     return streams.drain(streams.unseen_pages(pages).select("md5", "page"), _checkpoint(spark))
+
+
+_HISTORY = "SELECT 'acct' || (user_id % 7) AS account, ts, event_id FROM events"
+
+
+@query(f"SELECT account, CAST(r AS INT) AS rank, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY account ORDER BY ts DESC, event_id DESC) AS r FROM ({_HISTORY})) WHERE r <= 100")
+def stream_recent_history(spark: SparkSession, d: str) -> DataFrame:
+    """The newest hundred events of each account after all files have come."""
+    from pyspark.sql import Window
+
+    events = streams.page_stream(spark, f"{d}/events.parquet", "event_id long, ts timestamp, user_id long, event_type string, value double, props string")
+    named = events.select(F.concat(F.lit("acct"), (F.col("user_id") % 7).cast("string")).alias("account"), "ts", "event_id")
+    rows = streams.drain(streams.recent_history(named), _checkpoint(spark), "update")
+    latest = rows.withColumn("last", F.max("seen").over(Window.partitionBy("account")))
+    return latest.where("seen = last").select("account", "rank", "ts", "event_id")
+
+
+_TOTALS = "SELECT event_type, count(*) AS n FROM events {} GROUP BY event_type"
+
+
+@query(_TOTALS.format(""))
+def totals_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Totals up to an hour of the day, and those of the rest merged into them."""
+    events = v.table(spark, d, "events")
+    count = lambda rows: rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    return ops.merge_totals(count(events.where(F.hour("ts") < 12)), count(events.where(F.hour("ts") >= 12)), "event_type")

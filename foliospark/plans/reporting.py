@@ -132,6 +132,33 @@ def images_in_report(spark: SparkSession, d: str) -> DataFrame:
     return report.image_findings(v.web_pages(spark, d).select("document", "page", count).where("image_count > 0"))
 
 
+def _images(spark: SparkSession, d: str) -> DataFrame:
+    html = F.concat("html", F.repeat(F.lit("<img src=a.png>"), (F.length("url") % 4).cast("int")))
+    return v.web_pages(spark, d).select("document", "page", adapters.image_count(html).alias("image_count")).where("image_count > 0")
+
+
+_IMAGES = f"(SELECT document, page, n FROM (SELECT document, page, len(regexp_extract_all(html || repeat('<img src=a.png>', CAST(length(url) % 4 AS INT)), '(?i)<img\\b')) AS n FROM ({WEB})) WHERE n > 0)"
+
+
+@query(f"SELECT document, page, type, value FROM ({email_sql(WEB)}) UNION ALL SELECT document, page, 'image', n || CASE WHEN n = 1 THEN ' image' ELSE ' images' END FROM {_IMAGES}")
+def findings_with_images(spark: SparkSession, d: str) -> DataFrame:
+    return report.with_images(findings(v.web_pages(spark, d), [detect.EMAIL]), _images(spark, d))
+
+
+@query(f"SELECT document, CAST(sum(f) AS BIGINT) AS findings, count(DISTINCT page) AS pages_with_findings, CAST(sum(i) AS BIGINT) AS images FROM (SELECT document, page, 1 AS f, 0 AS i FROM ({email_sql(WEB)}) UNION ALL SELECT document, NULL, 0, n FROM {_IMAGES}) GROUP BY document")
+def web_totals(spark: SparkSession, d: str) -> DataFrame:
+    return report.document_totals(findings(v.web_pages(spark, d), [detect.EMAIL]), _images(spark, d))
+
+
+@query(f"""
+    WITH p AS (SELECT document, type, count(*) AS items, sum(occurrences) AS occurrences FROM {INFO} GROUP BY document, type)
+    SELECT document, '{{"document":"' || document || '","summary":{{"total_items":' || CAST(sum(items) AS BIGINT) || ',"total_occurrences":' || CAST(sum(occurrences) AS BIGINT)
+        || ',"types":{{' || string_agg('"' || type || '":' || items, ',' ORDER BY type) || '}}}}}}' AS json FROM p GROUP BY document
+""")
+def json_summaries(spark: SparkSession, d: str) -> DataFrame:
+    return report.json_summary(base(spark, d))
+
+
 @query(f"SELECT document, count(*) AS findings, count(DISTINCT page) AS pages_with_findings FROM {BASE} GROUP BY document")
 def document_totals(spark: SparkSession, d: str) -> DataFrame:
     return base(spark, d).groupBy("document").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("page").alias("pages_with_findings"))

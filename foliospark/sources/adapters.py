@@ -21,13 +21,17 @@ def image_count(html: Column) -> Column:
 
 
 def hocr_words(pages: DataFrame) -> DataFrame:
-    """Word boxes of hOCR pages ``(page, hocr)``; empty words are dropped, confidence is 95."""
-    element = r"""(?is)<span[^>]*class=['"]ocrx_word['"][^>]*title=['"][^'"]*bbox\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)[^'"]*['"][^>]*>(.*?)</span>"""
-    parts = [F.regexp_extract_all("hocr", F.lit(element), F.lit(g)).alias(f"g{g}") for g in range(1, 6)]
+    """Word boxes of hOCR pages ``(page, hocr)``, whatever the element and the order of its
+    attributes; ``rotate`` is 0 where none is given. Words without text or box are dropped,
+    confidence is 95."""
+    element = r"""(?is)<([a-z]+)\b([^>]*\bocrx_word\b[^>]*)>(.*?)</\1>"""
+    parts = [F.regexp_extract_all("hocr", F.lit(element), F.lit(g)).alias(f"g{g}") for g in (2, 3)]
     rows = pages.select("page", F.posexplode(F.arrays_zip(*parts)).alias("word_id", "w"))
-    text = F.trim(F.regexp_replace("w.g5", "<[^>]*>", ""))
-    n = lambda g: F.col(f"w.g{g}").cast("int")
-    return rows.select("page", "word_id", text.alias("text"), n(1).alias("x0"), n(3).alias("x1"), n(2).alias("top"), n(4).alias("bottom"), F.lit(95).alias("conf")).where(F.col("text") != "")
+    text = F.trim(F.regexp_replace("w.g3", "<[^>]*>", ""))
+    n = lambda g: F.regexp_extract("w.g2", r"\bbbox\s+(\d+)\s+(\d+)\s+(\d+)\s+(\d+)", g).try_cast("int")
+    turned = F.coalesce(F.regexp_extract("w.g2", r"\brotate\s+(-?\d+)", 1).try_cast("int"), F.lit(0))
+    found = rows.select("page", "word_id", text.alias("text"), n(1).alias("x0"), n(3).alias("x1"), n(2).alias("top"), n(4).alias("bottom"), F.lit(95).alias("conf"), turned.alias("rotate"))
+    return found.where((F.col("text") != "") & F.col("x0").isNotNull())
 
 
 def quad_boxes(points: DataFrame) -> DataFrame:
@@ -52,3 +56,15 @@ def audit_log(lines: DataFrame) -> DataFrame:
 def settings_json(rows: DataFrame, path: str) -> Column:
     """A dotted path in a JSON settings column."""
     return F.get_json_object("json", "$." + path)
+
+
+def audit_lines(events: DataFrame) -> DataFrame:
+    """``event, op, status, fields`` as one line each, fields in the order of their names."""
+    pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    parts = F.concat(F.array("event", "op", "status"), F.coalesce(pairs, F.array().cast("array<string>")))
+    return events.select(F.array_join(parts, " | ").alias("value"))
+
+
+def append_audit(events: DataFrame, path: str) -> None:
+    """Add the lines to the log at ``path``; what :func:`log_lines` and :func:`audit_log` read."""
+    audit_lines(events).write.mode("append").text(path)

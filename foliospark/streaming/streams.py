@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 from ..operators.detect import Detector, findings
 
@@ -43,6 +46,30 @@ def running_totals(events: DataFrame, *keys: str) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
+def recent_history(events: DataFrame, n: int = 100) -> DataFrame:
+    """``account, seen, rank, ts, event_id``: the newest ``n`` events of each account, whatever
+    their order of arrival, each time that the account has new ones; ``seen`` counts the
+    account's events so far, and the rows with the largest ``seen`` are its history.
+
+    The state is ``n`` times and ids an account and does not grow with the stream. For the
+    update mode."""
+
+    def newest(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, stamps, ids = state.get if state.exists else (0, [], [])
+        kept = list(zip(stamps, ids))
+        for batch in batches:
+            seen += len(batch)
+            stamps = batch["ts"].astype("datetime64[us]").astype("int64")
+            kept = sorted([*kept, *zip(stamps.tolist(), batch["event_id"].tolist())], reverse=True)[:n]
+        state.update((seen, [s for s, _ in kept], [i for _, i in kept]))
+        yield pd.DataFrame([(key[0], seen, r + 1, s, i) for r, (s, i) in enumerate(kept)], columns=["account", "seen", "rank", "micros", "event_id"])
+
+    rows = events.select("account", "ts", "event_id").groupBy("account").applyInPandasWithState(
+        newest, "account string, seen long, rank int, micros long, event_id long", "seen long, stamps array<long>, ids array<long>", "update", "NoTimeout",
+    )
+    return rows.select("account", "seen", "rank", F.timestamp_micros("micros").alias("ts"), "event_id")
+
+
 def drain(stream: DataFrame, shared: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, into a table below ``shared``; return it.
 
