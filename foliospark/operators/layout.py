@@ -154,6 +154,27 @@ def page_structure(words: DataFrame, classes: DataFrame) -> DataFrame:
     return extent.join(flags, "page").withColumn("has_table", F.col("table_lines") > 3)
 
 
+def page_columns(words: DataFrame, width: int) -> DataFrame:
+    """Two columns on a page of ``width``: the words begin within 60 percent of it, at more
+    than ten places, and 15 percent of it lie free between two of them."""
+    per_page = words.groupBy("page").agg(F.array_sort(F.collect_set(F.when(F.col("x0") > 0, F.col("x0")))).alias("xs"))
+    free = F.array_max(F.zip_with(F.slice("xs", 2, F.greatest(F.size("xs") - 1, F.lit(0))), F.slice("xs", 1, F.greatest(F.size("xs") - 1, F.lit(0))), lambda b, a: b - a))
+    two = (F.array_max("xs") - F.array_min("xs") < 0.6 * width) & (F.size("xs") > 10) & (free > 0.15 * width)
+    return per_page.select("page", F.when(F.coalesce(two, F.lit(False)), 2).otherwise(1).alias("column_count"))
+
+
+def aligned_lines(words: DataFrame, within: int = 20) -> DataFrame:
+    """Neighbouring lines that begin words at like places: the first such pair of a page by
+    any of its words, later ones by the upper line's first word. Over three make a table."""
+    order = Window.partitionBy("page").orderBy("line")
+    lines = words.groupBy("page", "line").agg(F.array_sort(F.collect_set("x0")).alias("xs")).withColumn("below", F.lead("xs").over(order))
+    meets = lambda x: F.exists("below", lambda b: F.abs(b - x) < within)
+    pairs = lines.where("below IS NOT NULL").select("page", "line", meets(F.get("xs", F.lit(0))).alias("by_first"), F.exists("xs", meets).alias("by_any"))
+    first = F.min(F.when(F.col("by_any"), F.col("line"))).over(Window.partitionBy("page"))
+    counted = pairs.withColumn("first", first).groupBy("page").agg(F.count_if((F.col("line") == F.col("first")) | (F.col("by_first") & (F.col("line") > F.col("first")))).alias("aligned"))
+    return counted.withColumn("has_table", F.col("aligned") > 3)
+
+
 def multicolumn(words: DataFrame, first_lines: int = 20) -> DataFrame:
     """Pages in columns, by their first lines: 30 to 70 percent of the words stand left
     of the middle, or over 30 percent of the lines have words on both sides."""

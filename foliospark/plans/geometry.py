@@ -148,6 +148,24 @@ def widest_gap_split(spark: SparkSession, d: str) -> DataFrame:
     return layout.widest_gap(v.words(spark, d))
 
 
+@query(f"""WITH {W}, j AS (SELECT DISTINCT page, x0 + line % 2 AS x FROM w WHERE x0 + line % 2 > 0), g AS (SELECT page, x, x - lag(x) OVER (PARTITION BY page ORDER BY x) AS gap FROM j),
+    s AS (SELECT page, max(x) - min(x) < 540 AND count(*) > 10 AND coalesce(max(gap), 0) > 135 AS two FROM g GROUP BY page)
+    SELECT p.page, CAST(CASE WHEN two THEN 2 ELSE 1 END AS INT) AS column_count FROM (SELECT DISTINCT page FROM w) p LEFT JOIN s ON s.page = p.page""")
+def page_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Every second line is set in by one, so that words begin at more places."""
+    return layout.page_columns(v.words(spark, d).withColumn("x0", F.col("x0") + F.col("line") % 2), 900)
+
+
+@query(f"""WITH {W}, j AS (SELECT page, line, word_id, x0 + line * 13 % 50 AS x FROM w), o AS (SELECT page, line, dense_rank() OVER (PARTITION BY page ORDER BY line) AS n, x FROM j),
+    a AS (SELECT a.page, a.line, bool_or(abs(a.x - b.x) < 20) AS by_any, bool_or(abs(a.x - b.x) < 20 AND a.x = (SELECT min(c.x) FROM o c WHERE c.page = a.page AND c.n = a.n)) AS by_first
+          FROM o a JOIN o b ON a.page = b.page AND b.n = a.n + 1 GROUP BY a.page, a.line),
+    f AS (SELECT *, min(CASE WHEN by_any THEN line END) OVER (PARTITION BY page) AS first FROM a)
+    SELECT page, count(*) FILTER (line = first OR (by_first AND line > first)) AS aligned, count(*) FILTER (line = first OR (by_first AND line > first)) > 3 AS has_table FROM f GROUP BY page""")
+def aligned_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines are set in by turns, so that some meet the next one and some do not."""
+    return layout.aligned_lines(v.words(spark, d).withColumn("x0", F.col("x0") + F.col("line") * 13 % 50))
+
+
 @query(f"WITH {W}, {LINES}, e AS (SELECT page, min(x0) AS \"left\", max(x1) AS \"right\", count(DISTINCT line) AS lines FROM w GROUP BY page), f AS (SELECT page, count(*) FILTER (class = 'table') AS table_lines, count(*) FILTER (class = 'title') AS title_lines FROM c GROUP BY page) SELECT page, \"left\", \"right\", lines, table_lines, title_lines, table_lines > 3 AS has_table FROM e JOIN f USING (page)")
 def page_structure(spark: SparkSession, d: str) -> DataFrame:
     words = v.words(spark, d)

@@ -164,3 +164,14 @@ def test_pages_are_sorted_and_distinct(spark):
 
 def test_terms_are_consistent():
     assert set(t.BARE_TLDS) <= set(t.WEB_TLDS) and len(t.STATES) == 51
+
+
+def test_columns_and_alignment_by_hand(spark):
+    from foliospark.operators import layout
+
+    rows = [("two", n // 4, 100 + n * 8 + (200 if n > 7 else 0)) for n in range(16)] + [("one", n // 4, 40 * n) for n in range(16)] + [("few", 0, 10)]
+    words = spark.createDataFrame(rows, "page string, line int, x0 int")
+    assert {r.page: r.column_count for r in layout.page_columns(words, 1000).collect()} == {"two": 2, "one": 1, "few": 1}
+    met = [("a", line, x) for line, xs in enumerate([(0, 100), (60, 110), (65, 300), (70,), (400,), (0,)]) for x in xs]
+    got = layout.aligned_lines(spark.createDataFrame(met, "page string, line int, x0 int")).collect()
+    assert [(r.page, r.aligned, r.has_table) for r in got] == [("a", 3, False)]
