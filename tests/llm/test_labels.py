@@ -47,6 +47,19 @@ def test_op5(spark):
     assert got == {i: brute_verdict(u, RULES) for i, u in enumerate(URLS)} | {None: brute_verdict(URLS[0], RULES)}
 
 
+def test_op5_query_judges_by_its_contract(spark, tmp_path):
+    from foliospark.llm import queries
+
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    rules = [(host, "/" + path, verdict) for verdict, rule in (x.split(" ") for x in contract.split(", ")) for host, path in [rule.split("/", 1)]]
+    assert queries.URL_RULES == rules
+    urls = [f"http://{h}{p}" for h in ("a.com", "example.com", "a.net", "m.example.net", "b.org", "net") for p in ("/en/7", "/en/1", "/de/8x", "/de/9", "/es/", "")]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in queries.op5_url_rules(spark, str(tmp_path)).collect()}
+    assert got == {i: brute_verdict(u, rules) for i, u in enumerate(urls)}
+    assert got[urls.index("http://a.net/de/9")] == ("a.net", "/de/9", "net/de/", "allow")
+
+
 def test_rules_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(url_rules, "SAMPLED_PER_RANGE", 2)
     rng = random.Random(4)
