@@ -89,7 +89,7 @@ def second_pass(text: Column, organisations: Column, found: Column) -> Column:
         at = F.instr(text, v)
         around = lambda n: F.lower(tx.window(text, at - 1, F.length(v), n))
         known = F.exists(found, lambda c: F.contains(F.lower(c), lowered) | F.contains(lowered, F.lower(c)))
-        named = F.regexp_like(v, F.lit(t.ORGANISATION_FORM)) | (at == 0) | tx.has_any(around(200), t.ORGANISATION_NAMED)
+        named = tx.like(v, t.ORGANISATION_FORM) | (at == 0) | tx.has_any(around(200), t.ORGANISATION_NAMED)
         return (
             F.length(v).between(5, 80) & ~known & ~lowered.isin(t.STRUCTURE_TERMS + t.BUSINESS_TERMS + t.ORGANISATION_GENERIC) & ~first.isin(t.COMPANY_FIRST_NOT)
             & F.regexp_like(v, F.lit("^[A-Z]")) & ~tx.has_any(shouted, t.ORGANISATION_NOT) & ((at == 0) | ~tx.has_any(around(100), t.ORGANISATION_CONTEXT_NOT)) & named

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..operators import alias, detect, report
 from ..operators import terms as t
 from ..operators.detect import findings
@@ -259,7 +260,7 @@ def _distinct(rows: DataFrame, f) -> DataFrame:
 @query(f"SELECT value, {_each('value', '^[0-9]$', '0123456789')} AS alias FROM (SELECT DISTINCT value FROM {matches(DOCS, t.CARD)})")
 def alias_digits(spark: SparkSession, d: str) -> DataFrame:
     pages = v.clean(v.document_pages(spark, d))
-    return _distinct(pages.select(F.explode(F.regexp_extract_all("text", F.lit(t.CARD), F.lit(0))).alias("value")), alias.digits)
+    return _distinct(pages.select(F.explode(F.regexp_extract_all("text", F.lit(tx.ascii_words(t.CARD)), F.lit(0))).alias("value")), alias.digits)
 
 
 @query(f"SELECT value, {_each('value', '^[A-Za-z0-9]$', alias.SYMBOLS)} AS alias FROM (SELECT DISTINCT value FROM {matches(FILINGS, t.ISIN_US, 1)})")
@@ -275,7 +276,7 @@ def alias_email(spark: SparkSession, d: str) -> DataFrame:
 @query(f"SELECT value, {_WEB_ALIAS} AS alias FROM (SELECT DISTINCT value FROM {matches(FILINGS, t.SEC_URL, 1)})")
 def alias_website(spark: SparkSession, d: str) -> DataFrame:
     pages = v.clean(v.filings(spark, d))
-    return _distinct(pages.select(F.explode(F.regexp_extract_all("text", F.lit(t.SEC_URL), F.lit(1))).alias("value")), alias.website)
+    return _distinct(pages.select(F.explode(F.regexp_extract_all("text", F.lit(tx.ascii_words(t.SEC_URL)), F.lit(1))).alias("value")), alias.website)
 
 
 _GEN = "(?i),?\\s+((?:jr|sr|ii|iii|iv|v|esq)\\.?)$"

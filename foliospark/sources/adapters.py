@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_words
+
 
 def list_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Files of a folder (not below it) in path order, without their content."""
@@ -17,7 +19,7 @@ def file_hash(files: DataFrame) -> DataFrame:
 
 
 def image_count(html: Column) -> Column:
-    return F.regexp_count(html, F.lit(r"(?i)<img\b"))
+    return F.regexp_count(html, F.lit(ascii_words(r"(?i)<img\b")))
 
 
 def hocr_words(pages: DataFrame) -> DataFrame:
