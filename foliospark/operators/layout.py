@@ -1,15 +1,21 @@
 """Geometry over word boxes ``words(page, word_id, text, x0, x1, top, bottom, size, conf, line)``.
 
 Scans over neighbours are windows partitioned by page (and line), so their state
-is bounded by a page, never by the table; folds whose tolerance is anchored at
-the first word of a line are ``aggregate`` over the page's sorted words.
+is bounded by a page, never by the table. What needs no window takes pages
+``(page, words)`` with an array of their words and works in the page's row; word boxes
+are gathered to such pages first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bind
+from ..sources.views import gathered
+
 LINE_TOLERANCE, CLUSTER_TOLERANCE, CLUSTER_MIN = 10, 30, 3
 TABLE_GAP, TABLE_WORDS, DIGIT_SHARE = 30, 4, 0.3
 MIN_CONFIDENCE = 30
@@ -32,17 +38,51 @@ def lines_chained(words: DataFrame, tolerance: int = LINE_TOLERANCE) -> DataFram
     return numbered.withColumn("line_no", _island(F.coalesce(F.col("step") > tolerance, F.lit(False)), w).cast("int") + 1).drop("step")
 
 
+def _pages(words: DataFrame) -> DataFrame:
+    """``page, words``: word boxes as an array a page. Such pages are taken as they are, in
+    order of line, x0 and word_id, so that no word is shuffled or sorted."""
+    return words if words.columns == ["page", "words"] else gathered(words)
+
+
+def _runs(items: Column, new: Callable[[Column, Column], Column]) -> Column:
+    """A named array's items in runs; ``new(before, item)`` begins one."""
+    n = F.size(items)
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | new(F.get(items, i - 1), F.get(items, i)))
+    part = lambda s, e: F.transform(F.sequence(s, e - 1), lambda i: F.get(items, i))
+    cut = bind(starts, lambda st: F.transform(st, lambda s, k: part(s, F.coalesce(F.get(st, k + 1), n))))
+    return F.when(n > 0, cut)
+
+
+def _by_line(pages: DataFrame, *keep: str) -> DataFrame:
+    """Each line's ``words`` in a row of their own, with ``page``, ``line`` and what is kept."""
+    lines = _runs(F.col("words"), lambda a, b: ~a["line"].eqNullSafe(b["line"]))
+    return pages.select("page", *keep, F.explode(lines).alias("words")).withColumn("line", F.get("words", F.lit(0))["line"])
+
+
+def _total(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def _joined(words: Column) -> Column:
+    return F.array_join(F.transform(words, lambda w: w["text"]), " ")
+
+
 def lines_anchored(words: DataFrame, tolerance: int = 5) -> DataFrame:
-    """Lines by distance to the first word of the line: an ordered fold a page."""
-    pages = words.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("top", "x0", "word_id"))).alias("w"))
-    zero = F.struct(F.lit(None).cast("int").alias("y"), F.lit(0).alias("n"), F.array().cast("array<struct<word_id:int,line_no:int>>").alias("out"))
+    """Lines by distance to the first word of the line: an ordered fold a page, which
+    gathers where lines begin."""
+    fields = ("top", "x0", "word_id")
+    pages = _pages(words).select("page", F.sort_array(F.transform("words", lambda w: F.struct(*(w[f].alias(f) for f in fields)))).alias("w"))
+    zero = F.struct(F.lit(None).cast("int").alias("y"), F.array().cast("array<int>").alias("starts"))
 
     def step(a: Column, x: Column) -> Column:
         new = a["y"].isNull() | (F.abs(x["top"] - a["y"]) > tolerance)
-        n = a["n"] + F.when(new, 1).otherwise(0)
-        return F.struct(F.when(new, x["top"]).otherwise(a["y"]).alias("y"), n.alias("n"), F.concat(a["out"], F.array(F.struct(x["word_id"].alias("word_id"), n.alias("line_no")))).alias("out"))
+        return F.when(new, F.struct(x["top"].alias("y"), F.concat(a["starts"], F.array(x["i"])).alias("starts"))).otherwise(a)
 
-    return pages.select("page", F.explode(F.aggregate("w", zero, step)["out"]).alias("o")).select("page", "o.word_id", "o.line_no")
+    numbered = F.transform("w", lambda x, i: F.struct(x["top"].alias("top"), i.alias("i")))
+    begun = pages.select("page", "w", F.aggregate(numbered, zero, step)["starts"].alias("starts"))
+    ids = lambda s, e: F.transform(F.sequence(s, e - 1), lambda i: F.get("w", i)["word_id"])
+    lines = F.transform("starts", lambda s, k: ids(s, F.coalesce(F.get("starts", k + 1), F.size("w"))))
+    return begun.select("page", F.posexplode(lines).alias("k", "ids")).select("page", F.explode("ids").alias("word_id"), (F.col("k") + 1).alias("line_no"))
 
 
 def column_bins(words: DataFrame, tolerance: int = 20) -> DataFrame:
@@ -105,8 +145,60 @@ def nearest_column(words: DataFrame, centres: DataFrame) -> DataFrame:
     The few centres of a page are gathered into an array and met by an equality
     join on the page."""
     per_page = centres.groupBy("page").agg(F.array_sort(F.collect_list("centre")).alias("centres"))
-    near = F.array_min(F.transform("centres", lambda c, i: F.struct(F.abs(c - F.col("x0")).alias("d"), i.alias("i"))))
-    return words.join(per_page, "page").withColumn("column", near["i"].cast("int")).drop("centres")
+    return words.join(per_page, "page").withColumn("column", _nearest(F.col("x0"), F.col("centres"))).drop("centres")
+
+
+def _nearest(x0: Column, centres: Column) -> Column:
+    return F.array_min(F.transform(centres, lambda c, i: F.struct(F.abs(c - x0).alias("d"), i.alias("i"))))["i"].cast("int")
+
+
+def _centres(words: Column, tolerance: int = CLUSTER_TOLERANCE, least: int = CLUSTER_MIN) -> Column:
+    """The centres of a page's :func:`clusters`. All steps are bound, so that no lambda
+    evaluates one again for each word."""
+    kind = "array<struct<votes:bigint,total:bigint>>"
+    zero = F.struct(F.lit(None).cast("int").alias("last"), F.lit(0).cast("long").alias("votes"), F.lit(0).cast("long").alias("total"), F.array().cast(kind).alias("done"))
+    closed = lambda a: F.concat(a["done"], F.array(F.struct(a["votes"].alias("votes"), a["total"].alias("total"))))
+
+    def step(a: Column, v: Column) -> Column:
+        x, votes = v["x0"], v["votes"]
+        new = F.coalesce(x - a["last"] > tolerance, F.lit(False))
+        fresh = F.struct(x.alias("last"), votes.alias("votes"), (x * votes).alias("total"), closed(a).alias("done"))
+        more = F.struct(x.alias("last"), (a["votes"] + votes).alias("votes"), (a["total"] + x * votes).alias("total"), a["done"].alias("done"))
+        return F.when(new, fresh).otherwise(more)
+
+    # In the sorted places, a place's votes are the way to where the next one begins.
+    def counted(xs: Column, places: Column, begins: Column) -> Column:
+        return F.transform(places, lambda x, k: F.struct(x.alias("x0"), (F.coalesce(F.get(begins, k + 1), F.size(xs) + 1) - F.get(begins, k)).alias("votes")))
+
+    xs = F.sort_array(F.filter(F.transform(words, lambda w: w["x0"]), lambda x: x.isNotNull()))
+    votes = bind(xs, lambda xs: bind(F.array_distinct(xs), lambda ps: bind(F.transform(ps, lambda x: F.array_position(xs, x)), lambda begins: counted(xs, ps, begins))))
+    return F.transform(F.filter(F.aggregate(votes, zero, step, closed), lambda c: c["votes"] >= least), lambda c: c["total"] / c["votes"])
+
+
+def _placed(words: Column, *keep: str) -> Column:
+    """The words of a page with the nearest ``column``, which is found once for each place;
+    null for a page without columns."""
+
+    def put(centres: Column) -> Column:
+        own = lambda w, places, columns: F.struct(*(w[f].alias(f) for f in keep), F.get(columns, F.array_position(places, w["x0"]).cast("int") - 1).alias("column"))
+        given = lambda places: bind(F.transform(places, lambda x: _nearest(x, centres)), lambda columns: F.transform(words, lambda w: own(w, places, columns)))
+        return F.when(F.size(centres) > 0, bind(F.array_distinct(F.transform(words, lambda w: w["x0"])), given))
+
+    return bind(_centres(words), put)
+
+
+def nearest_cells(words: DataFrame) -> DataFrame:
+    """Each word with the nearest of its page's columns, in the page's row."""
+    return _pages(words).select("page", F.explode(bind(F.col("words"), lambda ws: _placed(ws, "word_id"))).alias("w")).select("page", "w.word_id", "w.column")
+
+
+def page_grid(words: DataFrame) -> DataFrame:
+    """The :func:`grid` of each page in its row: along a line, words of one column follow
+    each other."""
+    pages = _pages(words).select("page", bind(F.col("words"), lambda ws: _placed(ws, "line", "text")).alias("placed"))
+    cells = pages.select("page", F.explode(_runs(F.col("placed"), lambda a, b: ~a["line"].eqNullSafe(b["line"]) | (a["column"] != b["column"]))).alias("words"))
+    first = F.get("words", F.lit(0))
+    return cells.select("page", first["line"].alias("line"), first["column"].alias("column"), _joined(F.col("words")).alias("cell"))
 
 
 def grid(placed: DataFrame) -> DataFrame:
@@ -123,15 +215,16 @@ def inside(words: DataFrame, boxes: DataFrame) -> DataFrame:
 
 def column_balance(words: DataFrame) -> DataFrame:
     """Words left of, right of and about the middle of the page; the split between."""
-    width = words.groupBy("page").agg(F.max("x1").alias("width"), F.count(F.lit(1)).alias("words")).where("words >= 20")
-    both = words.join(width.drop("words"), "page")
-    share = F.col("x0") / F.col("width")
-    out = both.groupBy("page").agg(
-        F.count_if(share < 0.4).alias("left"), F.count_if(share > 0.6).alias("right"), F.count_if(share.between(0.4, 0.6)).alias("centre"),
-        F.avg(F.when(share.between(0.4, 0.6), F.col("x0"))).alias("split"), F.count(F.lit(1)).alias("words"),
+    pages = _pages(words).select("page", F.transform("words", lambda w: w["x0"]).alias("xs"), F.array_max(F.transform("words", lambda w: w["x1"])).alias("width")).where(F.size("xs") >= 20)
+    pages = pages.withColumn("shares", bind(F.col("width"), lambda width: F.transform("xs", lambda x: x / width)))
+    size = lambda ok: F.size(F.filter("shares", ok)).cast("long")
+    out = pages.select(
+        "page", size(lambda x: x < 0.4).alias("left"), size(lambda x: x > 0.6).alias("right"),
+        F.filter("xs", lambda x, i: F.get("shares", i).between(0.4, 0.6)).alias("middle"), F.size("xs").alias("words"),
     )
+    split = F.when(F.size("middle") > 0, _total(F.col("middle")) / F.size("middle"))
     two = (F.col("left") / F.col("words") > 0.3) & (F.col("right") / F.col("words") > 0.3)
-    return out.select("page", "left", "right", "centre", F.round("split", 6).alias("split"), two.alias("two_columns"))
+    return out.select("page", "left", "right", F.size("middle").cast("long").alias("centre"), F.round(split, 6).alias("split"), two.alias("two_columns"))
 
 
 def alignment(words: DataFrame, centres: DataFrame, within: int = 25) -> DataFrame:
@@ -178,12 +271,14 @@ def aligned_lines(words: DataFrame, within: int = 20) -> DataFrame:
 def multicolumn(words: DataFrame, first_lines: int = 20) -> DataFrame:
     """Pages in columns, by their first lines: 30 to 70 percent of the words stand left
     of the middle, or over 30 percent of the lines have words on both sides."""
-    head = words.where(F.col("line") < first_lines)
-    width = head.groupBy("page").agg(F.max("x1").alias("width"))
-    lines = head.join(width, "page").groupBy("page", "line").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x0") < F.col("width") / 2).alias("lefts"))
-    shares = lines.groupBy("page").agg(
-        F.sum("n").alias("words"), (F.sum("lefts") / F.sum("n")).alias("left_share"),
-        (F.count_if((F.col("lefts") > 0) & (F.col("lefts") < F.col("n"))) / F.count(F.lit(1))).alias("two_sided"),
+    head = _pages(words).select("page", F.filter("words", lambda w: w["line"] < first_lines).alias("head")).where(F.size("head") > 0)
+    half = head.withColumn("half", F.array_max(F.transform("head", lambda w: w["x1"])) / 2)
+    left = lambda w: F.coalesce(w["x0"] < F.col("half"), F.lit(False))
+    sides = half.select("page", "head", F.filter("head", left).alias("lefts"), F.filter("head", lambda w: ~left(w)).alias("rights"))
+    lines = lambda ws: F.array_distinct(F.transform(ws, lambda w: w["line"]))
+    shares = sides.select(
+        "page", F.size("head").cast("long").alias("words"), (F.size("lefts") / F.size("head")).alias("left_share"),
+        (F.size(F.array_intersect(lines("lefts"), lines("rights"))) / F.size(lines("head"))).alias("two_sided"),
     )
     several = (F.col("words") >= 10) & (F.col("left_share").between(0.3, 0.7) | (F.col("two_sided") > 0.3))
     return shares.select("page", "words", F.round("left_share", 6).alias("left_share"), F.round("two_sided", 6).alias("two_sided"), several.alias("multicolumn"))
@@ -217,10 +312,18 @@ def table_zones(words: DataFrame, least_words: int = TABLE_WORDS, least_gap: int
 
 def line_columns(words: DataFrame, columns: int = 2) -> DataFrame:
     """Each line's text in one of equally wide columns, by its mean x0."""
-    width = words.groupBy("page").agg(F.max("x1").alias("width"))
-    texts = F.array_sort(F.collect_list(F.struct("x0", "word_id", "text")))
-    lines = words.groupBy("page", "line").agg(F.avg("x0").alias("x"), F.array_join(F.transform(texts, lambda t: t["text"]), " ").alias("text")).join(width, "page")
-    return lines.select("page", "line", F.least(F.lit(columns - 1), F.floor(F.col("x") / (F.col("width") / columns))).cast("int").alias("column"), "text")
+    pages = _pages(words).select("page", "words", F.array_max(F.transform("words", lambda w: w["x1"])).alias("width"))
+    x = _total(F.transform("words", lambda w: w["x0"])) / F.size("words")
+    return _by_line(pages, "width").select("page", "line", F.least(F.lit(columns - 1), F.floor(x / (F.col("width") / columns))).cast("int").alias("column"), _joined(F.col("words")).alias("text"))
+
+
+def column_sides(words: DataFrame, middle: int) -> DataFrame:
+    """Each line's text left and right of the middle."""
+    lines = _by_line(_pages(words))
+    side = lambda name, ok: F.struct(F.lit(name).alias("side"), F.filter("words", ok).alias("words"))
+    left = lambda w: F.coalesce(w["x0"] < middle, F.lit(False))
+    sides = lines.select("page", "line", F.explode(F.array(side("left", left), side("right", lambda w: ~left(w)))).alias("s")).where(F.size("s.words") > 0)
+    return sides.select("page", "s.side", "line", _joined(F.col("s.words")).alias("text"))
 
 
 def first_word_with(cells: DataFrame, words: DataFrame) -> DataFrame:

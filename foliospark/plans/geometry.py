@@ -44,7 +44,7 @@ def word_lines_chained(spark: SparkSession, d: str) -> DataFrame:
     SELECT page, word_id, CAST(n AS INT) AS line_no FROM r
 """)
 def word_lines_anchored(spark: SparkSession, d: str) -> DataFrame:
-    return layout.lines_anchored(v.words(spark, d))
+    return layout.lines_anchored(v.page_words(spark, d, "x0", "word_id", "top"))
 
 
 @query(f"""
@@ -112,14 +112,12 @@ NEAR = """p AS (SELECT w.page, w.line, w.word_id, w.text, w.x0, abs(k.centre - w
 
 @query(f'WITH {W}, {CLUSTERS}, {NEAR} SELECT page, word_id, "column" FROM a')
 def nearest_column_cells(spark: SparkSession, d: str) -> DataFrame:
-    words = v.words(spark, d)
-    return layout.nearest_column(words, layout.clusters(words)).select("page", "word_id", "column")
+    return layout.nearest_cells(v.page_words(spark, d, "x0", "word_id"))
 
 
 @query(f"WITH {W}, {CLUSTERS}, {NEAR} SELECT page, line, \"column\", string_agg(text, ' ' ORDER BY x0, word_id) AS cell FROM a GROUP BY ALL")
 def table_grid(spark: SparkSession, d: str) -> DataFrame:
-    words = v.words(spark, d)
-    return layout.grid(layout.nearest_column(words, layout.clusters(words)))
+    return layout.page_grid(v.page_words(spark, d, "line", "x0", "word_id", "text"))
 
 
 @query(f"WITH {W}, b AS (SELECT page, k AS box_id, k * 100 AS bx0, k * 100 + 260 AS bx1, k * 24 AS btop, k * 24 + 60 AS bbottom FROM (SELECT DISTINCT page FROM w), unnest([0, 1, 2]) t(k)) SELECT w.page, word_id, box_id FROM w JOIN b ON w.page = b.page AND x0 >= bx0 AND x1 <= bx1 AND top >= btop AND bottom <= bbottom")
@@ -134,7 +132,7 @@ def bbox_containment(spark: SparkSession, d: str) -> DataFrame:
     r AS (SELECT page, count(*) FILTER (share < 0.4) AS "left", count(*) FILTER (share > 0.6) AS "right", count(*) FILTER (share BETWEEN 0.4 AND 0.6) AS centre, round(avg(x0) FILTER (share BETWEEN 0.4 AND 0.6), 6) AS split, count(*) AS n FROM s GROUP BY page)
     SELECT page, "left", "right", centre, split, "left" / n > 0.3 AND "right" / n > 0.3 AS two_columns FROM r""")
 def column_balance(spark: SparkSession, d: str) -> DataFrame:
-    return layout.column_balance(v.words(spark, d))
+    return layout.column_balance(v.page_words(spark, d, "x0", "x1"))
 
 
 @query(f"WITH {W}, {CLUSTERS}, m AS (SELECT w.page, word_id, min(abs(centre - x0)) AS d FROM w JOIN k ON w.page = k.page GROUP BY w.page, word_id) SELECT page, round(avg(CASE WHEN d < 25 THEN 1.0 ELSE 0.0 END), 6) AS score FROM m GROUP BY page")
@@ -179,9 +177,7 @@ def box_scaling(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {W}, p AS (SELECT page, CASE WHEN x0 < 320 THEN 'left' ELSE 'right' END AS side, line, string_agg(text, ' ' ORDER BY x0, word_id) AS text FROM w GROUP BY ALL) SELECT * FROM p")
 def column_sides(spark: SparkSession, d: str) -> DataFrame:
-    side = F.when(F.col("x0") < 320, "left").otherwise("right")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "word_id", "text"))), lambda x: x["text"]), " ")
-    return v.words(spark, d).groupBy("page", side.alias("side"), "line").agg(joined.alias("text"))
+    return layout.column_sides(v.page_words(spark, d, "line", "x0", "word_id", "text"), 320)
 
 
 @query(f"""WITH {W}, e AS (SELECT page, max(x1) AS width, count(*) AS words FROM w WHERE line < 20 GROUP BY page),
@@ -189,7 +185,7 @@ def column_sides(spark: SparkSession, d: str) -> DataFrame:
     s AS (SELECT page, CAST(sum(n) AS BIGINT) AS words, sum(lefts) / sum(n) AS left_share, count(*) FILTER (lefts > 0 AND lefts < n) / count(*) AS two_sided FROM l GROUP BY page)
     SELECT page, words, round(left_share, 6) AS left_share, round(two_sided, 6) AS two_sided, words >= 10 AND (left_share BETWEEN 0.3 AND 0.7 OR two_sided > 0.3) AS multicolumn FROM s""")
 def multicolumn_pages(spark: SparkSession, d: str) -> DataFrame:
-    return layout.multicolumn(v.words(spark, d))
+    return layout.multicolumn(v.page_words(spark, d, "line", "x0", "x1"))
 
 
 @query(f"""WITH {W}, {LINES}, a AS (SELECT page, line, list(x0 ORDER BY x0) AS xs, count(*) FILTER (gap > 30) AS wide FROM g GROUP BY page, line),
@@ -210,7 +206,7 @@ def table_zones(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {W}, z AS (SELECT page, line, x0, word_id, text, max(x1) OVER (PARTITION BY page) AS width FROM w)
     SELECT page, line, CAST(least(1, floor(avg(x0) / (any_value(width) / 2))) AS INT) AS "column", string_agg(text, ' ' ORDER BY x0, word_id) AS text FROM z GROUP BY page, line""")
 def line_columns(spark: SparkSession, d: str) -> DataFrame:
-    return layout.line_columns(v.words(spark, d))
+    return layout.line_columns(v.page_words(spark, d, "line", "x0", "word_id", "text", "x1"))
 
 
 @query(f"""WITH {W}, h AS (SELECT DISTINCT page, left(text, 3) AS cell FROM w WHERE line = 0)
