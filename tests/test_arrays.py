@@ -40,3 +40,21 @@ def test_many_spans_in_one_text_cost_in_proportion(spark):
 
     seconds(1000)
     assert seconds(100_000) < 20 * max(0.5, seconds(10_000))
+
+
+def test_alternatives_are_told_by_their_first_letter():
+    looked = tx.first_letters(r"(?i)(?:Agent|Officer|Co\s+(?:A|B)|By):\s*([A-Z]+)")
+    assert looked == r"(?i)(?:(?=[ABCO])(?:Agent|Officer|Co\s+(?:A|B)|By)):\s*([A-Z]+)"
+    assert re.findall(looked, "an agent: ADAM, co b: BEN, buy: X") == ["ADAM", "BEN"]
+    for left in (r"(?:a?b|c|d|e)", r"(?:[ab]|c|d|e)", r"(?:a|b|c)", r"(?:a||b|c|d)", r"(?!a|b|c|d)e", r"[(a|b|c|d)]", r"\(a|b|c|d\)"):
+        assert tx.first_letters(left) == left
+
+
+def test_long_runs_of_letters_by_a_sign_are_read_once(spark):
+    from foliospark.operators import people
+
+    texts = ["adam.walker@x.com ab.cd.ef@x a.b@x x1.yz@q " + "x" * 300_000, "y" * 300_000 + "@ a.b.c.d@x"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    began = time.time()
+    rows = frame.select(people.FROM_EMAIL.values(F.col("text")).alias("v")).collect()
+    assert [r.v for r in rows] == [["Adam Walker", "Ab.cd Ef"], ["B.c D"]] and time.time() - began < 60
